@@ -7,12 +7,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows read back from the cluster's shared checkpoint folder."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: the one the cluster names for checkpoints.
+
+    Only a session without any setting (a local test) gets a folder of its own.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        # Only a session without any setting (a local test) falls back to a folder of its own.
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="offerlens-checkpoint-"))
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="offerlens-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows read back from the shared folder, without their lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -9,16 +9,17 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _NUMERIC_ENTITY = re.compile(r"&#(?:\d+|[xX][0-9a-fA-F]+);")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc_decoded(values: pd.Series) -> pd.Series:
     def fold(v: str) -> str:
         return unicodedata.normalize("NFKC", _NUMERIC_ENTITY.sub(lambda m: html.unescape(m[0]), v))

@@ -51,6 +51,12 @@ SELECT entity_key, date, price FROM (
   FROM (SELECT entity_key, date, max(price) AS price FROM daily GROUP BY entity_key, date) m) x
 WHERE prev IS NULL OR prev <> price"""
 
+# --- price lots: one row per part, return flag (as shop) and ship day -------------------------
+BINDINGS["lots"] = """
+SELECT l_partkey AS entity_key, l_returnflag AS shop_id, CAST(l_shipdate AS DATE) AS date,
+       max(CAST(round(l_extendedprice / l_quantity) AS BIGINT)) AS price
+FROM lineitem GROUP BY 1, 2, 3"""
+
 # --- holdings from the order book ------------------------------------------------------------
 BINDINGS["holdings"] = """
 SELECT o_custkey AS owner_id, o_orderkey % (SELECT max(user_id) + 1 FROM events) AS entity_key, count(*) AS qty
