@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlens.functions.columns import nonblank
+from offerlens.functions.columns import CODE_PATTERN, nonblank
 from offerlens.operators import history as hist
+from offerlens.operators import offers as off
+from offerlens.operators.identity import IdentityRules, resolve_identity
 
 
 def upsert_observations(items: DataFrame, offers: DataFrame, history: DataFrame, batch: DataFrame):
@@ -36,3 +40,141 @@ def upsert_observations(items: DataFrame, offers: DataFrame, history: DataFrame,
         F.coalesce("new_source_name", source_name).alias("source_name"))
     log, late = hist.extend_change_log(history, batch)
     return merged_items, merged_offers, log, late
+
+
+@dataclass(frozen=True)
+class Store:
+    """The stored tables of a run.
+
+    items(entity_key, canonical_id, name, model_no, image_url, ordinal), aliases(entity_key, alias_key),
+    offers(entity_key, shop_id, latest_price, image_url, source_name), history(entity_key, shop_id, date, price)
+    with the item-level history under shop_id '*'.
+    """
+
+    items: DataFrame
+    aliases: DataFrame
+    offers: DataFrame
+    history: DataFrame
+
+
+def precedence(df: DataFrame, keys: list[str], block: int = 100_000) -> DataFrame:
+    """Adds `rank`: the order in which the records of a group override each other.
+
+    Records are merged in `ordinal` order; a record at least as new (last_date) as everything
+    before it goes on top, any other below all before it. "At least as new" needs the running
+    maximum, taken over blocks of ordinals first so that no task sorts a whole hot group.
+    """
+    cut = df.withColumn("_block", F.floor(F.col("ordinal") / block))
+    blocks = cut.groupBy(*keys, "_block").agg(F.max("last_date").alias("_block_max"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(*keys, "_block", F.max("_block_max").over(before).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_block").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    running = cut.withColumn("_inside", F.max("last_date").over(inside)).join(carried, [*keys, "_block"])
+    newest = F.greatest("_carried", "_inside")
+    on_top = newest.isNull() | F.coalesce(F.col("last_date") >= newest, F.lit(False))
+    return running.withColumn("rank", F.when(on_top, F.col("ordinal")).otherwise(-F.col("ordinal") - 1)).drop("_block", "_carried", "_inside")
+
+
+def merge_offers(offers: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One offer per (item, shop): all fields of the record with the newest history, ties to the later record.
+
+    `offers` carries last_date and ordinal; aggregated before the shuffle.
+    """
+    keys = keys or hist.SERIES
+    fields = [c for c in offers.columns if c not in keys]
+    newest = F.struct(F.coalesce("last_date", F.lit("0001-01-01").cast("date")), "ordinal")
+    return offers.groupBy(*keys).agg(F.max_by(F.struct(*fields), newest).alias("w")).select(*keys, "w.*")
+
+
+def merge_items(items: DataFrame, code_pattern: str = CODE_PATTERN) -> DataFrame:
+    """One item per entity_key by field-wise survivorship over records in ordinal order.
+
+    Name: the first canonical record's, else the shortest; model: the first that is nothing but a
+    code, else the first; canonical id and image: the first non-empty.
+    """
+    canonical = F.coalesce("canonical_id", F.lit("")) != ""
+    name, model = nonblank("name"), nonblank("model_no")
+    by_name = F.struct(~canonical, F.when(canonical, 0).otherwise(F.length("name")), "ordinal")
+    by_model = F.struct(~F.coalesce(F.col("model_no").rlike(f"(?i)^(?:{code_pattern})$"), F.lit(False)), "ordinal")
+
+    def first(c):
+        return F.min_by(c, F.when(F.col(c) != "", F.col("ordinal")))
+
+    return items.groupBy("entity_key").agg(
+        first("canonical_id").alias("canonical_id"),
+        F.coalesce(F.min_by("name", F.when(name.isNotNull(), by_name)), F.lit("")).alias("name"),
+        F.coalesce(F.min_by("model_no", F.when(model.isNotNull(), by_model)), F.lit("")).alias("model_no"),
+        F.coalesce(first("image_url"), F.lit("")).alias("image_url"),
+        F.min("ordinal").alias("ordinal"),
+    )
+
+
+def merge_store(store: Store, key_map: DataFrame) -> Store:
+    """All tables re-pointed by key_map(entity_key, new_key, ordinal) and merged per new key.
+
+    Former keys and name_model texts become alias keys; these stay in long form, one row per
+    alias, so that a key which very many records collapse into never builds one huge value.
+    """
+    def moved(df: DataFrame, *more: str) -> DataFrame:
+        return df.join(key_map.select("entity_key", "new_key", *more), "entity_key")
+
+    items = moved(store.items)
+    former = items.select("new_key", F.explode(F.array("entity_key", F.concat_ws("_", "name", "model_no"))).alias("alias_key"))
+    listed = moved(store.aliases).select("new_key", "alias_key")
+    aliases = former.unionByName(listed).filter((F.col("alias_key") != "") & (F.col("alias_key") != F.col("new_key"))).distinct()
+
+    item_level = moved(store.history.filter(F.col("shop_id") == "*"), "ordinal").select(
+        F.col("new_key").alias("entity_key"), "shop_id", "date", "price", F.col("ordinal").alias("rank"))
+    of_shops = store.history.filter(F.col("shop_id") != "*")
+    ages = of_shops.groupBy(*hist.SERIES).agg(F.max("date").alias("last_date"))
+    dated = moved(store.offers.drop("last_date").join(ages, hist.SERIES, "left"), "ordinal")
+    ranks = precedence(dated.select("new_key", "entity_key", "shop_id", "last_date", "ordinal"), ["new_key", "shop_id"])
+    per_shop = of_shops.join(ranks.select("entity_key", "shop_id", "new_key", "rank"), hist.SERIES).select(
+        F.col("new_key").alias("entity_key"), "shop_id", "date", "price", "rank")
+    return Store(
+        merge_items(items.drop("entity_key").withColumnRenamed("new_key", "entity_key")),
+        aliases.withColumnRenamed("new_key", "entity_key"),
+        merge_offers(dated.drop("entity_key").withColumnRenamed("new_key", "entity_key")).drop("ordinal"),
+        hist.merge_ranked_histories(per_shop.unionByName(item_level), "rank"),
+    )
+
+
+def identity_key_map(items: DataFrame, rules: IdentityRules) -> DataFrame:
+    """entity_key -> new_key recomputed from the item's name and model."""
+    return resolve_identity(items.select("entity_key", "name", "model_no", "ordinal"), rules).select(
+        "entity_key", F.col("identity_key").alias("new_key"), "ordinal")
+
+
+def with_default_offers(store: Store, shop_id: str) -> Store:
+    """Items stored without any offer get one of the given shop, with the item's own price and history."""
+    bare = store.items.join(store.offers.select("entity_key"), "entity_key", "left_anti")
+    price = F.coalesce("latest_price", F.lit(0)).cast("long") if "latest_price" in store.items.columns else F.lit(0).cast("long")
+    made = bare.select("entity_key", F.lit(shop_id).alias("shop_id"), price.alias("latest_price"), "image_url")
+    own = store.history.filter(F.col("shop_id") == "*").join(bare.select("entity_key"), "entity_key", "left_semi").withColumn("shop_id", F.lit(shop_id))
+    return Store(store.items, store.aliases, store.offers.unionByName(made, allowMissingColumns=True), store.history.unionByName(own))
+
+
+def rekey(store: Store, rules: IdentityRules, default_shop: str | None = None) -> Store:
+    """Store under recomputed identity keys; items that now share a key are merged in item order."""
+    if default_shop is not None:
+        store = with_default_offers(store, default_shop)
+    return merge_store(store, identity_key_map(store.items, rules))
+
+
+def finish_store(store: Store, shops: DataFrame, exclude: DataFrame | None = None) -> Store:
+    """Best offers recomputed (histories merged), items without any priced offer dropped, canonical order."""
+    item_log = store.history.filter(F.col("shop_id") == "*").select("entity_key", "date", "price")
+    of_shops = store.history.filter(F.col("shop_id") != "*")
+    refreshed, log = off.refresh_best(store.items, store.offers, of_shops, item_log, shops, exclude, "merge")
+    kept = off.retain_priced(refreshed, store.offers)
+    history = of_shops.unionByName(log.withColumn("shop_id", F.lit("*"))).join(kept.select("entity_key"), "entity_key", "left_semi")
+    return Store(off.order_canonical(kept), store.aliases, store.offers, history)
+
+
+def migrate_keys(store: Store, alias_members: DataFrame, shops: DataFrame, rules: IdentityRules,
+                 exclude: DataFrame | None = None) -> tuple[Store, DataFrame]:
+    """Whole store re-keyed and finished, and alias members with recomputed source keys and a `changed` flag."""
+    resolved = resolve_identity(alias_members, rules)
+    members = resolved.withColumn("changed", ~F.col("source_key").eqNullSafe(F.col("identity_key"))).withColumn(
+        "source_key", F.col("identity_key")).select(*alias_members.columns, "changed")
+    return finish_store(rekey(store, rules), shops, exclude), members

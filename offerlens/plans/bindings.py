@@ -57,6 +57,31 @@ SELECT l_partkey AS entity_key, l_returnflag AS shop_id, CAST(l_shipdate AS DATE
        max(CAST(round(l_extendedprice / l_quantity) AS BIGINT)) AS price
 FROM lineitem GROUP BY 1, 2, 3"""
 
+# --- listings: every part as three shops spell it; six parts share a product code ---------------
+BINDINGS["parts"] = """
+SELECT p_partkey, p_name, p_brand, p_type, p_size, adj, vtag, concat(prefix, lpad(CAST(CAST(floor(g / 1000) AS BIGINT) % 100 AS VARCHAR(20)), 2, '0'), '-',
+         lpad(CAST(g % 1000 AS VARCHAR(20)), 3, '0')) AS code
+FROM (SELECT p.*, split_part(p_name, ' ', 1) AS adj, CAST(floor(p_partkey / 6) AS BIGINT) AS g,
+        CASE CAST(floor(p_partkey / 600000) AS BIGINT) % 3 WHEN 0 THEN 'OP' WHEN 1 THEN 'ST' ELSE 'EB' END AS prefix,
+        CASE p_partkey % 6 WHEN 2 THEN 'parallel' WHEN 3 THEN 'parallel' WHEN 4 THEN 'opened' WHEN 5 THEN 'unopened' ELSE '' END AS vtag
+      FROM part p) x"""
+BINDINGS["lot_offers"] = """
+SELECT entity_key, shop_id, max_by(price, date) AS latest_price, max(date) AS last_date FROM lots GROUP BY entity_key, shop_id"""
+BINDINGS["listings"] = """
+SELECT p.p_partkey, o.shop_id, o.latest_price, o.last_date, p.code, p.adj, p.vtag, p.p_name, p.p_size,
+  p_partkey * 3 + CASE o.shop_id WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS ordinal,
+  CASE o.shop_id
+    WHEN 'A' THEN concat(p_name, ' [', CASE vtag WHEN 'parallel' THEN 'Parallel Foil' WHEN 'opened' THEN 'Opened' WHEN 'unopened' THEN 'UNOPENED' ELSE 'R' END, '] (', adj, ')')
+    WHEN 'N' THEN concat(p_name, ' ', lower(code), ' (', upper(adj), '/R/2024)')
+    ELSE concat('[', adj, ']', p_name, CASE vtag WHEN 'opened' THEN ' ※opened' WHEN 'unopened' THEN ' unopened' ELSE '' END) END AS name,
+  CASE o.shop_id WHEN 'A' THEN code WHEN 'N' THEN concat('No: ', vtag) ELSE concat(code, CASE vtag WHEN 'parallel' THEN '※parallel' ELSE '' END) END AS model_no
+FROM parts p JOIN lot_offers o ON p.p_partkey = o.entity_key"""
+BINDINGS["identities"] = """
+SELECT p_partkey, code, concat(lower(code), '@', CASE WHEN vtag = '' THEN adj WHEN vtag < adj THEN concat(vtag, '+', adj) ELSE concat(adj, '+', vtag) END) AS identity_key
+FROM parts"""
+BINDINGS["lot_shops"] = """
+SELECT * FROM (VALUES ('A', 'Shop A', 0, true), ('N', 'Shop N', 1, true), ('R', 'Shop R', 2, true)) AS t(shop_id, shop_name, ordinal, enabled)"""
+
 # --- holdings from the order book ------------------------------------------------------------
 BINDINGS["holdings"] = """
 SELECT o_custkey AS owner_id, o_orderkey % (SELECT max(user_id) + 1 FROM events) AS entity_key, count(*) AS qty
