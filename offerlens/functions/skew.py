@@ -6,12 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", rows_per_task: int = 1_000_000) -> DataFrame:
-    """Join `many` to `few` on `keys`, splitting keys with more than `rows_per_task` rows in `many`.
+def splits_skew_itself(df: DataFrame) -> bool:
+    """Whether the session splits oversized shuffle-join partitions at run time."""
+    conf = df.sparkSession.conf
+    return all(conf.get(f"spark.sql.adaptive.{k}", "true") == "true" for k in ("enabled", "skewJoin.enabled"))
 
-    Only such hot keys get a salt (their rows in `few` are repeated once per split), so the
-    join does no extra work for ordinary keys. The list of hot keys is at most
-    rows / rows_per_task long. Works for inner and left joins.
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Inner or left join of `many` to `few`, where a key may hold a large share of `many`.
+
+    Adaptive execution splits such partitions with no extra pass. Where the session has it
+    switched off, the hot keys are salted instead.
+    """
+    return many.join(few, keys, how) if splits_skew_itself(many) else salted_join(many, few, keys, how)
+
+
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", rows_per_task: int = 1_000_000) -> DataFrame:
+    """Join with a salt on keys having more than `rows_per_task` rows in `many`.
+
+    Their rows in `few` are repeated once per split; all other keys have one split. The list of
+    hot keys is at most rows / rows_per_task long.
     """
     splits = (
         many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))

@@ -59,7 +59,7 @@ FROM lineitem GROUP BY 1, 2, 3"""
 
 # --- listings: every part as three shops spell it; six parts share a product code ---------------
 BINDINGS["parts"] = """
-SELECT p_partkey, p_name, p_brand, p_type, p_size, adj, vtag, concat(prefix, lpad(CAST(CAST(floor(g / 1000) AS BIGINT) % 100 AS VARCHAR(20)), 2, '0'), '-',
+SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, adj, vtag, concat(prefix, lpad(CAST(CAST(floor(g / 1000) AS BIGINT) % 100 AS VARCHAR(20)), 2, '0'), '-',
          lpad(CAST(g % 1000 AS VARCHAR(20)), 3, '0')) AS code
 FROM (SELECT p.*, split_part(p_name, ' ', 1) AS adj, CAST(floor(p_partkey / 6) AS BIGINT) AS g,
         CASE CAST(floor(p_partkey / 600000) AS BIGINT) % 3 WHEN 0 THEN 'OP' WHEN 1 THEN 'ST' ELSE 'EB' END AS prefix,
@@ -82,6 +82,27 @@ FROM parts"""
 BINDINGS["lot_shops"] = """
 SELECT * FROM (VALUES ('A', 'Shop A', 0, true), ('N', 'Shop N', 1, true), ('R', 'Shop R', 2, true)) AS t(shop_id, shop_name, ordinal, enabled)"""
 
+# --- attribute dimension: one row per product code whose smallest part is not too large ----------
+BINDINGS["detail_rows"] = """
+SELECT code AS card_number, p_name AS card_name, adj AS color1, CASE WHEN p_size % 9 = 0 THEN 'blue' END AS color2,
+  CASE WHEN p_size % 3 = 0 THEN 'ライフ' ELSE 'コスト' END AS cost_type,
+  CASE WHEN p_size % 7 = 0 THEN '-' WHEN p_size % 13 = 0 THEN NULL ELSE CAST(p_size % 12 AS VARCHAR(9)) END AS cost_value,
+  CASE WHEN p_size % 5 = 0 THEN '-' WHEN p_size % 11 = 0 THEN NULL ELSE CAST(p_size * 100 AS VARCHAR(9)) END AS power,
+  CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN '-' ELSE '1000' END AS counter,
+  CASE WHEN p_size % 6 = 0 THEN '-' WHEN p_size % 6 = 1 THEN 'slash/strike' ELSE 'wisdom' END AS attribute,
+  CASE p_type WHEN 'PROMO' THEN 'LEADER' WHEN 'LARGE' THEN 'EVENT' WHEN 'SMALL' THEN 'ドン!!' ELSE p_type END AS card_type,
+  CASE p_size % 4 WHEN 0 THEN 'L' WHEN 1 THEN 'SR' WHEN 2 THEN 'ZZ' ELSE '' END AS rarity, CAST(p_size % 3 AS VARCHAR(9)) AS block,
+  CASE WHEN p_size % 5 = 1 THEN concat('【ブロッカー】', p_name) WHEN p_size % 5 = 2 THEN '-' ELSE '' END AS effect_text,
+  CASE WHEN p_size % 7 = 2 THEN 'draw' WHEN p_size % 7 = 3 THEN '-' END AS trigger,
+  CASE WHEN p_size % 2 = 0 THEN concat('Set of ', adj) END AS series_title
+FROM (SELECT p.*, row_number() OVER (PARTITION BY code ORDER BY p_partkey) AS rn FROM parts p) x WHERE rn = 1 AND p_size <= 45"""
+BINDINGS["part_items"] = """
+SELECT p_partkey AS entity_key, CASE WHEN p_partkey % 10 = 0 THEN concat(p_name, ' SP') ELSE p_name END AS name,
+  CASE WHEN p_partkey % 4 = 0 THEN concat('no ', lower(code), ' x') WHEN p_partkey % 4 = 1 THEN '' ELSE code END AS model_no,
+  CASE WHEN p_partkey % 4 = 1 THEN code ELSE '' END AS name_code, code, p_partkey AS ordinal,
+  CAST(round(p_retailprice) AS BIGINT) % 1500 AS active_price, p_size % 7 - 3 AS day_diff, p_size % 5 - 2 AS week_diff
+FROM parts"""
+
 # --- holdings from the order book ------------------------------------------------------------
 BINDINGS["holdings"] = """
 SELECT o_custkey AS owner_id, o_orderkey % (SELECT max(user_id) + 1 FROM events) AS entity_key, count(*) AS qty
