@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions.columns import CODE_PATTERN, nonblank
+from offerlens.functions.durable import checkpointed
+from offerlens.functions.ordered import with_max_before
 from offerlens.operators import history as hist
 from offerlens.operators import offers as off
 from offerlens.operators.identity import IdentityRules, resolve_identity
@@ -61,18 +63,11 @@ def precedence(df: DataFrame, keys: list[str], block: int = 100_000) -> DataFram
     """Adds `rank`: the order in which the records of a group override each other.
 
     Records are merged in `ordinal` order; a record at least as new (last_date) as everything
-    before it goes on top, any other below all before it. "At least as new" needs the running
-    maximum, taken over blocks of ordinals first so that no task sorts a whole hot group.
+    before it goes on top, any other below all before it.
     """
-    cut = df.withColumn("_block", F.floor(F.col("ordinal") / block))
-    blocks = cut.groupBy(*keys, "_block").agg(F.max("last_date").alias("_block_max"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select(*keys, "_block", F.max("_block_max").over(before).alias("_carried"))
-    inside = Window.partitionBy(*keys, "_block").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    running = cut.withColumn("_inside", F.max("last_date").over(inside)).join(carried, [*keys, "_block"])
-    newest = F.greatest("_carried", "_inside")
-    on_top = newest.isNull() | F.coalesce(F.col("last_date") >= newest, F.lit(False))
-    return running.withColumn("rank", F.when(on_top, F.col("ordinal")).otherwise(-F.col("ordinal") - 1)).drop("_block", "_carried", "_inside")
+    running = with_max_before(df, keys, "ordinal", "last_date", "_newest", block)
+    on_top = F.col("_newest").isNull() | F.coalesce(F.col("last_date") >= F.col("_newest"), F.lit(False))
+    return running.withColumn("rank", F.when(on_top, F.col("ordinal")).otherwise(-F.col("ordinal") - 1)).drop("_newest")
 
 
 def merge_offers(offers: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -158,7 +153,8 @@ def rekey(store: Store, rules: IdentityRules, default_shop: str | None = None) -
     """Store under recomputed identity keys; items that now share a key are merged in item order."""
     if default_shop is not None:
         store = with_default_offers(store, default_shop)
-    return merge_store(store, identity_key_map(store.items, rules))
+    # The key map is read by every table of the store; names are parsed once.
+    return merge_store(store, checkpointed(identity_key_map(store.items, rules)))
 
 
 def finish_store(store: Store, shops: DataFrame, exclude: DataFrame | None = None) -> Store:

@@ -63,7 +63,7 @@ SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, adj, vtag, con
          lpad(CAST(g % 1000 AS VARCHAR(20)), 3, '0')) AS code
 FROM (SELECT p.*, split_part(p_name, ' ', 1) AS adj, CAST(floor(p_partkey / 6) AS BIGINT) AS g,
         CASE CAST(floor(p_partkey / 600000) AS BIGINT) % 3 WHEN 0 THEN 'OP' WHEN 1 THEN 'ST' ELSE 'EB' END AS prefix,
-        CASE p_partkey % 6 WHEN 2 THEN 'parallel' WHEN 3 THEN 'parallel' WHEN 4 THEN 'opened' WHEN 5 THEN 'unopened' ELSE '' END AS vtag
+        CASE p_partkey % 6 WHEN 2 THEN 'parallel' WHEN 3 THEN 'serial' WHEN 4 THEN 'opened' WHEN 5 THEN 'unopened' ELSE '' END AS vtag
       FROM part p) x"""
 BINDINGS["lot_offers"] = """
 SELECT entity_key, shop_id, max_by(price, date) AS latest_price, max(date) AS last_date FROM lots GROUP BY entity_key, shop_id"""
@@ -71,14 +71,26 @@ BINDINGS["listings"] = """
 SELECT p.p_partkey, o.shop_id, o.latest_price, o.last_date, p.code, p.adj, p.vtag, p.p_name, p.p_size,
   p_partkey * 3 + CASE o.shop_id WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS ordinal,
   CASE o.shop_id
-    WHEN 'A' THEN concat(p_name, ' [', CASE vtag WHEN 'parallel' THEN 'Parallel Foil' WHEN 'opened' THEN 'Opened' WHEN 'unopened' THEN 'UNOPENED' ELSE 'R' END, '] (', adj, ')')
+    WHEN 'A' THEN concat(p_name, ' [', CASE vtag WHEN 'parallel' THEN 'Parallel Foil' WHEN 'serial' THEN 'Serial' WHEN 'opened' THEN 'Opened' WHEN 'unopened' THEN 'UNOPENED' ELSE 'R' END, '] (', adj, ')')
     WHEN 'N' THEN concat(p_name, ' ', lower(code), ' (', upper(adj), '/R/2024)')
     ELSE concat('[', adj, ']', p_name, CASE vtag WHEN 'opened' THEN ' ※opened' WHEN 'unopened' THEN ' unopened' ELSE '' END) END AS name,
-  CASE o.shop_id WHEN 'A' THEN code WHEN 'N' THEN concat('No: ', vtag) ELSE concat(code, CASE vtag WHEN 'parallel' THEN '※parallel' ELSE '' END) END AS model_no
+  CASE o.shop_id WHEN 'A' THEN code WHEN 'N' THEN concat('No: ', vtag) ELSE concat(code, CASE vtag WHEN 'parallel' THEN '※parallel' WHEN 'serial' THEN '※serial' ELSE '' END) END AS model_no
 FROM parts p JOIN lot_offers o ON p.p_partkey = o.entity_key"""
 BINDINGS["identities"] = """
 SELECT p_partkey, code, concat(lower(code), '@', CASE WHEN vtag = '' THEN adj WHEN vtag < adj THEN concat(vtag, '+', adj) ELSE concat(adj, '+', vtag) END) AS identity_key
 FROM parts"""
+# The same listings with one item each; shop N names the noun where the others name the adjective.
+BINDINGS["er"] = """
+SELECT l.*, concat('k', p_partkey, shop_id) AS source_key, CASE WHEN p_size = 50 THEN concat('canon', p_partkey) END AS canonical_id,
+  CASE shop_id WHEN 'N' THEN split_part(p_name, ' ', 2) ELSE adj END AS soft,
+  CASE shop_id WHEN 'N' THEN concat(p_name, ' ', lower(code), ' (', upper(split_part(p_name, ' ', 2)), '/R/2024)') ELSE name END AS er_name,
+  CASE WHEN p_size % 7 = 0 THEN '' WHEN shop_id = 'R' AND p_size % 2 = 1 THEN concat('http://img/', p_partkey + 1) ELSE concat('http://img/', p_partkey) END AS img
+FROM listings l"""
+BINDINGS["img_vectors"] = """
+SELECT concat('http://img/', p.p_partkey) AS url, p.p_size AS priority, e.embedding
+FROM part p JOIN embeddings e ON e.vec_id = p.p_partkey"""
+BINDINGS["reviewed"] = """
+SELECT concat('candidate_', code, '_serial') AS candidate_id, p_partkey AS position FROM parts WHERE vtag = 'serial' AND p_size <= 25"""
 BINDINGS["lot_shops"] = """
 SELECT * FROM (VALUES ('A', 'Shop A', 0, true), ('N', 'Shop N', 1, true), ('R', 'Shop R', 2, true)) AS t(shop_id, shop_name, ordinal, enabled)"""
 

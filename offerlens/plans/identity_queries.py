@@ -16,6 +16,7 @@ RULES = IdentityRules(
         TokenRule(r"(?i)unopened", ("unopened",)),
         TokenRule(r"(?i)opened", ("opened",)),
         TokenRule(r"(?i)parallel", ("parallel",)),
+        TokenRule(r"(?i)^serial$", ("serial",)),
     ),
     interactions=(TagInteraction(if_all=("parallel",), drop=("foil",)),),
     rarity_pattern="(?i)^(?:r|sr|uc|c)$",
