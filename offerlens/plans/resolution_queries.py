@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from offerlens.functions.durable import checkpointed
 from offerlens.operators import aliases as al
 from offerlens.operators import merge
 from offerlens.operators import resolution as er
@@ -40,6 +41,11 @@ def candidates(i):
     return er.build_candidates(records(i), signatures(i), SHOP_ORDER)
 
 
+def written_candidates(i):
+    """The candidates as the later jobs read them: from a written table."""
+    return checkpointed(candidates(i))
+
+
 ER = """
 recs AS (SELECT source_key, shop_id, code AS model_code, er_name, latest_price, img, ordinal, p_partkey, vtag, soft, p_size, model_no,
     lower(code) || '@' || array_to_string(list_sort(list_filter([vtag, soft], lambda t: t <> '')), '+') AS identity_key,
@@ -142,7 +148,7 @@ UNION ALL SELECT 'reason', reason, '', count(*) FROM (SELECT unnest(str_split(wh
 UNION ALL SELECT 'summary', 'total', '', count(*) FROM gated UNION ALL SELECT 'summary', 'accepted', '', count(*) FROM gated WHERE candidate_id IN (SELECT candidate_id FROM reviewed)
 UNION ALL SELECT 'summary', 'deferred', '', count(*) FROM open""")
 def deferral_report(i):
-    deferred, counts, total = al.deferral_report(candidates(i), i.reviewed)
+    deferred, counts, total = al.deferral_report(written_candidates(i), i.reviewed)
     row = lambda kind, subject, detail, n: [F.lit(kind).alias("kind"), subject.alias("subject"), detail.alias("detail"), n.cast("long").alias("n")]
     return (
         deferred.select(*row("candidate", F.col("candidate_id"), F.array_join("reasons", "; "), F.lit(1)))
@@ -173,7 +179,7 @@ old_members AS (SELECT canonical_id, batch, unnest(['A', 'N']) AS shop_id, 'k' |
 SELECT canonical_id, shop_id, source_key FROM old_members WHERE batch <> 'now'
 UNION ALL SELECT g.canonical_id, t.shop_id, t.source_key FROM gated g JOIN reviewed USING (candidate_id) JOIN top t USING (model_code, signature)""")
 def alias_groups_from(i):
-    return al.alias_groups_from(candidates(i), i.reviewed, *stored_groups(i), "now")[1].select("canonical_id", "shop_id", "source_key")
+    return al.alias_groups_from(written_candidates(i), i.reviewed, *stored_groups(i), "now")[1].select("canonical_id", "shop_id", "source_key")
 
 
 @query("er13_review_violations", f"""WITH {ER}, {BASE_GROUPS}
@@ -181,7 +187,7 @@ SELECT 'missing candidate' AS kind, candidate_id AS subject FROM reviewed WHERE
 UNION ALL SELECT 'unsafe candidate', candidate_id FROM gated JOIN reviewed USING (candidate_id) WHERE reasons <> ''
 UNION ALL SELECT 'canonical id in use', canonical_id FROM gated JOIN reviewed USING (candidate_id) WHERE canonical_id IN (SELECT canonical_id FROM old_groups WHERE batch <> 'now')""")
 def review_violations(i):
-    return al.review_violations(candidates(i), i.reviewed, stored_groups(i)[0], "now")
+    return al.review_violations(written_candidates(i), i.reviewed, stored_groups(i)[0], "now")
 
 
 @query("er14_validate_alias_groups", f"""WITH {ER}, {BASE_GROUPS},
@@ -193,7 +199,7 @@ UNION ALL SELECT 'fewer than two stored items', g.canonical_id FROM groups2 g WH
   (SELECT count(DISTINCT m.source_key) FROM members2 m JOIN er e ON e.source_key = m.source_key WHERE m.canonical_id = g.canonical_id) < 2""")
 def validate_alias_groups(i):
     """The groups after the batch, with every member assigned to shop A, against all stored items."""
-    groups, members = al.alias_groups_from(candidates(i), i.reviewed, *stored_groups(i), "now")
+    groups, members = al.alias_groups_from(written_candidates(i), i.reviewed, *stored_groups(i), "now")
     kept = members.join(groups.filter("batch = 'now'").select(F.col("canonical_id")), "canonical_id", "left_semi").withColumn("shop_id", F.lit("A"))
     others = members.join(groups.filter("batch = 'now'").select(F.col("canonical_id")), "canonical_id", "left_anti")
     return al.validate_alias_groups(groups, kept.unionByName(others), er_tables(i)[0])
@@ -225,7 +231,8 @@ def alias_store(i):
     e = i.er.withColumn("entity_key", F.when((F.col("vtag") == "serial") & (F.col("shop_id") == "R"), F.concat(
         F.lower("code"), F.lit("@"), F.array_join(F.array_sort(F.array("adj", F.lit("serial"))), "+"))).otherwise(F.col("source_key")))
     held = (F.col("shop_id") == "A") & (F.col("p_partkey") % 6 == 0) & (F.col("p_size") > 30)
-    items = e.select("entity_key", F.when(held, F.concat("code", F.lit("_SERIAL"))).alias("canonical_id"), F.lit("unnamed").alias("name"), "model_no", F.lit("").alias("image_url"), "ordinal")
+    items = e.select("entity_key", F.when(held, F.concat("code", F.lit("_SERIAL"))).alias("canonical_id"), F.lit("unnamed").alias("name"),
+                     F.when(F.col("shop_id") == "N", F.col("code")).otherwise(F.col("model_no")).alias("model_no"), F.lit("").alias("image_url"), "ordinal")
     aliases = e.select("entity_key", F.concat(F.lit("was-"), "source_key").alias("alias_key"))
     offers = e.select("entity_key", "shop_id", "latest_price", F.col("er_name").alias("source_name"), F.col("img").alias("image_url"))
     log = i.lots.select(F.col("entity_key").alias("p_partkey"), "shop_id", "date", "price").join(e.select("p_partkey", "shop_id", "entity_key"), ["p_partkey", "shop_id"]).select(
@@ -243,11 +250,11 @@ def alias_store(i):
 WITH heads AS (SELECT p_partkey, code, code || '_SERIAL' AS gid, CASE WHEN p_size > 20 THEN 'Serial ' || p_name ELSE 'unnamed' END AS name FROM parts WHERE vtag = 'serial' AND p_size <= 40),
 e AS (SELECT er.*, CASE WHEN shop_id = 'A' AND p_partkey % 6 = 0 AND p_size > 30 THEN code || '_SERIAL' END AS holds FROM er),
 taken AS (SELECT h.gid, h.name, h.code, e.p_partkey, e.shop_id, e.latest_price, e.last_date, e.source_key, CASE WHEN e.holds = h.gid THEN 0 ELSE 1 END AS place, e.ordinal
-          FROM heads h JOIN e ON e.p_partkey = h.p_partkey OR e.holds = h.gid),
+          FROM heads h JOIN e ON e.p_partkey = h.p_partkey OR e.holds = h.gid OR (e.shop_id = 'N' AND e.code = h.code AND e.p_name = h.p_name)),
 two AS (SELECT gid FROM taken GROUP BY 1 HAVING count(*) >= 2),
 final AS (SELECT t.* FROM taken t JOIN two USING (gid)),
-offers2 AS (SELECT gid AS entity_key, name, code AS model_no, shop_id, max_by(latest_price, (last_date - DATE '1990-01-01') * 10 + place) AS latest_price FROM final GROUP BY ALL
-  UNION ALL SELECT CASE WHEN vtag = 'serial' AND shop_id = 'R' THEN lower(code) || '@' || least(adj, 'serial') || '+' || greatest(adj, 'serial') ELSE source_key END, 'unnamed', model_no, shop_id, latest_price FROM e
+offers2 AS (SELECT gid AS entity_key, name, code AS model_no, shop_id, max_by(latest_price, (last_date - DATE '1990-01-01') * 1000000000 + place * 100000000 + ordinal) AS latest_price FROM final GROUP BY ALL
+  UNION ALL SELECT CASE WHEN vtag = 'serial' AND shop_id = 'R' THEN lower(code) || '@' || least(adj, 'serial') || '+' || greatest(adj, 'serial') ELSE source_key END, 'unnamed', CASE WHEN shop_id = 'N' THEN code ELSE model_no END, shop_id, latest_price FROM e
     WHERE source_key NOT IN (SELECT source_key FROM final)),
 logs AS (SELECT gid AS entity_key, f.shop_id, l.date FROM final f JOIN lots l ON l.entity_key = f.p_partkey AND l.shop_id = f.shop_id GROUP BY ALL),
 sizes AS (SELECT entity_key, shop_id, count(*) AS entries FROM logs GROUP BY ALL)
