@@ -18,3 +18,14 @@ def with_max_before(df: DataFrame, keys: list[str], order: str, value: str, name
     inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     out = cut.withColumn("_inside", F.max(value).over(inside)).join(carried, [*keys, "_block"])
     return out.withColumn(name, F.greatest("_carried", "_inside")).drop("_block", "_carried", "_inside")
+
+
+def with_sum_before(df: DataFrame, keys: list[str], order: str, value: str, name: str, block: int = 100_000) -> DataFrame:
+    """Adds `name`: the sum of `value` over the group's rows with a lower `order`, computed block-wise as above."""
+    cut = df.withColumn("_block", F.floor(F.col(order) / block))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cut.groupBy(*keys, "_block").agg(F.sum(value).alias("_top")).select(*keys, "_block", F.sum("_top").over(before).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.withColumn("_inside", F.sum(value).over(inside)).join(carried, [*keys, "_block"])
+    total = F.coalesce("_carried", F.lit(0)) + F.coalesce("_inside", F.lit(0))
+    return out.withColumn(name, total.cast("long")).drop("_block", "_carried", "_inside")

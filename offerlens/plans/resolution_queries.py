@@ -247,7 +247,7 @@ def alias_store(i):
 
 
 @query("er16_apply_aliases", """
-WITH heads AS (SELECT p_partkey, code, code || '_SERIAL' AS gid, CASE WHEN p_size > 20 THEN 'Serial ' || p_name ELSE 'unnamed' END AS name FROM parts WHERE vtag = 'serial' AND p_size <= 40),
+WITH heads AS (SELECT p_partkey, p_name, code, code || '_SERIAL' AS gid, CASE WHEN p_size > 20 THEN 'Serial ' || p_name ELSE 'unnamed' END AS name FROM parts WHERE vtag = 'serial' AND p_size <= 40),
 e AS (SELECT er.*, CASE WHEN shop_id = 'A' AND p_partkey % 6 = 0 AND p_size > 30 THEN code || '_SERIAL' END AS holds FROM er),
 taken AS (SELECT h.gid, h.name, h.code, e.p_partkey, e.shop_id, e.latest_price, e.last_date, e.source_key, CASE WHEN e.holds = h.gid THEN 0 ELSE 1 END AS place, e.ordinal
           FROM heads h JOIN e ON e.p_partkey = h.p_partkey OR e.holds = h.gid OR (e.shop_id = 'N' AND e.code = h.code AND e.p_name = h.p_name)),
