@@ -44,14 +44,14 @@ def history_tails(history: DataFrame) -> DataFrame:
     return history.groupBy(*SERIES).agg(F.max("date").alias("date"), F.max_by("price", "date").alias("price"))
 
 
-def extend_change_log(history: DataFrame, observations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Change log after new observations, and the observations older than their series' tail.
+def log_changes(tails: DataFrame, observations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries to add or overwrite, late observations) for observations that follow a log with these tails.
 
     The stored tail takes part as an earlier observation of its own day, which makes the
-    closed form continue where the log stopped.
+    closed form continue where the log stopped. Observations before their series' tail are late.
     """
-    tails = history_tails(history).select(*SERIES, F.col("date").alias("tail_date"), F.col("price").alias("tail_price"))
-    tagged = observations.join(tails, SERIES, "left")
+    known = tails.select(*SERIES, F.col("date").alias("tail_date"), F.col("price").alias("tail_price"))
+    tagged = observations.join(known, SERIES, "left")
     late = tagged.filter(F.col("obs_date") < F.col("tail_date")).select(*observations.columns)
     fresh = tagged.filter(F.col("tail_date").isNull() | (F.col("obs_date") >= F.col("tail_date")))
 
@@ -74,6 +74,12 @@ def extend_change_log(history: DataFrame, observations: DataFrame) -> tuple[Data
         )
         .select(*SERIES, "date", "price")
     )
+    return changed, late
+
+
+def extend_change_log(history: DataFrame, observations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Change log after new observations, and the late ones among them."""
+    changed, late = log_changes(history_tails(history), observations)
     return override_history(history, changed), late
 
 
