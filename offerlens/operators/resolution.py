@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.functions.columns import nonblank, round_half_up
+from offerlens.functions.durable import checkpointed
 from offerlens.functions.unicode import nfkc
 from offerlens.operators import history as hist
 from offerlens.operators.identity import IdentityRules, resolve_identity
@@ -74,7 +75,11 @@ def top_k_per_block(records: DataFrame, k: int = 8) -> DataFrame:
 
 
 def review_records(records: DataFrame, k: int = 8) -> DataFrame:
-    """Records to review: the top k of every qualifying block."""
+    """Records to review: the top k of every qualifying block.
+
+    The records are read twice, so they are written once instead of parsing all names again.
+    """
+    records = checkpointed(records)
     return top_k_per_block(records.join(candidate_blocks(records), BLOCK, "left_semi"), k)
 
 

@@ -15,7 +15,7 @@ from offerlens.functions.unicode import letters_and_digits, search_fold
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 UNIT = "\x01"
-GRAM_SIZES = (1, 2, 4)
+GRAM_SIZES = (1, 2, 4, 6)
 # Token grammar of a query text, and the edit distances allowed up to a token length.
 QUERY_TOKEN = r'(?U)[-－−]?(?:"[^"]+"|“[^”]+”|\S+)'
 FUZZY_LIMITS = ((2, 0), (4, 1), (8, 2))
@@ -119,6 +119,9 @@ def fuzzy_terms(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
         F.explode(F.array_distinct(F.when(F.col("l") <= 4, _probes(F.col("compact"), F.col("l"), 1))
                                    .when(F.col("l") <= 8, _probes(F.col("compact"), F.col("l"), 2))
                                    .otherwise(_probes(F.col("compact"), F.col("l"), 3)))).alias("p"))
+    # Terms longer than any token can reach, such as whole texts, are left out before anything is shuffled.
+    longest = tokens.agg((F.max(length) + FUZZY_MAX).alias("n")).scalar()
+    vocabulary = vocabulary.filter(F.length("term") <= longest)
     n = F.length("term")
     parts = vocabulary.select("term").distinct().select("term", F.explode(F.flatten(F.array(*[
         F.when(n > k, _segments(F.col("term"), n, k)).otherwise(F.array()) for k in (1, 2, 3)]))).alias("p"))
@@ -130,21 +133,31 @@ def fuzzy_terms(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
-def _query_plans(tokens: DataFrame, queries: DataFrame, mode: str) -> DataFrame:
-    """Per query its include and exclude tokens and the anchors it is looked up by; a query has few tokens."""
-    token = F.struct("normalized", "compact")
+def _query_plans(tokens: DataFrame, queries: DataFrame) -> DataFrame:
+    """Per query its include and exclude tokens; a query has few tokens."""
+    token = F.struct("normalized", "compact", _longest_run(F.col("normalized")).alias("run"))
     sides = tokens.groupBy("query_id").agg(
         F.collect_list(F.when(~F.col("exclude"), token)).alias("include"),
         F.collect_list(F.when(F.col("exclude"), token)).alias("exclude"))
-    empty = F.array().cast("array<struct<normalized:string,compact:string>>")
-    plans = queries.select("query_id").distinct().join(sides, "query_id", "left").select(
+    empty = F.array().cast("array<struct<normalized:string,compact:string,run:string>>")
+    return queries.select("query_id").distinct().join(sides, "query_id", "left").select(
         "query_id", F.coalesce("include", empty).alias("include"), F.coalesce("exclude", empty).alias("exclude"))
-    if mode == "OR":
-        return plans.withColumn("anchors", F.col("include"))
-    if mode != "AND":
+
+
+def _longest_run(normalized: Column) -> Column:
+    runs = F.regexp_extract_all(normalized, F.lit(r"([\p{L}\p{N}]+)"))
+    return F.try_element_at(F.array_sort(runs, lambda a, b: F.length(b) - F.length(a)), F.lit(1))
+
+
+def _anchors(plans: DataFrame, mode: str, measure: str) -> DataFrame:
+    """(query_id, normalized, compact, run) a query is looked up by, nulls if it includes nothing.
+
+    Under AND that is the token with the longest `measure`, under OR every token.
+    """
+    if mode not in ("AND", "OR"):
         raise ValueError(f"unknown mode: {mode}")
-    longest = F.array_sort("include", lambda a, b: F.length(b["compact"]) - F.length(a["compact"]))
-    return plans.withColumn("anchors", F.slice(longest, 1, 1))
+    longest = F.array_sort("include", lambda a, b: F.length(b[measure]) - F.length(a[measure]))
+    return plans.select("query_id", F.explode_outer(F.slice(longest, 1, 1) if mode == "AND" else F.col("include")).alias("a")).select("query_id", "a.*")
 
 
 def _contains(token: Column) -> Column:
@@ -167,24 +180,26 @@ def _gram_candidates(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     Whichever way an anchor occurs in a document, the letters and digits of its longest run stand
     together in the compact text.
     """
-    runs = F.array_sort(F.regexp_extract_all("normalized", F.lit(r"([\p{L}\p{N}]+)")), lambda a, b: F.length(b) - F.length(a))
-    run = F.try_element_at(runs, F.lit(1))
-    gram = F
-    for size in sorted(GRAM_SIZES, reverse=True):
-        gram = gram.when(F.length(run) >= size, F.substring(run, 1, size))
-    wanted = anchors.select("query_id", F.coalesce(gram, F.lit("")).alias("gram")).distinct()
-    of_doc = F.array_distinct(F.concat(F.array(F.lit("")), *[F.regexp_extract_all("compact_text", F.lit(rf"(?=(\S{{{n}}}))")) for n in GRAM_SIZES]))
-    return docs.select("entity_key", F.explode(of_doc).alias("gram")).join(wanted, "gram").select("entity_key", "query_id").distinct()
+    size = F
+    for n in sorted(GRAM_SIZES, reverse=True):
+        size = size.when(F.length("run") >= n, n)
+    wanted = anchors.select("query_id", "run", F.coalesce(size, F.lit(0)).alias("n")).select(
+        "query_id", "n", F.coalesce(F.substring("run", F.lit(1), F.col("n")), F.lit("")).alias("gram")).distinct()
+    # The sizes in use, at most all of them: documents give no grams of other sizes.
+    sizes = [r["n"] for r in wanted.select("n").distinct().collect() if r["n"] > 0]
+    of_doc = F.array_distinct(F.concat(F.array(F.lit("")), *[F.regexp_extract_all("compact_text", F.lit(rf"(?=(\S{{{n}}}))")) for n in sizes]))
+    return docs.select("entity_key", F.explode(of_doc).alias("gram")).join(wanted.drop("n"), "gram").select("entity_key", "query_id").distinct()
 
 
 def _fuzzy_candidates(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    terms = docs.select("entity_key", F.explode("terms").alias("term"))
+    longest = anchors.agg((F.max(F.length("compact")) + FUZZY_MAX).alias("n")).scalar()
+    terms = docs.select("entity_key", F.explode("terms").alias("term")).filter(F.length("term") <= longest)
     near = fuzzy_terms(terms, anchors.filter(F.col("compact").isNotNull())).select("compact", "term")
     return terms.join(near, "term").join(anchors.select("compact", "query_id"), "compact").select("entity_key", "query_id")
 
 
 def match_queries(docs: DataFrame, tokens: DataFrame, queries: DataFrame, mode: str = "AND", fuzzy: bool = False,
-                  inline_anchors: int = 256) -> DataFrame:
+                  inline_anchors: int = 1024) -> DataFrame:
     """(query_id, entity_key) of every match.
 
     A token hits a document if the text contains its normalized or the compact text its compact form,
@@ -192,21 +207,22 @@ def match_queries(docs: DataFrame, tokens: DataFrame, queries: DataFrame, mode:
     query without included tokens matches all others. `inline_anchors` bounds how many anchors are
     scanned for directly; beyond it candidates come from the n-gram join.
     """
-    plans = _query_plans(tokens, queries, mode)
-    anchors = plans.select("query_id", F.explode_outer("anchors").alias("a")).select("query_id", "a.normalized", "a.compact")
-    few = [] if fuzzy else anchors.limit(inline_anchors + 1).collect()
+    plans = _query_plans(tokens, queries)
+    few = [] if fuzzy else _anchors(plans, mode, "compact").limit(inline_anchors + 1).collect()
     if few and len(few) <= inline_anchors:
         id_type = queries.schema["query_id"].dataType.simpleString()
         table = constant_rows([r.asDict() for r in few], f"query_id {id_type}, normalized string, compact string")
         hits = F.transform(F.filter(table, lambda a: a["compact"].isNull() | _contains(a)), lambda a: a["query_id"])
         found = docs.withColumn("query_id", F.explode(F.array_distinct(hits)))
     else:
+        anchors = _anchors(plans, mode, "run")
         pairs = _gram_candidates(docs, anchors)
         if fuzzy:
             pairs = pairs.unionByName(_fuzzy_candidates(docs, anchors)).distinct()
         found = docs.join(pairs, "entity_key")
+
     def hit(token):
         return (_contains(token) | _near(token)) if fuzzy else _contains(token)
 
     wanted = F.forall("include", hit) if mode == "AND" else (F.size("include") == 0) | F.exists("include", hit)
-    return found.join(plans.drop("anchors"), "query_id").filter(wanted & ~F.exists("exclude", _contains)).select("query_id", "entity_key")
+    return found.join(plans, "query_id").filter(wanted & ~F.exists("exclude", _contains)).select("query_id", "entity_key")
