@@ -6,13 +6,14 @@ from offerlens.operators import listing_filters as lf
 from offerlens.operators import search, views
 from offerlens.operators.listing_filters import DetailFilter
 from offerlens.plans import listing as pages
+from offerlens.plans.bindings import spread_scan
 from offerlens.plans.history_queries import LISTING_CTES, listing
 from offerlens.plans.registry import query
 
 
 def docs(i):
     """The documents with their text and source as searchable values."""
-    return search.build_search_docs(i.documents.select(F.col("doc_id").alias("entity_key"), F.array("text", "source").alias("values")))
+    return search.build_search_docs(spread_scan(i.documents).select(F.col("doc_id").alias("entity_key"), F.array("text", "source").alias("values")))
 
 
 # German sharp s folds to SS, as everywhere in the search.
