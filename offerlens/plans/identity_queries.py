@@ -63,7 +63,7 @@ def stored(i):
     return merge.Store(items, aliases, offers, shop_log.unionByName(item_log))
 
 
-# Merge order of the old items of a new key, as the reference folds them: running newest date decides.
+# Merge order of the old items of a new key: the running newest date decides.
 STORED = """
 old AS (SELECT l.*, i.identity_key, 'k' || l.p_partkey || l.shop_id AS old_key FROM listings l JOIN identities i USING (p_partkey)),
 recs AS (SELECT *, max(last_date) OVER (PARTITION BY identity_key, shop_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM old),

@@ -83,7 +83,7 @@ def candidate_records(i):
 
 
 @query("er2_hard_signature", """SELECT p_partkey, CASE WHEN vtag IN ('parallel', 'serial') THEN CASE WHEN p_size > 40 THEN 'parallel+serial' ELSE vtag END
-  WHEN p_size > 40 THEN 'parallel+serial' ELSE 'base' END AS signature FROM parts WHERE p_size <= 40 OR vtag <> 'zz'""")
+  WHEN p_size > 40 THEN 'parallel+serial' ELSE 'base' END AS signature FROM parts""")
 def hard_signature(i):
     tags = F.array_sort(F.array_compact(F.array(F.when(F.col("vtag") != "", F.col("vtag")), "adj", F.when(F.col("p_size") > 40, "parallel"), F.when(F.col("p_size") > 40, "serial"))))
     return i.parts.select("p_partkey", er.hard_signature(F.array_distinct(tags), HARD).alias("signature"))
