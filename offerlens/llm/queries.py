@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import bpe
+from offerlens.llm import block_knn, bpe, minhash_join, perplexity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basic rules and language bands of n-gram perplexity over every document."""
+    rows = perplexity.quality_rules(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits")
+
+
 @query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and their decoded bytes, as digests."""
@@ -32,3 +39,32 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(documents, ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids")
     decoded = bpe.decode(encoded, ranks, public_tokenizers.PATTERN)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_block_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all other vectors for every twentieth vector."""
+    found = block_knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+@query
+def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and number of similar documents of every document."""
+    groups = minhash_join.jaccard_groups(table(spark, sf_dir, "documents"))
+    return groups.select(F.col("row_id").alias("doc_id"), "class_id", "n_links")
+
+
+ORACLES["op8_block_knn"] = """
+WITH usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 20
+"""
