@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import block_knn, bpe, minhash_join, perplexity
+from offerlens.llm import block_knn, bpe, line_spread, minhash_join, mixing, perplexity, pseudonyms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+PSEUDONYM_KEY = "example key; production passes its own"
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -31,6 +32,12 @@ def op1_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits")
 
 
+@query
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's whole text with personal data replaced."""
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 @query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and their decoded bytes, as digests."""
@@ -41,6 +48,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, for source weights 5, 2, 1."""
+    units = mixing.plan(table(spark, sf_dir, "documents"))
+    rows = units.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    return rows.select(F.col("row_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 @query
 def op8_block_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of all other vectors for every twentieth vector."""
@@ -55,6 +70,27 @@ def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("row_id").alias("doc_id"), "class_id", "n_links")
 
 
+@query
+def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that stand on many sources."""
+    rows = line_spread.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", "text")
+
+
+ORACLES["op10_line_spread"] = r"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+), keyed AS (
+  SELECT *, trim(line, E' \t\r\x0b\x0c') AS k, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) BETWEEN 1 AND 20 AS judged FROM lines
+), spread AS (
+  SELECT k, min(doc_id) AS first_id FROM keyed WHERE judged GROUP BY k HAVING count(DISTINCT source) >= 8
+), marked AS (
+  SELECT keyed.*, coalesce(judged AND keyed.doc_id <> first_id, FALSE) AS struck FROM keyed LEFT JOIN spread USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(struck AS INT)) AS BIGINT) AS n_removed,
+  coalesce(string_agg(CASE WHEN NOT struck THEN line END, chr(10) ORDER BY pos), '') AS text
+FROM marked GROUP BY doc_id
+"""
 ORACLES["op8_block_knn"] = """
 WITH usable AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
