@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import block_knn, bpe, line_spread, minhash_join, mixing, perplexity, pseudonyms
+from offerlens.llm import block_knn, bpe, line_spread, minhash_join, mixing, page_diff, perplexity, pseudonyms, quality_knn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,27 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
 
 
+def learnable(row_id: str) -> Column:
+    """Rows whose labels may be learned from."""
+    return F.crc32(F.col(row_id).cast("string")) % 4 != 2
+
+
+@query
+def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from labels outside the held-out quarter."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_knn.train(documents, table(spark, sf_dir, "labels"), learnable("row_id"))
+    scored = quality_knn.score(documents, model)
+    return scored.select("doc_id", (~learnable("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op5_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    texts = page_diff.main_texts(table(spark, sf_dir, "pages"))
+    return texts.select(F.col("row_id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and their decoded bytes, as digests."""
