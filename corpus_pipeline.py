@@ -2,10 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from offerlens.functions.durable import shared_folder
+from offerlens.llm import bpe, line_spread, minhash_join, mixing, quality_knn, queries
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality_knn.train(docs, queries.table(spark, sf_dir, "labels"), queries.learnable("row_id"))
+    return quality_knn.score(docs, model, name="__score").filter(F.col("__score") >= queries.LEAST_QUALITY).drop("__score")
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that stand on many sources."""
+    kept = line_spread.remove_boilerplate(docs, counts=False)
+    return kept.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return minhash_join.one_per_group(docs)
+
 
-from offerlens.llm import bpe, queries
+def balanced_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: each document as often as it is taken."""
+    return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,10 +42,21 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decoded.selectExpr("doc_id", "source", "n_tokens", "ids", "decoded = cast(coalesce(text, '') as binary) AS exact")
 
 
-STAGES = [("bpe", tokens)]
+STAGES = [
+    ("quality classifier", good_documents),
+    ("line dedup", without_boilerplate),
+    ("n-gram Jaccard join", distinct_documents),
+    ("mixing sources", balanced_sources),
+    ("byte-level BPE", tokens),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on `documents`, each written as Parquet in the shared folder and read again by the next."""
-    return queries.run_stages(spark, sf_dir, STAGES)
+    docs = queries.table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
+    return docs

@@ -13,6 +13,7 @@ from offerlens.llm import block_knn, bpe, line_spread, minhash_join, mixing, pag
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 PSEUDONYM_KEY = "example key; production passes its own"
+LEAST_QUALITY = 0.7
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -49,7 +50,7 @@ def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_knn.train(documents, table(spark, sf_dir, "labels"), learnable("row_id"))
     scored = quality_knn.score(documents, model)
-    return scored.select("doc_id", (~learnable("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", (~learnable("doc_id")).alias("held_out"), "score", (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"))
 
 
 @query
