@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import block_knn, bpe, line_spread, minhash_join, mixing, page_diff, perplexity, pseudonyms, quality_knn
+from offerlens.llm import block_knn, bpe, licence_scan, line_spread, minhash_join, mixing, page_diff, perplexity, pseudonyms, quality_knn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,12 @@ def op1_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits")
 
 
+@query
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence wordings in every document: lines, paragraphs and whole texts."""
+    return licence_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's whole text with personal data replaced."""
@@ -113,6 +119,36 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(struck AS INT)) AS BIGINT) AS
   coalesce(string_agg(CASE WHEN NOT struck THEN line END, chr(10) ORDER BY pos), '') AS text
 FROM marked GROUP BY doc_id
 """
+ORACLES["op2_licence_scan"] = r"""
+WITH template AS (
+  SELECT unnest(['@NAMES@']) AS template, unnest(['@WORDINGS@']) AS content
+), texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), unit AS (
+  SELECT doc_id, row, generate_subscripts(string_split(text, chr(10)), 1) AS unit, unnest(string_split(text, chr(10))) AS content FROM texts
+  UNION ALL
+  SELECT * FROM (
+    SELECT doc_id, row, -generate_subscripts(p, 1) AS unit, unnest(p) AS content FROM (SELECT *, string_split_regex(text, '\n[ \t\r]*\n') AS p FROM texts) WHERE len(p) > 1
+  ) WHERE contains(content, chr(10))
+  UNION ALL
+  SELECT doc_id, row, 0, text FROM texts WHERE contains(text, chr(10))
+), worded AS (
+  SELECT 'u' AS kind, doc_id, row, unit, NULL AS template, regexp_extract_all(lower(content), '[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*') AS w FROM unit
+  UNION ALL
+  SELECT 't', NULL, NULL, NULL, template, regexp_extract_all(lower(content), '[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*') FROM template
+), sized AS (
+  SELECT *, greatest(len(w) - 1, 1) AS size FROM worded WHERE len(w) > 0
+), pair AS (
+  SELECT kind, doc_id, row, unit, template, size, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS bigram FROM sized
+), counted AS (
+  SELECT kind, doc_id, row, unit, template, size, bigram, count(*) AS n FROM pair GROUP BY ALL
+), dice AS (
+  SELECT u.doc_id, u.row, u.unit, t.template, CAST(2 * sum(least(u.n, t.n)) AS DOUBLE) / (any_value(u.size) + any_value(t.size)) AS dice
+  FROM counted u JOIN counted t ON u.kind = 'u' AND t.kind = 't' AND u.bigram = t.bigram GROUP BY u.doc_id, u.row, u.unit, t.template
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY row, unit ORDER BY dice DESC, template) AS place FROM dice WHERE dice >= 0.8 - 1e-9
+)
+SELECT doc_id, CAST(unit AS INT) AS unit, split_part(template, '/', 1) AS licence, template, dice FROM best WHERE place = 1
+""".replace("@NAMES@", "', '".join(licence_scan.TEMPLATES)).replace("@WORDINGS@", "', '".join(licence_scan.TEMPLATES.values()))
 ORACLES["op8_block_knn"] = """
 WITH usable AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
