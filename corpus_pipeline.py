@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from offerlens.functions.durable import shared_folder
 from offerlens.llm import bpe, line_spread, minhash_join, mixing, quality_knn, queries
+from offerlens.llm.names import free_name
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality_knn.train(docs, queries.table(spark, sf_dir, "labels"), queries.learnable("row_id"))
-    return quality_knn.score(docs, model, name="__score").filter(F.col("__score") >= queries.LEAST_QUALITY).drop("__score")
+    score = free_name(docs, "__score")
+    return quality_knn.score(docs, model, name=score).filter(F.col(score) >= queries.LEAST_QUALITY).drop(score)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

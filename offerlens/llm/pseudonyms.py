@@ -22,6 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerlens.llm.names import free_name
+
 ROUNDS = 8
 # The forms in which values are written.
 FORMS = {
@@ -211,10 +213,11 @@ def pseudonymise(documents: DataFrame, key: str, text: str = "text") -> DataFram
     t = F.col(text)
     some = t.rlike("[0-9@]") & t.rlike(form)
     values = F.transform(F.regexp_extract_all(t, F.lit(form), 0), lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
-    found = documents.withColumn("__values", F.when(some, values)).withColumn("__gaps", F.when(F.col("__values").isNotNull(), F.split(t, form)))
+    old, gaps = free_name(documents, "__values"), free_name(documents, "__gaps")
+    found = documents.withColumn(old, F.when(some, values)).withColumn(gaps, F.when(F.col(old).isNotNull(), F.split(t, form)))
     joined = F.concat(
-        F.element_at("__gaps", 1),
-        F.array_join(F.zip_with("__values", F.slice("__gaps", F.lit(2), F.size("__values")), lambda v, gap: F.concat(F.coalesce(v["new"], v["old"]), gap)), ""),
+        F.element_at(gaps, 1),
+        F.array_join(F.zip_with(old, F.slice(gaps, F.lit(2), F.size(old)), lambda v, gap: F.concat(F.coalesce(v["new"], v["old"]), gap)), ""),
     )
-    n = F.coalesce(F.size(F.filter("__values", lambda v: v["new"].isNotNull())), F.lit(0))
-    return found.withColumn("n_found", F.when(F.col("__values").isNull(), 0).otherwise(n)).withColumn(text, F.when(F.col("__values").isNotNull(), joined).otherwise(t)).drop("__values", "__gaps")
+    n = F.when(F.col(old).isNull(), 0).otherwise(F.size(F.filter(old, lambda v: v["new"].isNotNull())))
+    return found.withColumn("n_found", n).withColumn(text, F.when(F.col(old).isNotNull(), joined).otherwise(t)).drop(old, gaps)
