@@ -29,6 +29,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from offerlens.functions.durable import checkpointed
 from offerlens.llm.components import components
 from offerlens.llm.grams import gram_hashes, gram_set, mixed, normalised
+from offerlens.llm.names import free_name
 
 MOST_HASHES = 128
 TILE_GRAMS = 1_000_000
@@ -139,12 +140,13 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _tile(bucket: int, rows: list[dict], threshold: float) -> list[tuple[bytes, int, bytes]]:
+def _tile(tile: tuple[int, ...], rows: list[dict], threshold: float) -> list[tuple[bytes, int, bytes]]:
     """(class, links found here first, a linked class or the class itself) for the linked classes of a tile."""
     by_class = {(r["text_class"], r["side"]): r for r in rows}  # repeated rows of one text
     rows = [by_class[k] for k in sorted(by_class)]
     side = np.array([r["side"] for r in rows])
-    inside = not side.any()
+    bucket, ga, gb, i, j = tile
+    inside = (ga, i) == (gb, j)
     left, right = (np.arange(len(rows)),) * 2 if inside else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     if not len(left) or not len(right) or len(rows) < 2:
         return []
@@ -184,13 +186,13 @@ def _compared(tiles: DataFrame, threshold: float) -> DataFrame:
                 for row in batch.slice(k, 256).to_pylist():
                     tile = tuple(row[c] for c in key)
                     if tile != now:
-                        out += _tile(now[0], rows, threshold) if now else []
+                        out += _tile(now, rows, threshold) if now else []
                         now, rows = tile, []
                         if len(out) > 5_000:
                             yield packed()
                             out = []
                     rows.append(row)
-        out += _tile(now[0], rows, threshold) if now else []
+        out += _tile(now, rows, threshold) if now else []
         if out:
             yield packed()
 
@@ -271,25 +273,26 @@ def jaccard_groups(rows: DataFrame, row_id: str = "doc_id", text: str = "text",
     )
 
 
-def _with_text_class(documents: DataFrame, text: str) -> DataFrame:
-    """All columns and `__text_class`."""
+def _with_text_class(documents: DataFrame, text: str, name: str) -> DataFrame:
+    """All columns and the text class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
             hashes = [hashlib.blake2b(normalised(t or b"")[0], digest_size=16).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.binary())], names=[*batch.schema.names, "__text_class"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.binary())], names=[*batch.schema.names, name])
 
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("__text_class", BinaryType())]))
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(name, BinaryType())]))
 
 
 def one_per_group(documents: DataFrame, row_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows that are their group's first: smallest id, of its repeated rows one. Rows without words all stay."""
     groups = jaccard_groups(documents, row_id, text, **options)
     firsts = groups.filter(F.col("row_id").eqNullSafe(F.col("class_id")) & (F.col("text_class") == F.col("first_class"))).select("row_id", "text_class").distinct()
-    marked = _with_text_class(documents, text)
-    wordless = F.col("__text_class") == F.lit(hashlib.blake2b(b"", digest_size=16).digest())
+    name = free_name(documents, "__text_class")
+    marked = _with_text_class(documents, text, name)
+    wordless = F.col(name) == F.lit(hashlib.blake2b(b"", digest_size=16).digest())
     many = marked.filter(~wordless)
-    same = many[row_id].eqNullSafe(firsts["row_id"]) & (many["__text_class"] == firsts["text_class"])
-    chosen = many.join(firsts, same, "left_semi").dropDuplicates([row_id, "__text_class"])
-    return chosen.unionByName(marked.filter(wordless)).drop("__text_class")
+    same = many[row_id].eqNullSafe(firsts["row_id"]) & (many[name] == firsts["text_class"])
+    chosen = many.join(firsts, same, "left_semi").dropDuplicates([row_id, name])
+    return chosen.unionByName(marked.filter(wordless)).drop(name)
