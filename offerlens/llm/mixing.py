@@ -103,7 +103,7 @@ def _rounded(units: DataFrame) -> DataFrame:
     empty = F.array().cast("array<struct<class:bigint,members:bigint,picked:bigint>>")
     picks = F.aggregate("rows", F.struct(F.lit(0.0).alias("missed"), empty.alias("picks")), step, lambda s: s["picks"])
     quota = checkpointed(per_source.select("number", F.explode(picks).alias("pick")).select("number", "pick.*"))
-    parted = open_.join(quota, ["number", "class"]).withColumn("sub", sub)
+    parted = checkpointed(open_.join(quota, ["number", "class"]).withColumn("sub", sub))  # written, so that a hot class may be split in the join
     held = parted.groupBy("number", "class", "sub").agg(F.count(F.lit(1)).alias("n"), F.max("picked").alias("picked"), F.max("members").alias("members"))
     upto = F.sum("n").over(Window.partitionBy("number", "class").orderBy("sub"))
     share = lambda n: F.floor(F.col("picked") * n / F.col("members") + 1e-9)
@@ -130,7 +130,7 @@ def plan(documents: DataFrame, row_id: str = "doc_id", text: str = "text", sourc
     x = F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(50.0))
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("tilt").isNull(), F.lit(float(most))).otherwise(F.least(F.lit(float(most)), F.exp(x)))
     u = F.pmod(F.xxhash64("row_id", "text_hash", F.lit(1)), F.lit(1 << 53)) / float(1 << 53)
-    rated = numbered.join(solved.select("number", "tilt", "mean"), "number").withColumn("rate", rate).withColumn("u", u).drop("tilt", "mean")
+    rated = checkpointed(numbered.join(solved.select("number", "tilt", "mean"), "number").withColumn("rate", rate).withColumn("u", u).drop("tilt", "mean"))  # likewise a hot source
     copied = _rounded(rated)
     return copied.join(sources.select("number", "source", "source_size", "target"), "number").drop("number")
 
