@@ -45,6 +45,8 @@ def bands_and_rows(threshold: float, recall: float) -> tuple[int, int]:
     best = None
     for rows in range(1, MOST_HASHES + 1):
         missed = 1 - threshold**rows
+        if missed >= 1:
+            break
         bands = 1 if missed <= 0 else math.ceil(math.log(1 - recall) / math.log(missed))
         if bands * rows <= MOST_HASHES:
             best = (bands, rows)
@@ -264,6 +266,7 @@ def jaccard_groups(rows: DataFrame, row_id: str = "doc_id", text: str = "text",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         )
     )
+    facts = checkpointed(facts)  # so that the join may split the rows of a text with very many copies
     empty = F.col("n_grams") == 0
     return signed.join(facts, "text_class", "left").select(
         "row_id", "text_class",
