@@ -20,6 +20,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerlens.functions.columns import constant_rows
+
+MOST_BROADCAST = 4_000_000  # characters of all templates
 WORD = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 
 # Wording of public licences and notices, by name; further wordings of one licence after a slash.
@@ -71,10 +74,13 @@ def bigrams(text: Column) -> Column:
 
 
 def _template_rows(documents: DataFrame, templates: Mapping[str, str]) -> DataFrame:
-    made = documents.sparkSession.createDataFrame([(n, t) for n, t in sorted(templates.items())], "template string, wording string")
+    given = constant_rows([{"template": n, "wording": t} for n, t in sorted(templates.items())], "template string, wording string")
+    made = documents.sparkSession.range(1).select(F.inline(given))
     counted = made.select("template", F.explode(bigrams(F.col("wording"))).alias("bigram")).groupBy("template", "bigram").agg(F.count(F.lit(1)).alias("in_template"))
     sizes = counted.groupBy("template").agg(F.sum("in_template").alias("template_size"))
-    return counted.join(sizes, "template")
+    known = counted.join(sizes, "template")
+    # Spark broadcasts this table, which is about as large as the templates; beyond the limit it is merged instead.
+    return known if sum(map(len, templates.values())) <= MOST_BROADCAST else known.hint("merge")
 
 
 def units(documents: DataFrame, row_id: str, text: str) -> DataFrame:
