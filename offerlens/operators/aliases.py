@@ -15,7 +15,7 @@ from offerlens.functions.ordered import with_max_before
 from offerlens.functions.unicode import nfkc
 from offerlens.operators import merge
 from offerlens.operators.identity import IdentityRules, parse_identities
-from offerlens.operators.resolution import safety_gate
+from offerlens.operators.resolution import GATE_LIMITS, safety_gate
 
 
 # Order numbers of incoming rows start above those of all existing ones.
@@ -27,7 +27,7 @@ class AliasConflict(ValueError):
 
 
 def deferral_report(candidates: DataFrame, reviewed: DataFrame, **limits) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(deferred candidates with reasons, counts per reason, one-row summary) for what was not reviewed."""
+    """(deferred candidates with reasons, counts per reason, one-row summary with the limits used) for what was not reviewed."""
     gated = safety_gate(candidates, **limits)
     open_rows = gated.join(reviewed.select("candidate_id"), "candidate_id", "left_anti")
     reasons = F.when(F.size("reasons") == 0, F.array(F.lit("safe but outside this review batch"))).otherwise(F.col("reasons"))
@@ -36,7 +36,8 @@ def deferral_report(candidates: DataFrame, reviewed: DataFrame, **limits) -> tup
     counts = deferred.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     accepted = gated.join(reviewed.select("candidate_id"), "candidate_id", "left_semi")
     total = candidates.agg(F.count(F.lit(1)).alias("total")).withColumns({
-        "accepted": accepted.agg(F.count(F.lit(1)).alias("n")).scalar(), "deferred": deferred.agg(F.count(F.lit(1)).alias("n")).scalar()})
+        "accepted": accepted.agg(F.count(F.lit(1)).alias("n")).scalar(), "deferred": deferred.agg(F.count(F.lit(1)).alias("n")).scalar(),
+        **{name: F.lit(value) for name, value in (GATE_LIMITS | limits).items()}})
     return deferred, counts, total
 
 
@@ -54,17 +55,25 @@ def review_violations(candidates: DataFrame, reviewed: DataFrame, groups: DataFr
     )
 
 
-def alias_groups_from(candidates: DataFrame, reviewed: DataFrame, groups: DataFrame, members: DataFrame, batch: str) -> tuple[DataFrame, DataFrame]:
+def alias_groups_from(candidates: DataFrame, reviewed: DataFrame, groups: DataFrame, members: DataFrame, batch: str,
+                      records: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Groups and members after a review batch: its earlier groups are replaced, those of other batches stay.
 
-    reviewed(candidate_id, position). Check `review_violations` first.
+    reviewed(candidate_id, position). Check `review_violations` first. With `records`, the candidate records, a group holds every
+    record of its block; without, those of the review list. Positions are order numbers, highest price first.
     """
     kept = groups.filter(~F.col("batch").eqNullSafe(batch))
     kept_members = members.join(kept.select("canonical_id"), "canonical_id", "left_semi")
     chosen = candidates.join(reviewed.select("candidate_id", "position"), "candidate_id")
     made = chosen.select("canonical_id", "canonical_name", F.col("model_code").alias("model_no"), F.lit(batch).alias("batch"), "candidate_id", "position")
-    made_members = chosen.select("canonical_id", F.posexplode("records").alias("position", "r")).select(
-        "canonical_id", "position", "r.shop_id", "r.source_key", "r.name", "r.model_no")
+    if records is None:
+        made_members = chosen.select("canonical_id", F.posexplode("records").alias("position", "r")).select(
+            "canonical_id", "position", "r.shop_id", "r.source_key", "r.name", "r.model_no")
+    else:
+        # A whole number that orders by falling price, then by item and shop, without sorting a block.
+        place = -F.col("latest_price").cast("long") * (1 << 20) + F.pmod("ordinal", F.lit(1 << 18)) * 4 + F.least(F.coalesce("shop_ordinal", F.lit(3)), F.lit(3))
+        made_members = records.join(chosen.select("canonical_id", "model_code", "signature"), ["model_code", "signature"]).select(
+            "canonical_id", place.alias("position"), "shop_id", "source_key", "name", "model_no")
     return kept.unionByName(made), kept_members.unionByName(made_members)
 
 
@@ -145,8 +154,10 @@ def match_alias_members(store: merge.Store, groups: DataFrame, members: DataFram
         last_code(nfkc(F.coalesce("model_no", F.lit(""))), rules.code_pattern), last_code(nfkc(F.coalesce("name", F.lit(""))), rules.code_pattern)).alias("item_code"))
     spelled = coded.unionByName(
         store.offers.select("entity_key", F.col("source_name").alias("name")).join(coded.drop("name"), "entity_key")).distinct()
-    by_name = left.join(spelled, "name").filter(F.col("alias_code").isNull() | (F.col("alias_code") == F.col("item_code"))).select(
-        "canonical_id", "position", "entity_key", "item_ordinal")
+    # A code narrows the join; only members without one meet every item of their name.
+    with_code = left.filter("alias_code IS NOT NULL").join(spelled.withColumnRenamed("item_code", "alias_code"), ["name", "alias_code"])
+    without = left.filter("alias_code IS NULL").join(spelled, "name")
+    by_name = with_code.select("canonical_id", "position", "entity_key", "item_ordinal").unionByName(without.select("canonical_id", "position", "entity_key", "item_ordinal"))
 
     holders = store.items.filter(F.coalesce("canonical_id", F.lit("")) != "").join(groups.select("canonical_id").distinct(), "canonical_id", "left_semi").select(
         "canonical_id", F.lit(-1).alias("position"), "entity_key", F.col("ordinal").alias("item_ordinal"))

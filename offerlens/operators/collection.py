@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions.columns import CODE_PATTERN, first_code, nonblank, variant_type_of
+from offerlens.functions.durable import checkpointed
 from offerlens.functions.skew import spread_join
 from offerlens.functions.unicode import nfkc
 from offerlens.operators import catalog as cat
@@ -86,9 +87,6 @@ def match_collection(items: DataFrame, index: tuple[DataFrame, DataFrame, DataFr
     entries, _, hashes = index
     owned = items.filter(F.col("count") > 0)
     variants = catalog.groupBy("variant_key").agg(F.max(F.struct("provisional", "image_hash", "identity_tags")).alias("v"))
-    joined = spread_join(owned, variants.withColumnRenamed("variant_key", "id"), ["id"], "left").select(
-        "*", F.coalesce("v.provisional", F.lit(False)).alias("provisional"), F.col("v.image_hash").alias("hash"),
-        F.coalesce("v.identity_tags", F.array().cast("array<string>")).alias("expected")).drop("v")
     by_key = entries.groupBy("price_key").agg(F.max_by("card_number", "entry_id").alias("mapped_number"))
 
     def mapping(table, name):
@@ -98,9 +96,13 @@ def match_collection(items: DataFrame, index: tuple[DataFrame, DataFrame, DataFr
             by_key, "price_key").select("id", F.col("price_key").alias(name), F.col("mapped_number").alias(f"{name}_number"), F.col("c").isin(*CONFIRMED).alias(f"{name}_confirmed"))
 
     row = ["payload_id", "position"]
-    wide = spread_join(joined, mapping(manual, "manual"), ["id"], "left")
-    wide = spread_join(wide, mapping(generated, "generated"), ["id"], "left")
-    by_hash = cat.eligible_extent(joined.filter("hash <> ''").select(*row, "card_number", "hash", "variant_type", "expected"), entries, hashes, "hash", row, restricted, "hash")
+    # Everything known of an id in one written table: items, of which an id may have very many, are joined once and may be split.
+    known = checkpointed(
+        variants.withColumnRenamed("variant_key", "id").join(mapping(manual, "manual"), "id", "full").join(mapping(generated, "generated"), "id", "full"))
+    wide = checkpointed(spread_join(owned, known, ["id"], "left").select(
+        "*", F.coalesce("v.provisional", F.lit(False)).alias("provisional"), F.col("v.image_hash").alias("hash"),
+        F.coalesce("v.identity_tags", F.array().cast("array<string>")).alias("expected")).drop("v"))
+    by_hash = cat.eligible_extent(wide.filter("hash <> ''").select(*row, "card_number", "hash", "variant_type", "expected"), entries, hashes, "hash", row, restricted, "hash")
     wide = cat.with_tag_and_number_extents(wide, entries).join(by_hash, row, "left")
 
     def mapped(name):

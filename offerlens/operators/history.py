@@ -51,20 +51,15 @@ def log_changes(tails: DataFrame, observations: DataFrame) -> tuple[DataFrame, D
     closed form continue where the log stopped. Observations before their series' tail are late.
     """
     known = tails.select(*SERIES, F.col("date").alias("tail_date"), F.col("price").alias("tail_price"))
-    tagged = observations.join(known, SERIES, "left")
-    late = tagged.filter(F.col("obs_date") < F.col("tail_date")).select(*observations.columns)
-    fresh = tagged.filter(F.col("tail_date").isNull() | (F.col("obs_date") >= F.col("tail_date")))
+    # One row per series and day before anything is joined, so that a hot series is as long as its calendar.
+    days = observations.groupBy(*SERIES, F.col("obs_date").alias("date")).agg(F.max_by("price", "obs_seq").alias("price"), F.min("price").alias("low"), F.max("price").alias("high"))
+    tagged = days.join(known, SERIES, "left")
+    late_days = tagged.filter(F.col("date") < F.col("tail_date")).select(*SERIES, F.col("date").alias("obs_date"))
+    late = observations.join(late_days, [*SERIES, "obs_date"], "left_semi").select(*observations.columns)
 
     by_day = Window.partitionBy(*SERIES).orderBy("date")
     changed = (
-        fresh.groupBy(*SERIES, F.col("obs_date").alias("date"))
-        .agg(
-            F.max_by("price", "obs_seq").alias("price"),
-            F.min("price").alias("low"),
-            F.max("price").alias("high"),
-            F.first("tail_date").alias("tail_date"),
-            F.first("tail_price").alias("tail_price"),
-        )
+        tagged.filter(F.col("tail_date").isNull() | (F.col("date") >= F.col("tail_date")))
         .withColumn("previous", F.coalesce(F.lag("price").over(by_day), F.col("tail_price")))
         .filter(
             F.col("previous").isNull()

@@ -71,14 +71,16 @@ def precedence(df: DataFrame, keys: list[str], block: int = 100_000) -> DataFram
 
 
 def merge_offers(offers: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One offer per (item, shop): all fields of the record with the newest history, ties to the later record.
+    """One offer per (item, shop): each field from the newest record that has it (is not null).
 
-    `offers` carries last_date and ordinal; aggregated before the shuffle.
+    `offers` carries ordinal and last_date, and possibly `rank`, the order of precedence; without it the newest history comes
+    first, ties to the later record. last_date and ordinal are those of the newest record. Aggregated before the shuffle.
     """
     keys = keys or hist.SERIES
-    fields = [c for c in offers.columns if c not in keys]
-    newest = F.struct(F.coalesce("last_date", F.lit("0001-01-01").cast("date")), "ordinal")
-    return offers.groupBy(*keys).agg(F.max_by(F.struct(*fields), newest).alias("w")).select(*keys, "w.*")
+    fields = [c for c in offers.columns if c not in (*keys, "rank")]
+    newest = F.col("rank") if "rank" in offers.columns else F.struct(F.coalesce("last_date", F.lit("0001-01-01").cast("date")), "ordinal")
+    whole = ("last_date", "ordinal")
+    return offers.groupBy(*keys).agg(*[F.max_by(c, newest if c in whole else F.when(F.col(c).isNotNull(), newest)).alias(c) for c in fields])
 
 
 def merge_items(items: DataFrame, code_pattern: str = CODE_PATTERN) -> DataFrame:
@@ -123,13 +125,13 @@ def merge_store(store: Store, key_map: DataFrame) -> Store:
     of_shops = store.history.filter(F.col("shop_id") != "*")
     ages = of_shops.groupBy(*hist.SERIES).agg(F.max("date").alias("last_date"))
     dated = moved(store.offers.drop("last_date").join(ages, hist.SERIES, "left"), "ordinal")
-    ranks = precedence(dated.select("new_key", "entity_key", "shop_id", "last_date", "ordinal"), ["new_key", "shop_id"])
+    ranks = precedence(dated, ["new_key", "shop_id"])
     per_shop = of_shops.join(ranks.select("entity_key", "shop_id", "new_key", "rank"), hist.SERIES).select(
         F.col("new_key").alias("entity_key"), "shop_id", "date", "price", "rank")
     return Store(
         merge_items(items.drop("entity_key").withColumnRenamed("new_key", "entity_key")),
         aliases.withColumnRenamed("new_key", "entity_key"),
-        merge_offers(dated.drop("entity_key").withColumnRenamed("new_key", "entity_key")).drop("ordinal"),
+        merge_offers(ranks.drop("entity_key").withColumnRenamed("new_key", "entity_key")).drop("ordinal"),
         hist.merge_ranked_histories(per_shop.unionByName(item_level), "rank"),
     )
 
@@ -158,13 +160,13 @@ def rekey(store: Store, rules: IdentityRules, default_shop: str | None = None) -
 
 
 def finish_store(store: Store, shops: DataFrame, exclude: DataFrame | None = None) -> Store:
-    """Best offers recomputed (histories merged), items without any priced offer dropped, canonical order."""
+    """Best offers recomputed (histories merged), items without any priced offer dropped. A sink orders the items (`order_canonical`)."""
     item_log = store.history.filter(F.col("shop_id") == "*").select("entity_key", "date", "price")
     of_shops = store.history.filter(F.col("shop_id") != "*")
     refreshed, log = off.refresh_best(store.items, store.offers, of_shops, item_log, shops, exclude, "merge")
     kept = off.retain_priced(refreshed, store.offers)
     history = of_shops.unionByName(log.withColumn("shop_id", F.lit("*"))).join(kept.select("entity_key"), "entity_key", "left_semi")
-    return Store(off.order_canonical(kept), store.aliases, store.offers, history)
+    return Store(kept, store.aliases, store.offers, history)
 
 
 def migrate_keys(store: Store, alias_members: DataFrame, shops: DataFrame, rules: IdentityRules,

@@ -100,18 +100,22 @@ def write_holdings_csv(rows: DataFrame, path: str) -> None:
 
 
 def read_holdings_csv(spark, path: str) -> DataFrame:
-    """Rows written by write_holdings_csv, all text, with a sequence number in file order."""
+    """Rows written by write_holdings_csv, all text, with `seq`: the order of file names, then of rows within a file.
+
+    Quoted cells may hold line breaks, so a file is read by one task; large exports are many files.
+    """
     schema = "owner_id string, name string, model_no string, price string, qty string, subtotal string, image_url string"
     raw = spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', multiLine=True)
-    return raw.withColumn("seq", F.monotonically_increasing_id())
+    # A file is read in order by one task, so the ids rise within it; across files the name decides.
+    return raw.withColumn("seq", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")))
 
 
 def import_holdings(rows: DataFrame, key_map: DataFrame | None = None) -> DataFrame:
     """Holdings from file rows (owner_id, name, model_no, qty text, seq); a later row of a key wins.
 
-    Quantities that are not whole numbers become 0; with a key map the legacy keys are migrated.
+    Quantities that do not start with a whole number, or with one beyond 64 bits, become 0; with a key map the legacy keys are migrated.
     """
-    qty = F.coalesce(F.regexp_extract(F.trim("qty"), r"^[+-]?\d{1,18}", 0).try_cast("long"), F.lit(0))
+    qty = F.coalesce(F.regexp_extract(F.trim("qty"), r"^[+-]?\d+", 0).try_cast("long"), F.lit(0))
     holdings = (
         rows.filter(F.col("name").isNotNull() & F.col("model_no").isNotNull() & F.col("qty").isNotNull())
         .groupBy("owner_id", F.concat_ws("_", F.trim("name"), F.trim("model_no")).alias("entity_key"))

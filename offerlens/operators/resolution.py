@@ -1,8 +1,8 @@
 """Cross-shop candidates for the same product: blocking, similarity, score, risk and safety gate.
 
-Records of a block are compared only after the k best-priced ones are picked (the review
-list the candidate is for), so at most k * (k - 1) / 2 pairs exist per block; these are formed
-inside one row, without a join.
+A candidate is a review list: the k best-priced records of a block and their comparison, at most
+k * (k - 1) / 2 pairs, formed inside one row without a join. What concerns the whole block (`block_facts`) and the
+members of an accepted alias group (`alias_groups_from` with `records`) come from all its records.
 """
 
 from __future__ import annotations
@@ -80,7 +80,18 @@ def review_records(records: DataFrame, k: int = 8) -> DataFrame:
     The records are read twice, so they are written once instead of parsing all names again.
     """
     records = checkpointed(records)
-    return top_k_per_block(records.join(candidate_blocks(records), BLOCK, "left_semi"), k)
+    # Written again, so that the join may split a hot block and each task keeps k of it before the window's shuffle.
+    return top_k_per_block(checkpointed(records.join(candidate_blocks(records), BLOCK, "left_semi")), k)
+
+
+def block_facts(records: DataFrame) -> DataFrame:
+    """Whole-block facts of every qualifying block, from all its records: how many there are, of how many shops, their lowest and
+    highest positive price, and the shops with several records. Combined per (block, shop) before the shuffle."""
+    price = F.when(F.col("latest_price") > 0, F.col("latest_price"))
+    shops = records.groupBy(*BLOCK, "shop_id").agg(F.count(F.lit(1)).alias("n"), F.min(price).alias("low"), F.max(price).alias("high"))
+    return shops.join(candidate_blocks(records), BLOCK, "left_semi").groupBy(*BLOCK).agg(
+        F.sum("n").alias("block_records"), F.count(F.lit(1)).alias("block_shops"), F.min("low").alias("block_min_price"), F.max("high").alias("block_max_price"),
+        F.count_if(F.col("n") > 1).alias("block_duplicate_shops"))
 
 
 def name_chunks(name: Column) -> Column:
@@ -212,6 +223,9 @@ def order_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.orderBy(risk, F.col("max_price").desc(), F.col("score").desc(), "candidate_id")
 
 
+GATE_LIMITS = {"min_shops": 3, "max_ratio": 2.0, "min_image": 80}
+
+
 def safety_gate(candidates: DataFrame, min_shops: int = 3, max_ratio: float = 2.0, min_image: int = 80) -> DataFrame:
     """Candidates with `reasons` against automatic acceptance and `safe`."""
     shops = F.size(F.array_distinct(F.filter(F.transform("records", lambda r: r["shop_id"]), lambda s: F.coalesce(s, F.lit("")) != "")))

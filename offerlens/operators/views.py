@@ -10,10 +10,23 @@ from offerlens.operators import history as hist
 from offerlens.operators.offers import best_offer
 
 
+def item_images(offers: DataFrame, shops: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+    """(entity_key, item_image): the best offer's image, else that of the first available shop with one; items without any have no row."""
+    shown = hist.without_shops(offers, exclude).filter(F.col("image_url") != "").join(shops.select("shop_id", "ordinal"), "shop_id", "left")
+    best = best_offer(offers, shops, exclude).select("entity_key", F.col("best_shop_id").alias("shop_id"), F.lit(True).alias("best"))
+    order = F.struct(F.coalesce("best", F.lit(False)), -F.coalesce("ordinal", F.lit(2**31 - 1)))
+    return shown.join(best, hist.SERIES, "left").groupBy("entity_key").agg(F.max_by("image_url", order).alias("item_image"))
+
+
+def with_item_images(view_rows: DataFrame, images: DataFrame) -> DataFrame:
+    """View rows whose offer has no image show the item's (see `item_images`)."""
+    return view_rows.join(images, "entity_key", "left").withColumn("image_url", F.coalesce(nonblank("image_url"), "item_image", F.lit(""))).drop("item_image")
+
+
 def shop_view(offers: DataFrame, shops: DataFrame, view: str = "best", exclude: DataFrame | None = None) -> DataFrame:
-    """Active offer per item: (entity_key, shop_id, active_price, image_url).
+    """Active offer per item: (entity_key, shop_id, active_price, image_url), with the offer's own image.
 
-    `view` is 'best' or a shop id; an unavailable shop has no active offers.
+    `view` is 'best' or a shop id; an unavailable shop has no active offers. `with_item_images` fills in missing images.
     """
     if view == "best":
         return best_offer(offers, shops, exclude).select(

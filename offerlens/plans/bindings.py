@@ -157,12 +157,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """A table scan with at least one partition per core; large tables, scanned in more splits, are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 class Inputs:
     """Named inputs of a scale-factor folder: tables and bindings by attribute."""
 

@@ -64,14 +64,14 @@ def provisional_variants(i):
 
 
 @query("cat3_catalog_snapshot", f"""WITH {OFFICIAL},
-prov AS (SELECT code, p_partkey, row_number() OVER (PARTITION BY code ORDER BY p_partkey) AS rn FROM parts WHERE p_size > 30),
+prov AS (SELECT code, p_partkey, row_number() OVER (PARTITION BY code ORDER BY p_partkey) AS rn FROM parts),
 free AS (SELECT c.code, k, row_number() OVER (PARTITION BY c.code ORDER BY k) AS rn FROM (SELECT DISTINCT code, unnest(range(1, 20)) AS k FROM parts) c
    WHERE NOT EXISTS (SELECT 1 FROM official o WHERE o.code = c.code AND o.ix = c.k))
 SELECT code || '::' || variant_id AS variant_key, CAST(ix AS INTEGER) AS variant_index, false AS provisional FROM official
 UNION ALL SELECT p.code || '::' || p.code || '_p' || f.k, CAST(f.k AS INTEGER), true FROM prov p JOIN free f ON f.code = p.code AND f.rn = p.rn""")
 def catalog_snapshot(i):
     """Official variants and provisional ones with images of their own on the free indexes."""
-    rows = i.parts.filter("p_size > 30").select(
+    rows = i.parts.select(
         F.col("code").alias("card_number"), F.col("p_partkey").alias("seq"), F.lit("x").alias("card_name"), F.concat(F.lit("solo/q"), text("p_partkey")).alias("image_path"),
         F.lit("").alias("image_url"), F.lit("").alias("series_title"), F.lit("").alias("get_info"))
     off = official(i)

@@ -296,6 +296,20 @@ def shop_view(i):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("view1_image_fallback", """
+WITH shown AS (SELECT o.entity_key, o.shop_id, o.latest_price, s.ordinal, CASE WHEN o.latest_price % 3 = 0 THEN '' ELSE o.image_url END AS image_url FROM offers o JOIN shops s USING (shop_id) WHERE s.enabled),
+best AS (SELECT *, row_number() OVER (PARTITION BY entity_key ORDER BY latest_price DESC, ordinal) AS place FROM shown WHERE latest_price > 0),
+pictured AS (SELECT s.entity_key, s.image_url, row_number() OVER (PARTITION BY s.entity_key ORDER BY CASE WHEN b.place = 1 THEN 0 ELSE 1 END, s.ordinal) AS place
+  FROM shown s LEFT JOIN best b ON b.entity_key = s.entity_key AND b.shop_id = s.shop_id WHERE s.image_url <> '')
+SELECT b.entity_key, b.shop_id, b.latest_price AS active_price, coalesce(nullif(b.image_url, ''), p.image_url, '') AS image_url
+FROM best b LEFT JOIN pictured p ON p.entity_key = b.entity_key AND p.place = 1 WHERE b.place = 1""")
+def image_fallback(i):
+    """Offers whose price is a multiple of three have no image."""
+    bare = i.offers.withColumn("image_url", F.when(F.col("latest_price") % 3 == 0, "").otherwise(F.col("image_url")))
+    off = i.shops.filter(~F.col("enabled")).select("shop_id")
+    return views.with_item_images(views.shop_view(bare, i.shops, "best", off), views.item_images(bare, i.shops, off))
+
+
 @query("view2_unmerge", """SELECT CAST(o.entity_key AS VARCHAR) || '::' || shop_id AS entity_key, o.entity_key AS merged_key, shop_id, source_name AS name, model_no,
   o.image_url, latest_price FROM offers o JOIN items i USING (entity_key)""")
 def unmerge(i):

@@ -182,6 +182,21 @@ def alias_groups_from(i):
     return al.alias_groups_from(written_candidates(i), i.reviewed, *stored_groups(i), "now")[1].select("canonical_id", "shop_id", "source_key")
 
 
+@query("er13_whole_block_groups", f"""WITH {ER}, {BASE_GROUPS}
+SELECT canonical_id, shop_id, source_key FROM old_members WHERE batch <> 'now'
+UNION ALL SELECT g.canonical_id, t.shop_id, t.source_key FROM gated g JOIN reviewed USING (candidate_id) JOIN tagged t USING (model_code, signature)""")
+def whole_block_groups(i):
+    return al.alias_groups_from(written_candidates(i), i.reviewed, *stored_groups(i), "now", records(i))[1].select("canonical_id", "shop_id", "source_key")
+
+
+@query("er7_block_facts", f"""WITH {ER}
+SELECT model_code, signature, CAST(sum(n) AS BIGINT) AS block_records, count(*) AS block_shops, min(lo) AS block_min_price, max(hi) AS block_max_price, count(*) FILTER (n > 1) AS block_duplicate_shops
+FROM (SELECT model_code, signature, shop_id, count(*) AS n, min(latest_price) FILTER (latest_price > 0) AS lo, max(latest_price) FILTER (latest_price > 0) AS hi FROM tagged JOIN qual USING (model_code, signature) GROUP BY ALL) x
+GROUP BY model_code, signature""")
+def block_facts(i):
+    return er.block_facts(records(i))
+
+
 @query("er13_review_violations", f"""WITH {ER}, {BASE_GROUPS}
 SELECT 'missing candidate' AS kind, candidate_id AS subject FROM reviewed WHERE candidate_id NOT IN (SELECT candidate_id FROM gated)
 UNION ALL SELECT 'unsafe candidate', candidate_id FROM gated JOIN reviewed USING (candidate_id) WHERE reasons <> ''

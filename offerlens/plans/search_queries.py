@@ -6,14 +6,13 @@ from offerlens.operators import listing_filters as lf
 from offerlens.operators import search, views
 from offerlens.operators.listing_filters import DetailFilter
 from offerlens.plans import listing as pages
-from offerlens.plans.bindings import spread_scan
 from offerlens.plans.history_queries import LISTING_CTES, listing
 from offerlens.plans.registry import query
 
 
 def docs(i):
     """The documents with their text and source as searchable values."""
-    return search.build_search_docs(spread_scan(i.documents).select(F.col("doc_id").alias("entity_key"), F.array("text", "source").alias("values")))
+    return search.build_search_docs(i.documents.select(F.col("doc_id").alias("entity_key"), F.array("text", "source").alias("values")))
 
 
 # German sharp s folds to SS, as everywhere in the search.
@@ -38,7 +37,7 @@ def saved_queries(i):
     sentence = i.benchmark.select("item_id", F.posexplode(F.split("text", r"\.")).alias("n", "s"))
     words = sentence.withColumn("w", F.split(F.trim(F.regexp_replace("s", r"\s+", " ")), " ")).filter(F.size("w") >= 3)
     phrase = F.concat(F.lit('"'), F.array_join(F.slice("w", 1, 2), " "), F.lit('"　'))
-    rest = F.array_join(F.slice("w", 3, 10_000), "  ")
+    rest = F.array_join(F.slice(F.col("w"), F.lit(3), F.size("w")), "  ")
     minus = F.when(F.col("n") % 2 == 1, F.concat(F.lit(" -"), F.reverse(F.element_at("w", -1)))).otherwise("")
     return words.select((F.col("item_id") * 1000 + F.col("n")).alias("query_id"), F.concat(phrase, rest, minus).alias("query"))
 

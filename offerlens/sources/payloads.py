@@ -43,13 +43,21 @@ def assert_payloads(payloads: DataFrame, max_pages: int = 100) -> None:
         raise PayloadContractError(f"{first['source_id']} page {first['page']}: {first['violation']}")
 
 
-def ingest_paged_json(payloads: DataFrame, max_pages: int = 100) -> DataFrame:
-    """Listings of all valid payloads; of records with the same id the later one (page, position) holds.
+def ingest_paged_json(payloads: DataFrame, max_pages: int = 100, on_violation: str = "raise") -> DataFrame:
+    """Listings of all payloads; a page that breaks the contract fails the job, as an incomplete source must not pass for a complete one.
+
+    With on_violation="skip" such pages are left out; `payload_violations` lists them. Of records with the same id the later one (page, position) holds.
 
     The choice is an aggregate combined before the shuffle, so a record repeated on very
     many pages does not gather in one task. Records without id never replace each other.
     """
-    valid = _checked(payloads, max_pages).filter(F.col("violation").isNull())
+    if on_violation not in ("raise", "skip"):
+        raise ValueError(f"unknown on_violation: {on_violation}")
+    checked = _checked(payloads, max_pages)
+    if on_violation == "raise":
+        message = F.concat_ws(" ", F.col("source_id").cast("string"), F.lit("page"), F.col("page").cast("string"), "violation")
+        checked = checked.withColumn("violation", F.when(F.col("violation").isNotNull(), F.raise_error(message)))
+    valid = checked.filter(F.col("violation").isNull())
     records = valid.select("source_id", "page", F.posexplode("doc.records").alias("position", "record"))
     record_id = F.coalesce("record.id", F.concat_ws(":", F.lit("page"), F.col("page").cast("string"), F.lit("index"), F.col("position").cast("string")))
     kept = records.groupBy("source_id", record_id.alias("record_id")).agg(

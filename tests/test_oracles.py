@@ -17,7 +17,8 @@ def duck():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     if name not in ORACLES:
-        assert QUERIES[name](spark, SF).count() >= 0
+        made = QUERIES[name](spark, SF)  # compared with brute force in the operator's own tests
+        assert made.count() > 0 and len(set(made.columns)) == len(made.columns)
         return
     _, problems = compare(spark, duck, name, QUERIES[name], ORACLES[name], SF)
     assert not problems
