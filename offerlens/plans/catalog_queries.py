@@ -56,9 +56,27 @@ def provisional_rows(i):
         F.when(F.col("p_size") % 2 == 0, "Series").alias("series_title"), F.lit("").alias("get_info"))
 
 
-@query("cat2_provisional_variants")
+@query("cat2_provisional_variants", f"""WITH RECURSIVE {OFFICIAL},
+prov AS (SELECT CASE WHEN p_size > 40 THEN 'PRB99-' || substr(code, 6, 3) ELSE code END AS number, p_partkey AS seq, p_size,
+    CASE WHEN p_size % 5 <> 0 THEN 'p/img' || (p_partkey - p_partkey % 2) || '.png' END AS image_path,
+    CASE WHEN p_size % 7 = 0 THEN 'http://img/' || p_partkey || '.webp' ELSE 'http://new/c' || ((p_partkey + 1) % 4) || '.jpg?x=1' END AS image_url FROM parts WHERE p_size > 20),
+img AS (SELECT *, list_filter([CASE WHEN p_size % 7 = 0 THEN CAST(seq AS VARCHAR) ELSE 'c' || ((seq + 1) % 4) END, CASE WHEN p_size % 5 <> 0 THEN 'img' || (seq - seq % 2) END], lambda t: t IS NOT NULL) AS ids,
+    row_number() OVER (PARTITION BY number ORDER BY seq) AS rn FROM prov),
+shown AS (SELECT code, list(CAST(p_partkey AS VARCHAR)) AS ids FROM parts GROUP BY code),
+walk AS (
+  SELECT n.number, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, false AS ok, coalesce(s.ids, []) AS taken FROM (SELECT DISTINCT number FROM prov) n LEFT JOIN shown s ON s.code = n.number
+  UNION ALL
+  SELECT w.number, i.rn, CAST(i.seq AS BIGINT), NOT list_has_any(w.taken, i.ids), CASE WHEN list_has_any(w.taken, i.ids) THEN w.taken ELSE list_concat(w.taken, i.ids) END
+  FROM walk w JOIN img i ON i.number = w.number AND i.rn = w.rn + 1),
+accepted AS (SELECT number, seq, row_number() OVER (PARTITION BY number ORDER BY seq) AS nth FROM walk WHERE ok),
+free AS (SELECT c.code, k, row_number() OVER (PARTITION BY c.code ORDER BY k) AS nth FROM (SELECT DISTINCT code, unnest(range(1, 40)) AS k FROM parts) c
+   WHERE NOT EXISTS (SELECT 1 FROM official o WHERE o.code = c.code AND o.ix = c.k)),
+placed AS (SELECT a.number, a.seq, CASE WHEN s.code IS NULL THEN a.nth - 1 ELSE f.k END AS ix FROM accepted a LEFT JOIN shown s ON s.code = a.number LEFT JOIN free f ON f.code = a.number AND f.nth = a.nth)
+SELECT number || '::' || number || CASE WHEN ix > 0 THEN '_p' || ix ELSE '' END AS variant_key, number AS card_number, number || CASE WHEN ix > 0 THEN '_p' || ix ELSE '' END AS variant_id,
+  CAST(ix AS INTEGER) AS variant_index, CASE WHEN p_size % 2 = 0 THEN '{cat.PROVISIONAL_PREFIX}Series' ELSE '{cat.PROVISIONAL_LABEL}' END AS label, image_url AS source_url, coalesce(image_path, image_url) AS path
+FROM placed JOIN img USING (number, seq)""")
 def provisional_variants(i):
-    """Going by rows in order has no plain SQL form; the tests compare with a brute-force loop."""
+    """Rows are taken in order, each only if none of its images was taken before: a walk per number in the oracle, rounds here."""
     made = cat.provisional_variants(official(i), provisional_rows(i), i.img_vectors.select("url", F.lit("s").alias("signature")), RULES)
     return made.select("variant_key", "card_number", "variant_id", "variant_index", "label", "source_url", "path")
 
