@@ -140,6 +140,16 @@ def provisional_variants(official: DataFrame, provisional: DataFrame, hashes: Da
     return _finish_variants(made, hashes, rules, True)
 
 
+def catalog_summary(cards: DataFrame, manifest: DataFrame, provisional: DataFrame, generated_at=None, synced_at=None) -> DataFrame:
+    """One row about a snapshot's sources: how many cards, numbers in the manifest and provisional rows there were, when the manifest was
+    made (null if unknown) and when the snapshot was taken (now, unless given)."""
+    count = lambda df, c: df.agg(c.alias("n")).scalar()
+    moment = lambda x: x.cast("timestamp") if isinstance(x, Column) else F.lit(x).cast("timestamp")
+    return cards.agg(F.count(F.lit(1)).alias("cards")).withColumns({
+        "manifest_cards": count(manifest, F.count_distinct("number")), "provisional_cards": count(provisional, F.count(F.lit(1))),
+        "generated_at": moment(generated_at), "synced_at": F.current_timestamp() if synced_at is None else moment(synced_at)})
+
+
 def catalog_snapshot(official: DataFrame, provisional: DataFrame) -> DataFrame:
     """All variants ordered by number (digits as numbers), then index."""
     number = F.col("card_number")

@@ -81,6 +81,13 @@ def provisional_variants(i):
     return made.select("variant_key", "card_number", "variant_id", "variant_index", "label", "source_url", "path")
 
 
+@query("cat3_catalog_summary", """SELECT (SELECT count(*) FROM parts) AS cards, (SELECT count(DISTINCT code) FROM parts) AS manifest_cards,
+  (SELECT count(*) FROM parts WHERE p_size > 20) AS provisional_cards, '2024-01-30 06:10:00' AS generated_at, true AS synced""")
+def catalog_summary(i):
+    made = cat.catalog_summary(i.parts, i.parts.select(F.col("code").alias("number")), provisional_rows(i), "2024-01-30 06:10:00")
+    return made.select("cards", "manifest_cards", "provisional_cards", F.col("generated_at").cast("string").alias("generated_at"), F.col("synced_at").isNotNull().alias("synced"))
+
+
 @query("cat3_catalog_snapshot", f"""WITH {OFFICIAL},
 prov AS (SELECT code, p_partkey, row_number() OVER (PARTITION BY code ORDER BY p_partkey) AS rn FROM parts),
 free AS (SELECT c.code, k, row_number() OVER (PARTITION BY c.code ORDER BY k) AS rn FROM (SELECT DISTINCT code, unnest(range(1, 20)) AS k FROM parts) c

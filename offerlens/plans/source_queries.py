@@ -156,6 +156,22 @@ def backfill_history(i):
     return log.join(items.select("entity_key", "name", "image_url"), "entity_key").drop("shop_id")
 
 
+@query("src4_finish_backfill", f"""WITH {BACKFILL},
+newest AS (SELECT entity_key, max_by(price, date) AS price FROM merged GROUP BY 1),
+other AS (SELECT k AS entity_key, p_size * 100 AS price FROM named WHERE p_size <= 10)
+SELECT m.entity_key, CASE WHEN o.price > n.price THEN 'else' ELSE 'old' END AS best_shop_id, CAST(greatest(coalesce(o.price, 0), n.price) AS BIGINT) AS best_price,
+  CASE WHEN o.price > n.price THEN 'else/img' WHEN m.name = 'Known' THEN 'own/img' ELSE m.image_url END AS best_image_url
+FROM made m JOIN newest n USING (entity_key) LEFT JOIN other o USING (entity_key)""")
+def finish_backfill(i):
+    """The small parts had an offer of the loaded shop with an image, and one of another shop."""
+    items, log, _ = _backfill(i)
+    small = i.part.filter("p_size <= 10").select(F.concat(F.lit("m-"), F.col("p_partkey").cast("string"), F.lit("_"), F.replace("p_name", F.lit(" "), F.lit(""))).alias("entity_key"), "p_size")
+    row = lambda shop, price, image: small.select("entity_key", F.lit(shop).alias("shop_id"), price.cast("long").alias("latest_price"), F.lit(image).alias("image_url"))
+    stored = row("old", F.lit(1), "own/img").unionByName(row("else", F.col("p_size") * 100, "else/img"))
+    shops = i.spark.sql("SELECT * FROM VALUES ('old', 0, true), ('else', 1, true) AS t(shop_id, ordinal, enabled)")
+    return backfill.finish_backfill(items, stored, log, "old", shops)[0].select("entity_key", "best_shop_id", "best_price", "best_image_url")
+
+
 @query("src4_backfill_counters", f"WITH {BACKFILL} SELECT (SELECT count(*) FROM used) AS rows_imported, (SELECT count(*) FROM made WHERE name <> 'Known') AS items_created")
 def backfill_counters(i):
     return _backfill(i)[2]

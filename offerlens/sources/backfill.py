@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from offerlens.functions.columns import nonblank
 from offerlens.functions.unicode import nfkc
 from offerlens.operators import history as hist
+from offerlens.operators import offers as off
 
 MODEL_PREFIX = r"^型(?:番)?[:：\s]*"
 DATE_FORMATS = ("yyyy/M/d", "yyyy-M-d", "yyyy/M/d H:m:s", "yyyy-M-d H:m:s")
@@ -55,3 +56,24 @@ def backfill_history(rows: DataFrame, meta: DataFrame, items: DataFrame, history
     counters = loaded.agg(F.count(F.lit(1)).alias("rows_imported")).withColumn(
         "items_created", fresh.agg(F.count(F.lit(1)).alias("n")).scalar())
     return all_items, log, counters
+
+
+def renew_offers(items: DataFrame, offers: DataFrame, history: DataFrame, shop_id: str) -> DataFrame:
+    """Offers after a load into a shop's history: its offer of each item has the newest logged price, and the item's image where it had none.
+
+    Offers of other shops stay; columns the new offers lack are null.
+    """
+    newest = history.filter(F.col("shop_id") == shop_id).groupBy("entity_key").agg(F.max_by("price", "date").alias("newest_price"))
+    held = offers.filter(F.col("shop_id") == shop_id).select("entity_key", F.col("image_url").alias("held_image"), *[c for c in offers.columns if c not in (*hist.SERIES, "latest_price", "image_url")])
+    renewed = newest.join(held, "entity_key", "left").join(items.select("entity_key", F.col("image_url").alias("item_image")), "entity_key", "left").withColumns({
+        "shop_id": F.lit(shop_id), "latest_price": F.col("newest_price"), "image_url": F.coalesce(nonblank("held_image"), "item_image", F.lit(""))})
+    others = offers.join(renewed.select(*hist.SERIES), hist.SERIES, "left_anti")
+    return others.unionByName(renewed.select(*offers.columns))
+
+
+def finish_backfill(items: DataFrame, offers: DataFrame, history: DataFrame, shop_id: str, shops: DataFrame, exclude: DataFrame | None = None):
+    """(items, offers) after a load: the shop's offers renewed, best offers chosen again, items without a priced offer dropped."""
+    renewed = renew_offers(items, offers, history, shop_id)
+    no_log = history.select("entity_key", "date", "price").limit(0)
+    best, _ = off.refresh_best(items, renewed, history, no_log, shops, exclude, "merge")
+    return off.retain_priced(best, renewed), renewed
