@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 SLICE_BYTES = 1 << 20
-CACHED_CHARACTERS = 4_000_000
+CACHED_CHARACTERS = 1_500_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -48,6 +48,13 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in content.splitlines() if line)}
 
 
+def tokens_by_rank(ranks: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 @lru_cache(maxsize=None)
 def character_class(name: str, last: int) -> str:
     """Members up to code point `last` of the class L, N or S (letters, numbers, white space) as ranges for a bracket.
@@ -111,11 +118,7 @@ class Codec:
         self.characters = dict(enumerate(characters))
         self.known: dict[str, bytes] = {}
         self.held = 0
-        by_rank = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            by_rank[rank] = token
-        self.by_rank = by_rank
-        self.length = np.array([len(t) for t in by_rank], dtype=np.int64)
+        self.length = np.array([len(t) for t in tokens_by_rank(ranks)], dtype=np.int64)
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a text: those of its pieces, one after the other."""
@@ -139,12 +142,24 @@ class Codec:
         start = end - self.length[ids]
         return character[start].astype(np.int32), (character[end - 1] + 1).astype(np.int32)
 
+
+class Decoder:
+    """The tokens of one rank file; needs no model, so a decoding worker stays small."""
+
+    def __init__(self, content: bytes):
+        self.by_rank = tokens_by_rank(parse_ranks(content))
+
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) and int(ids.max()) >= len(self.by_rank):
             raise ValueError(f"id {int(ids.max())} is not in the vocabulary of {len(self.by_rank)}")
         return b"".join(map(self.by_rank.__getitem__, ids.tolist()))
 
 
+@lru_cache(maxsize=2)
+def decoder(content: bytes) -> Decoder:
+    return Decoder(content)
+
+
 @lru_cache(maxsize=2)
 def codec(content: bytes, *patterns: str) -> Codec:
     return Codec(content, *patterns)
@@ -202,7 +217,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", offset
     return df.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", text: bool = False) -> DataFrame:
+def decode(df: DataFrame, ranks: bytes, ids: str = "ids", text: bool = False) -> DataFrame:
     """Adds `decoded` (binary) for a column of packed ids; with `text` also `decoded_text`.
 
     A sequence that starts or ends inside a character still gives its exact bytes; in `decoded_text` the broken character
@@ -210,10 +225,9 @@ def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", text: bo
     """
     fields = [StructField("decoded", BinaryType()), *([StructField("decoded_text", StringType())] if text else [])]
     kept, schema = _replaced(df, fields)
-    written = patterns(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(ranks, *written)
+        coder = decoder(ranks)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             sizes = np.array([len(s) if s is not None else 0 for s in column.to_pylist()], np.int64)

@@ -35,6 +35,7 @@ MOST_HASHES = 128
 TILE_GRAMS = 1_000_000
 TILE_ROWS = 1_024
 TILE_COLUMNS = 4_096
+FILTER_BITS = 1 << 26
 
 
 def bands_and_rows(threshold: float, recall: float) -> tuple[int, int]:
@@ -77,7 +78,7 @@ class Signer:
 def _signed(rows: DataFrame, size: int, bands: int, band_rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, band_rows)
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             hashes, counts, keys = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 joined, n_words = normalised(text or b"")
@@ -107,6 +108,33 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "text_class binary, grams binary")
 
 
+def _id_bits(ids: DataFrame, row_id: str) -> np.ndarray:
+    """Bitmap of FILTER_BITS (8 MB) with the bits of all ids set: at most FILTER_BITS / 32 words reach the driver, whatever the number of ids."""
+    placed = ids.select(F.pmod(F.xxhash64(row_id), F.lit(FILTER_BITS)).alias("bit"))
+    words = placed.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return out
+
+
+def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the ids with these hashes may be among those of the bitmap; never False for one that is."""
+    bit = hashes & (FILTER_BITS - 1)
+    return bits[bit >> 5] >> (bit & 31).astype(np.uint32) & 1 == 1
+
+
+def _possible(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Rows (row_id, text) whose id may be in the bitmap, so that few other texts are shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(_held(shared.value, batch.column(2).to_numpy())))
+            yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["row_id", "text"])
+
+    return rows.withColumn("hash", F.xxhash64("row_id")).mapInArrow(run, rows.schema)
+
+
 def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """How many values each set in `left` shares with each set in `right` (row numbers into `sets`)."""
     values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -249,7 +277,9 @@ def jaccard_groups(rows: DataFrame, row_id: str = "doc_id", text: str = "text",
     members = checkpointed(keyed.join(kept, "bucket"))
     meets = members.groupBy("text_class").agg(F.collect_list("bucket").alias("buckets"))  # at most one entry per band
     needed = meets.join(classes.select("text_class", "first_id"), "text_class").select("first_id").distinct()
-    chosen = source.join(needed, source["row_id"].eqNullSafe(needed["first_id"]), "left_semi")
+    needed = checkpointed(needed)
+    possible = _possible(source, _id_bits(needed, "first_id"))
+    chosen = possible.join(needed, possible["row_id"].eqNullSafe(needed["first_id"]), "left_semi")
     sets = _sets(chosen, size).join(meets, "text_class")
     found = checkpointed(_compared(_tiles(members, threshold).join(sets, "text_class"), threshold))
     linked = components(found, "text_class", "other")
@@ -276,26 +306,32 @@ def jaccard_groups(rows: DataFrame, row_id: str = "doc_id", text: str = "text",
     )
 
 
-def _with_text_class(documents: DataFrame, text: str, name: str) -> DataFrame:
-    """All columns and the text class."""
+def _with_text_class(documents: DataFrame, row_id: str, text: str, name: str, bits: np.ndarray) -> DataFrame:
+    """All columns and the text class, null for rows whose id is surely not in the bitmap."""
+    shared = documents.sparkSession.sparkContext.broadcast(bits)
+    number = free_name(documents, "__hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-            hashes = [hashlib.blake2b(normalised(t or b"")[0], digest_size=16).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.binary())], names=[*batch.schema.names, name])
+            held = _held(shared.value, batch.column(batch.num_columns - 1).to_numpy()).tolist()
+            texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
+            hashes = [hashlib.blake2b(normalised(texts[k].as_py() or b"")[0], digest_size=16).digest() if h else None for k, h in enumerate(held)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hashes, pa.binary())], names=[*batch.schema.names[:-1], name])
 
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(name, BinaryType())]))
+    return documents.withColumn(number, F.xxhash64(row_id)).mapInArrow(run, StructType([*documents.schema.fields, StructField(name, BinaryType())]))
 
 
 def one_per_group(documents: DataFrame, row_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows that are their group's first: smallest id, of its repeated rows one. Rows without words all stay."""
-    groups = jaccard_groups(documents, row_id, text, **options)
-    firsts = groups.filter(F.col("row_id").eqNullSafe(F.col("class_id")) & (F.col("text_class") == F.col("first_class"))).select("row_id", "text_class").distinct()
+    groups = checkpointed(jaccard_groups(documents, row_id, text, **options).filter("n_links > 0"))  # all other rows stay
+    bits = _id_bits(groups, "row_id")
     name = free_name(documents, "__text_class")
-    marked = _with_text_class(documents, text, name)
-    wordless = F.col(name) == F.lit(hashlib.blake2b(b"", digest_size=16).digest())
-    many = marked.filter(~wordless)
-    same = many[row_id].eqNullSafe(firsts["row_id"]) & (many[name] == firsts["text_class"])
-    chosen = many.join(firsts, same, "left_semi").dropDuplicates([row_id, name])
-    return chosen.unionByName(marked.filter(wordless)).drop(name)
+    marked = _with_text_class(documents, row_id, text, name, bits)
+    alone = marked.filter(F.col(name).isNull())
+    maybe = marked.filter(F.col(name).isNotNull())
+    known = groups.select(F.col("row_id").alias("__known_id"), F.col("text_class").alias("__known_class"), (F.col("row_id").eqNullSafe(F.col("class_id")) & (F.col("text_class") == F.col("first_class"))).alias("__first")).distinct()
+    same = lambda table: maybe[row_id].eqNullSafe(table["__known_id"]) & (maybe[name] == table["__known_class"])
+    free = maybe.join(known, same(known), "left_anti")
+    firsts = known.filter("__first")
+    chosen = maybe.join(firsts, same(firsts), "left_semi").dropDuplicates([row_id, name])
+    return alone.unionByName(free).unionByName(chosen).drop(name)

@@ -72,7 +72,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(RANK_FILE))
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe.encode(documents, ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids")
-    decoded = bpe.decode(encoded, ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, ranks)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -36,7 +36,7 @@ def test_bpe_equals_the_rank_rule(exact):
 
 def test_bpe_round_trip_and_offsets(spark, exact):
     encoded = bpe.encode(cases.documents(spark), RANKS, public_tokenizers.PATTERN, offsets=True)
-    out = bpe.decode(encoded, RANKS, public_tokenizers.PATTERN, text=True).collect()
+    out = bpe.decode(encoded, RANKS, text=True).collect()
     assert len(out) == len(cases.rows()) and set(cases.documents(spark).columns) < set(encoded.columns)
     for row in out:
         text = row["text"] or ""
@@ -50,7 +50,7 @@ def test_bpe_round_trip_and_offsets(spark, exact):
 def test_bpe_split_characters(spark):
     ids = bpe.codec(RANKS, *bpe.patterns(public_tokenizers.PATTERN)).encode("\U0001f986")
     assert len(ids) > 4
-    out = bpe.decode(spark.createDataFrame([(bytearray(ids[:4]),), (None,)], "ids binary"), RANKS, public_tokenizers.PATTERN, text=True).collect()
+    out = bpe.decode(spark.createDataFrame([(bytearray(ids[:4]),), (None,)], "ids binary"), RANKS, text=True).collect()
     assert "\U0001f986".encode().startswith(bytes(out[0]["decoded"])) and out[0]["decoded_text"].strip("�") == "" and out[1]["decoded_text"] == ""
     assert bpe.encode(cases.empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
