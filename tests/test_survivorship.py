@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerlens.functions import durable
-from offerlens.operators import aliases, history, merge, portfolio, resolution, views
+from offerlens.operators import aliases, collection, history, merge, portfolio, resolution, views
+from offerlens.operators.offers import nest_listing_index
 from offerlens.sources import backfill, payloads
 
 
@@ -117,3 +118,26 @@ def test_only_local_sessions_get_a_folder_of_their_own(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         durable.shared_folder(Session())
+
+
+def test_nested_index_and_default_offers(spark):
+    offers = spark.createDataFrame([("i", "b", 2), ("i", "a", 1)], "entity_key string, shop_id string, latest_price long")
+    rows = spark.createDataFrame([("i", "n"), ("j", "m")], "entity_key string, name string")
+    out = {r["entity_key"]: r["offers_by_shop"] for r in nest_listing_index(rows, offers).collect()}
+    assert {k: v["latest_price"] for k, v in out["i"].items()} == {"a": 1, "b": 2} and out["j"] is None
+    items = spark.createDataFrame([("i", None, "n", "m", "x", 0, 7), ("j", None, "n", "m", "y", 1, 8)], "entity_key string, canonical_id string, name string, model_no string, image_url string, ordinal int, latest_price long")
+    log = spark.createDataFrame([("j", "*", 8), ("i", "a", 1)], "entity_key string, shop_id string, price long").withColumn("date", F.lit("2024-01-01").cast("date"))
+    store = merge.Store(items, spark.createDataFrame([], "entity_key string, alias_key string"), offers.withColumn("image_url", F.lit("z")), log)
+    made = merge.with_default_offers(store, "d")
+    assert [tuple(r) for r in made.offers.filter("shop_id = 'd'").select("entity_key", "latest_price", "image_url").collect()] == [("j", 8, "y")]
+    assert [(r["entity_key"], r["price"]) for r in made.history.filter("shop_id = 'd'").collect()] == [("j", 8)]
+
+
+def test_signature_urls_and_unresolved_files(spark, tmp_path):
+    candidates = spark.createDataFrame([(900, [("http://a",), ("",)]), (50, [("http://a ",), ("http://b",)])], "max_price long, records array<struct<image_url string>>")
+    offers = spark.createDataFrame([("http://b",), ("http://c",), ("ftp://d",)], "image_url string")
+    assert {(r["url"], r["priority"]) for r in resolution.signature_urls(candidates, offers).collect()} == {("http://a", 900), ("http://b", 50), ("http://c", -1)}
+    rows = spark.createDataFrame([("1", 'say "x"', "k|l")], "payload_id string, card_name string, candidate_keys string")
+    for fmt, read in (("csv", lambda p: spark.read.csv(p, header=True, escape='"')), ("json", spark.read.json)):
+        collection.write_unresolved(rows, str(tmp_path / fmt), fmt)
+        assert read(str(tmp_path / fmt)).select(*rows.columns).collect() == rows.collect()
