@@ -34,7 +34,7 @@ from offerlens.llm.names import free_name
 MOST_HASHES = 128
 TILE_GRAMS = 1_000_000
 TILE_ROWS = 1_024
-TILE_COLUMNS = 4_096
+TILE_COLUMNS = 1_024
 FILTER_BITS = 1 << 26
 
 
@@ -153,7 +153,8 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
             continue
         here = np.zeros((len(sets), TILE_COLUMNS), np.float32)
         here[owner[a:b], column[a:b] % TILE_COLUMNS] = 1
-        out += here[left] @ here[right].T
+        one = here[left]
+        out += one @ (one if right is left else here[right]).T
     return out
 
 
