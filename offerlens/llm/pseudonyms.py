@@ -6,8 +6,11 @@ format: a card keeps its length and gets a matching check digit, a date stays a
 under the same key gets the same pseudonym in every document, and different values stay different.
 
 Kinds: payment cards (check digit), social security numbers, IPv4 addresses, telephone numbers (national 3-3-4 numbers with or without
-country code 1, and international ones after +), dates from 1800 to 2199, IBANs (check digits; country and letters stay), and the local
-part of e-mail addresses (letters and digits, case folded; the domain stays).
+country code 1, and international ones after +, together or in groups), dates from 1800 to 2199, IBANs (check digits; country and letters stay;
+together or in groups), and the local part of e-mail addresses (letters and digits, case folded; the domain stays).
+
+National numbers whose area code and exchange are 200 or more are permuted among themselves. All others are permuted among themselves too where
+country code or brackets show that a telephone number is meant; without either they stay.
 
 Only DataFrame operations. Text is cut at the matches and joined again, once, whatever the number of matches.
 
@@ -25,15 +28,24 @@ from pyspark.sql import functions as F
 from offerlens.llm.names import free_name
 
 ROUNDS = 8
+# Characters of an IBAN by country.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_GROUPED_IBAN = "|".join(rf"(?:{names.replace(' ', '|')})\d{{2}}(?:[ -]?[A-Z0-9]){{{size - 4}}}" for size, names in IBAN_SIZES.items())
+# Groups of a number have one separator where that gives a whole number, so that what follows is not read as a further group.
+_GROUPS = "|".join(rf"\d(?:{mark}?\d){{5,11}}(?!\d)(?![./-]\d)" for mark in (" ", "-", r"\.", "[ .-]"))
 # The forms in which values are written.
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}|{_GROUPED_IBAN})(?![A-Za-z0-9])",
     "date": r"(?<![\d.])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ipv4": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d)",
     "phone": r"(?<![\d+])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
-    "world_phone": r"\+(?!1\d{10}(?!\d))\d{8,15}(?!\d)",
+    "world_phone": rf"\+(?:\d{{8,15}}(?!\d)|(?=(?:[ .()-]{{0,2}}\d){{8}})\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?(?:{_GROUPS}))",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
 
@@ -136,20 +148,36 @@ def _phone(m: Column, key: str) -> Column:
         area, exchange, line = (F.substring(national, a, n).cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
         value = ((area - 200) * 800 + (exchange - 200)) * 10000 + line
         pair = _permuted(F.floor(value / 80000), value % 80000, F.lit(80000), F.lit(80000), key, F.lit("phone"))
+        # The 3.6 * 10^9 others: 200,000 heads with an area code below 200, then 160,000 with an exchange below 200.
+        other = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange) * 10000 + line
+        other_pair = _permuted(F.floor(other / 60000), other % 60000, F.lit(60000), F.lit(60000), key, F.lit("other phone"))
+        three = lambda x: F.lpad(x.cast("string"), 3, "0")
+
+        def laid(a: Column, e: Column, v: Column) -> Column:
+            number = F.concat(three(a), three(e), F.lpad((v % 10000).cast("string"), 4, "0"))
+            return _laid_out(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), number), r"\d")
 
         def shown(p: Column) -> Column:
             v = p["l"] * 80000 + p["r"]
             head = F.floor(v / 10000)
-            number = F.concat((F.floor(head / 800) + 200).cast("string"), (head % 800 + 200).cast("string"), F.lpad((v % 10000).cast("string"), 4, "0"))
-            return _laid_out(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), number), r"\d")
+            return laid(F.floor(head / 800) + 200, head % 800 + 200, v)
+
+        def other_shown(p: Column) -> Column:
+            v = p["l"] * 60000 + p["r"]
+            head = F.floor(v / 10000)
+            low, rest = head < 200_000, head - 200_000
+            return laid(F.when(low, F.floor(head / 1000)).otherwise(F.floor(rest / 200) + 200), F.when(low, head % 1000).otherwise(rest % 200), v)
 
-        return F.when((area >= 200) & (exchange >= 200), _let(pair, shown))
+        meant = (F.length(d) > 10) | F.contains(m, F.lit("("))
+        return F.when((area >= 200) & (exchange >= 200), _let(pair, shown)).when(meant, _let(other_pair, other_shown))
 
     return _let(_digits(m), made)
 
 
 def _world_phone(m: Column, key: str) -> Column:
-    return F.concat(F.substring(m, 1, 3), _string(F.substring(m, F.lit(4), F.length(m)), 10, key, "world_phone"))
+    """Two digits after + stay. Eleven digits after +1 are a national number."""
+    made = lambda d: _laid_out(m, F.concat(F.substring(d, 1, 2), _string(F.substring(d, F.lit(3), F.length(d)), 10, key, "world_phone")), r"\d")
+    return _let(_digits(m), lambda d: F.when(d.rlike(r"^1\d{10}$"), _phone(m, key)).otherwise(made(d)))
 
 
 def _date(m: Column, key: str) -> Column:
@@ -184,10 +212,14 @@ def _remainder(text: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    country, account = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
-    valid = _remainder(F.concat(account, F.substring(m, 1, 4))) == 1
-    check = lambda a: F.lpad((98 - _remainder(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(valid, _let(_laid_out(account, _string(_digits(account), 10, key, "iban"), r"\d"), lambda a: F.concat(country, check(a), a)))
+    def made(c: Column) -> Column:
+        country, account = F.substring(c, 1, 2), F.substring(c, F.lit(5), F.length(c))
+        valid = _remainder(F.concat(account, F.substring(c, 1, 4))) == 1
+        check = lambda a: F.lpad((98 - _remainder(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0")
+        new = _let(_laid_out(account, _string(_digits(account), 10, key, "iban"), r"\d"), lambda a: F.concat(country, check(a), a))
+        return F.when(valid, _laid_out(m, new, "[A-Z0-9]"))
+
+    return _let(F.regexp_replace(m, "[ -]", ""), made)
 
 
 def _email(m: Column, key: str) -> Column:

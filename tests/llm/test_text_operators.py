@@ -171,6 +171,27 @@ def test_pseudonyms_are_one_to_one(spark):
     assert moved.distinct().count() == 189 * 773 and moved.filter("p.l NOT BETWEEN 0 AND 188 OR p.r NOT BETWEEN 0 AND 772").count() == 0
 
 
+def test_pseudonyms_of_low_area_codes_and_groups(spark):
+    values = ["+1 (017) 555-7713", "+10175557713", "(212) 155-0187", "+12125551234", "+1 212 555 1234", "+44 20 7946 0958", "+442079460958", "+44-20-7946-0958", "+44 20 7946-0958", "+49 30 123456",
+              "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "ES91 2100 0418 4502 0005 1332"]
+    new, found = replaced(spark, values)
+    assert found == [1] * len(values) and all(a != b for a, b in zip(values, new, strict=True))
+    bare = [re.sub("[^0-9A-Z]", "", v) for v in new]
+    assert bare[0] == bare[1] and bare[3] == bare[4] and bare[5] == bare[6] == bare[7] == bare[8] and bare[10] == bare[11]
+    assert [re.sub(r"\d", "9", v) for v in new] == [re.sub(r"\d", "9", v) for v in values] and replaced(spark, new)[1] == found
+    follow = ["+44 20 7946 0958 12.05.2001", "+49 30 123456 10.0.0.1", "+49 30 123456 2001-05-12", "ES91 2100 0418 4502 0005 1332 SEND"]
+    new, found = replaced(spark, follow)
+    assert found == [2, 2, 2, 1] and new[3].endswith(" SEND") and bare[7] == re.sub(r"\D", "", new[0])[:12]
+
+
+def test_pseudonyms_of_low_area_codes_are_one_to_one(spark):
+    # Both sides of each border of the classes.
+    numbers = [f"+1 ({a:03}) {e:03}-{n:04}" for a in (0, 1, 17, 199, 200, 201, 999) for e in (0, 199, 200, 999) for n in (0, 1, 9999)]
+    new, _ = replaced(spark, numbers)
+    low = lambda v: int(v[4:7]) < 200 or int(v[9:12]) < 200
+    assert len(set(new)) == len(numbers) and [low(v) for v in new] == [low(v) for v in numbers]
+
+
 def test_pseudonyms_odd_input(spark):
     out = pseudonyms.pseudonymise(cases.documents(spark), "k")
     assert [r["text"] for r in out.orderBy("doc_id", "source").collect()] == [r["text"] for r in cases.documents(spark).orderBy("doc_id", "source").collect()]
