@@ -267,6 +267,19 @@ def test_pages(spark):
     assert page_diff.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_whose_menus_outweigh_the_article(spark):
+    menu = "".join(f"<div>Menu entry number {k} of this site</div>" for k in range(30))
+    article = lambda k: f"<p>Short news {k}.</p><p>More of it, {k}.</p>"
+    bodies = {f"http://a/{k}": menu + article(k) for k in range(5)} | {f"http://b/{k}": f"<div class=content>{menu}{article(k)}</div>" for k in range(5)}
+    # Copies that differ by a line: none may delete the article of another.
+    bodies |= {f"http://c/{k}": menu + (article(0) if k < 2 else article(k)) + f"<p>#{k}</p>" for k in range(5)}
+    rows = [(url, f"<html><body>{body}</body></html>") for url, body in bodies.items()]
+    text = {r["url"]: r["text"] for r in page_diff.main_texts(spark.createDataFrame(rows, "url string, html string"), row_id="url").collect()}
+    for k in range(5):
+        assert text[f"http://a/{k}"] == text[f"http://b/{k}"] == f"Short news {k}. More of it, {k}."
+        assert text[f"http://c/{k}"] == (f"Short news {0 if k < 2 else k}. More of it, {0 if k < 2 else k}. #{k}")
+
+
 def test_page_query_against_the_marked_article(spark):
     pages = {r["page_id"]: r["html"] for r in queries.table(spark, SF, "pages").collect()}
     rows = queries.QUERIES["op5_page_diff"](spark, SF).collect()
