@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from offerlens.functions.columns import last_code, nonblank
 from offerlens.functions.durable import checkpointed
-from offerlens.functions.ordered import with_max_before
+from offerlens.functions.ordered import with_max_before, with_place
 from offerlens.functions.unicode import nfkc
 from offerlens.operators import merge
 from offerlens.operators.identity import IdentityRules, parse_identities
-from offerlens.operators.resolution import GATE_LIMITS, safety_gate
+from offerlens.operators.resolution import GATE_LIMITS, safety_gate, whole_block_candidates
 
 
 # Order numbers of incoming rows start above those of all existing ones.
@@ -41,9 +41,18 @@ def deferral_report(candidates: DataFrame, reviewed: DataFrame, **limits) -> tup
     return deferred, counts, total
 
 
-def review_violations(candidates: DataFrame, reviewed: DataFrame, groups: DataFrame, batch: str, **limits) -> DataFrame:
-    """(kind, subject) for reviewed ids that are missing or unsafe, or collide with another batch's group."""
-    gated = safety_gate(candidates, **limits)
+def review_violations(candidates: DataFrame, reviewed: DataFrame, groups: DataFrame, batch: str, records: DataFrame | None = None,
+                      signatures: DataFrame | None = None, risk: dict | None = None, **limits) -> DataFrame:
+    """(kind, subject) for reviewed ids that are missing or unsafe, or collide with another batch's group.
+
+    With `records`, for groups that take whole blocks, the gate judges all records of the reviewed blocks; `signatures` and `risk` are then those of `build_candidates`.
+    """
+    if (records is None) != (signatures is None):
+        raise ValueError("records and signatures go together")
+    judged = candidates
+    if records is not None:
+        judged = whole_block_candidates(candidates.join(reviewed.select("candidate_id"), "candidate_id", "left_semi"), records, signatures, **(risk or {}))
+    gated = safety_gate(judged, **limits)
     chosen = gated.join(reviewed.select("candidate_id"), "candidate_id", "left_semi")
     missing = reviewed.join(candidates.select("candidate_id"), "candidate_id", "left_anti")
     kept = groups.filter(~F.col("batch").eqNullSafe(batch))
@@ -60,7 +69,7 @@ def alias_groups_from(candidates: DataFrame, reviewed: DataFrame, groups: DataFr
     """Groups and members after a review batch: its earlier groups are replaced, those of other batches stay.
 
     reviewed(candidate_id, position). Check `review_violations` first. With `records`, the candidate records, a group holds every
-    record of its block; without, those of the review list. Positions are order numbers, highest price first.
+    record of its block, so `review_violations` needs the records too; without, those of the review list. Positions count from 0, highest price first.
     """
     kept = groups.filter(~F.col("batch").eqNullSafe(batch))
     kept_members = members.join(kept.select("canonical_id"), "canonical_id", "left_semi")
@@ -70,10 +79,9 @@ def alias_groups_from(candidates: DataFrame, reviewed: DataFrame, groups: DataFr
         made_members = chosen.select("canonical_id", F.posexplode("records").alias("position", "r")).select(
             "canonical_id", "position", "r.shop_id", "r.source_key", "r.name", "r.model_no")
     else:
-        # A whole number that orders by falling price, then by item and shop, without sorting a block.
-        place = -F.col("latest_price").cast("long") * (1 << 20) + F.pmod("ordinal", F.lit(1 << 18)) * 4 + F.least(F.coalesce("shop_ordinal", F.lit(3)), F.lit(3))
-        made_members = records.join(chosen.select("canonical_id", "model_code", "signature"), ["model_code", "signature"]).select(
-            "canonical_id", place.alias("position"), "shop_id", "source_key", "name", "model_no")
+        held = records.join(chosen.select("canonical_id", "model_code", "signature"), ["model_code", "signature"])
+        order = [F.col("latest_price").desc(), F.col("ordinal"), F.col("shop_ordinal"), F.col("source_key"), F.col("shop_id")]
+        made_members = with_place(held, ["canonical_id"], order, "position").select("canonical_id", "position", "shop_id", "source_key", "name", "model_no")
     return kept.unionByName(made), kept_members.unionByName(made_members)
 
 

@@ -166,16 +166,21 @@ def with_score(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"shops": shops, "score": round_half_up(F.least(F.lit(100.0), raw))})
 
 
-def with_risk(blocks: DataFrame, condition_tags: tuple[str, ...] = ("opened", "unopened"), tiny_price: int = 100, real_price: int = 1000,
-              spread_price: int = 500) -> DataFrame:
-    """Warnings and risk level of a block; price limits are parameters of the market."""
+CONDITION_TAGS = ("opened", "unopened")
+
+
+def with_risk(blocks: DataFrame, condition_tags: tuple[str, ...] = CONDITION_TAGS, **prices) -> DataFrame:
+    """Warnings and risk level of a block; price limits (see `with_risk_level`) are parameters of the market."""
     shop_ids = F.transform("records", lambda r: r["shop_id"])
     counted = F.transform(F.array_sort(F.array_distinct(shop_ids)), lambda s: F.struct(
         s.alias("shop_id"), F.size(F.filter("records", lambda r: r["shop_id"] == s)).alias("n")))
     conditions = F.array_intersect(F.flatten(F.transform("records", lambda r: r["tags"])), F.array(*map(F.lit, condition_tags)))
+    return with_risk_level(blocks.withColumns({"duplicate_shops": F.filter(counted, lambda x: x["n"] > 1), "condition_conflict": F.size(conditions) > 1}), **prices)
+
+
+def with_risk_level(blocks: DataFrame, tiny_price: int = 100, real_price: int = 1000, spread_price: int = 500) -> DataFrame:
+    """Warnings and risk level from duplicate shops, condition conflict, prices and image extremes."""
     facts = blocks.withColumns({
-        "duplicate_shops": F.filter(counted, lambda x: x["n"] > 1),
-        "condition_conflict": F.size(conditions) > 1,
         "mixed_images": F.coalesce((F.col("image_max") >= 90) & (F.col("image_min") <= 70), F.lit(False)),
         "tiny_price": (F.col("min_price") > 0) & (F.col("min_price") < tiny_price) & (F.col("max_price") >= real_price),
         "wide_spread": (F.col("min_price") >= spread_price) & F.coalesce(F.col("price_ratio") >= 5, F.lit(False)),
@@ -223,12 +228,47 @@ def order_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.orderBy(risk, F.col("max_price").desc(), F.col("score").desc(), "candidate_id")
 
 
+def whole_block_candidates(candidates: DataFrame, records: DataFrame, signatures: DataFrame, condition_tags: tuple[str, ...] = CONDITION_TAGS, **prices) -> DataFrame:
+    """The candidates with shops, prices, duplicates, conditions, images, warnings and risk level of all records of their blocks,
+    instead of those of the review list. `block_shops` holds the number of shops with an id.
+
+    Images are compared exactly, so the distinct signatures of a block meet each other.
+    """
+    held = records.join(candidates.select(*BLOCK).distinct(), BLOCK, "left_semi")
+    price = F.when(F.col("latest_price") > 0, F.col("latest_price"))
+    conditions = {f"_tag{k}": F.max(F.coalesce(F.array_contains("tags", tag), F.lit(False))) for k, tag in enumerate(condition_tags)}
+    shops = held.groupBy(*BLOCK, "shop_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min(price).alias("low"), F.max(price).alias("high"), *[c.alias(n) for n, c in conditions.items()])
+    # At most one entry per shop.
+    duplicates = F.array_sort(F.collect_list(F.when((F.col("n") > 1) & F.col("shop_id").isNotNull(), F.struct("shop_id", F.col("n").cast("int").alias("n")))))
+    facts = shops.groupBy(*BLOCK).agg(
+        F.count_if(F.coalesce("shop_id", F.lit("")) != "").alias("block_shops"), F.coalesce(F.min("low"), F.lit(0)).alias("min_price"),
+        F.coalesce(F.max("high"), F.lit(0)).alias("max_price"), duplicates.alias("duplicate_shops"), *[F.max(n).cast("int").alias(n) for n in conditions])
+    found = sum((F.col(n) for n in conditions), F.lit(0))
+    facts = facts.withColumn("condition_conflict", found > 1).drop(*conditions)
+
+    known = signatures.filter(F.coalesce("signature", F.lit("")) != "").groupBy("url").agg(F.max("signature").alias("dhash"))
+    hashes = checkpointed(held.filter("shop_id IS NOT NULL").join(known.withColumnRenamed("url", "image_url"), "image_url").groupBy(*BLOCK, "dhash").agg(
+        F.min("shop_id").alias("lo"), F.max("shop_id").alias("hi")))
+    other = hashes.select(*BLOCK, *[F.col(c).alias(f"other_{c}") for c in ("dhash", "lo", "hi")])
+    across = ~((F.col("lo") == F.col("other_hi")) & (F.col("hi") == F.col("other_lo")))  # unless all records are of one shop
+    alike = hashes.join(other, BLOCK).filter((F.col("dhash") <= F.col("other_dhash")) & across).withColumn(
+        "alike", round_half_up(hamming_similarity(F.col("dhash"), F.col("other_dhash")) * 100))
+    images = alike.groupBy(*BLOCK).agg(F.max("alike").alias("image_max"), F.min("alike").alias("image_min"), F.count("alike").cast("int").alias("image_pairs"))
+    renewed = candidates.drop("min_price", "max_price", "price_ratio", "duplicate_shops", "condition_conflict", "image_max", "image_min", "image_pairs", "risk_level", "warnings", "block_shops")
+    joined = renewed.join(facts, BLOCK).join(images, BLOCK, "left").withColumns({
+        "image_pairs": F.coalesce("image_pairs", F.lit(0)), "price_ratio": F.round(F.when(F.col("min_price") > 0, F.col("max_price") / F.col("min_price")), 1)})
+    return with_risk_level(joined, **prices)
+
+
 GATE_LIMITS = {"min_shops": 3, "max_ratio": 2.0, "min_image": 80}
 
 
 def safety_gate(candidates: DataFrame, min_shops: int = 3, max_ratio: float = 2.0, min_image: int = 80) -> DataFrame:
-    """Candidates with `reasons` against automatic acceptance and `safe`."""
+    """Candidates with `reasons` against automatic acceptance and `safe`, by the review list, or by the whole block for `whole_block_candidates`."""
     shops = F.size(F.array_distinct(F.filter(F.transform("records", lambda r: r["shop_id"]), lambda s: F.coalesce(s, F.lit("")) != "")))
+    if "block_shops" in candidates.columns:
+        shops = F.col("block_shops").cast("int")
     no_pairs = F.coalesce("image_pairs", F.lit(0)) == 0
     reasons = F.array_compact(F.array(
         F.when(F.col("condition_conflict"), "opened and unopened mixed"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from offerlens.functions import durable
 from offerlens.operators import aliases, collection, history, merge, portfolio, resolution, views
 from offerlens.operators.offers import nest_listing_index
+from offerlens.plans.identity_queries import RULES
 from offerlens.sources import backfill, payloads
 
 
@@ -87,6 +88,49 @@ def test_groups_hold_every_record(spark):
     assert (summary["total"], summary["min_shops"], summary["max_ratio"], summary["min_image"]) == (1, 2, 2.0, 80)
 
 
+def block_of(spark, changed):
+    """Twelve equal records of twelve shops, highest price first, some of them changed; (candidates, records, signatures)."""
+    kinds = "source_key string, identity_key string, shop_id string, shop_name string, name string, model_no string, model_code string, tags array<string>, signature string, latest_price long, image_url string, ordinal long, shop_ordinal int"
+    rows = [{"source_key": f"k{k}", "identity_key": f"id{k % 2}", "shop_id": f"s{k:02}", "shop_name": "S", "name": "n", "model_no": "m", "model_code": "c", "tags": ["opened"], "signature": "base",
+             "latest_price": 5000 - k, "image_url": "u", "ordinal": k, "shop_ordinal": k} | changed.get(k, {}) for k in range(12)]
+    records = spark.createDataFrame([tuple(r.values()) for r in rows], kinds)
+    signatures = spark.createDataFrame([("u", "ffff"), ("v", "ff00")], "url string, signature string")
+    return resolution.build_candidates(records, signatures), records, signatures
+
+
+@pytest.mark.parametrize("changed", [{"latest_price": 900}, {"tags": ["unopened"]}, {"shop_id": "s00"}, {"image_url": "v"}])
+def test_gate_of_whole_blocks(spark, changed):
+    none = spark.createDataFrame([], "canonical_id string, canonical_name string, model_no string, batch string, candidate_id string, position long")
+    for late, unsafe in (({}, []), ({11: changed}, ["unsafe candidate"])):
+        candidates, records, signatures = block_of(spark, late)
+        reviewed = candidates.select("candidate_id", F.lit(0).alias("position"))
+        assert aliases.review_violations(candidates, reviewed, none, "b").count() == 0  # the review list shows nothing
+        found = aliases.review_violations(candidates, reviewed, none, "b", records, signatures).collect()
+        assert [r["kind"] for r in found] == unsafe
+
+
+def test_whole_block_facts_equal_the_review_list_where_it_holds_all(spark):
+    changed = {k: {"shop_id": "s00", "image_url": "v" if k % 2 else "u"} for k in range(0, 12, 3)} | {5: {"tags": ["unopened"], "latest_price": 0}}
+    candidates, records, signatures = block_of(spark, changed)
+    whole = resolution.build_candidates(records, signatures, k=12).head().asDict()
+    found = resolution.whole_block_candidates(candidates, records, signatures).head().asDict()
+    for c in ("min_price", "max_price", "price_ratio", "duplicate_shops", "condition_conflict", "image_min", "image_max", "warnings", "risk_level"):
+        assert found[c] == whole[c], c
+
+
+def test_positions_of_whole_blocks(spark):
+    candidates, records, _ = block_of(spark, {3: {"latest_price": 5000 - 4}, 7: {"latest_price": 1 << 50}})
+    none = spark.createDataFrame([], "canonical_id string, canonical_name string, model_no string, batch string, candidate_id string, position long")
+    no_members = spark.createDataFrame([], "canonical_id string, position long, shop_id string, source_key string, name string, model_no string")
+    groups, members = aliases.alias_groups_from(candidates, candidates.select("candidate_id", F.lit(0).alias("position")), none, no_members, "b", records)
+    placed = [(r["position"], r["source_key"]) for r in members.orderBy("position").collect()]
+    assert placed == list(enumerate(f"k{k}" for k in (7, 0, 1, 2, 3, 4, 5, 6, 8, 9, 10, 11)))
+    items = records.select(F.col("source_key").alias("entity_key"), F.lit(None).cast("string").alias("canonical_id"), "name", "model_no", "ordinal")
+    offers = records.select(F.col("source_key").alias("entity_key"), F.col("name").alias("source_name"))
+    matched = aliases.match_alias_members(merge.Store(items, None, offers, None), groups, members, RULES).orderBy("ordinal").collect()
+    assert [r["entity_key"] for r in matched] == [key for _, key in placed]
+
+
 def test_only_local_sessions_get_a_folder_of_their_own(spark, monkeypatch):
     class Conf:
         def get(self, *_):
