@@ -21,8 +21,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand on many sources."""
-    kept = line_spread.remove_boilerplate(docs, counts=False)
+    """All documents, without lines of any length that stand on many sources."""
+    kept = line_spread.remove_boilerplate(docs, max_words=None, counts=False)
     return kept.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 

@@ -165,6 +165,13 @@ def test_line_spread_odd_input(spark):
     assert line_spread.remove_boilerplate(cases.empty(spark)).count() == 0
 
 
+def test_long_lines_in_the_pipeline(spark):
+    notice = " ".join(f"word{k} of the notice" for k in range(20))
+    documents = cases.documents(spark, [(k, f"body {k} of the page\n{notice}", None, f"s{k}", 1, *[None] * 7) for k in range(8)])
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_boilerplate(spark, documents, SF).collect()}
+    assert out == {k: f"body {k} of the page" + (f"\n{notice}" if k == 0 else "") for k in range(8)}
+
+
 def test_spread_near_the_threshold_is_exact(spark):
     lines = spark.range(120).select(F.explode(F.sequence(F.lit(0), F.col("id"))).alias("site"), F.col("id").alias("k1"), F.lit(0).alias("k2"), F.lit(1).alias("row_id"))
     for least in (3, 60, 110):
