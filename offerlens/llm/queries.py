@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import block_knn, bpe, licence_scan, line_spread, minhash_join, mixing, page_diff, perplexity, pseudonyms, quality_knn
+from offerlens.llm import block_knn, bpe, licence_scan, line_spread, minhash_join, mixing, page_diff, perplexity, prefix_trie, pseudonyms, quality_knn, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 PSEUDONYM_KEY = "example key; production passes its own"
 LEAST_QUALITY = 0.7
+LEAST_TOXIC = 0.5
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -105,6 +106,30 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", "text")
 
 
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document from labels outside the held-out fifth."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"), F.crc32(F.col("row_id").cast("string")) % 5 != 0)
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= LEAST_TOXIC).cast("int").alias("predicted"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("row_id", "vec_id")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of all conversations, each begun with turns of its family's first."""
+    turns = table(spark, sf_dir, "conversations")
+    rebuilt = prefix_trie.own_and_donors(turns, lambda c: c - c % 5, lambda c: F.crc32(c.cast("string")) % 9, most=8)
+    return prefix_trie.trie(rebuilt)
+
+
 ORACLES["op10_line_spread"] = r"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
