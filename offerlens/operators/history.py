@@ -39,6 +39,45 @@ def to_change_log(observations: DataFrame) -> DataFrame:
     )
 
 
+def day_rows(observations: DataFrame) -> DataFrame:
+    """(series, date, price, seq, low, high): what a log needs to know of a day; `merge_days` adds two such tables."""
+    return observations.groupBy(*SERIES, F.col("obs_date").alias("date")).agg(
+        F.max_by("price", "obs_seq").alias("price"), F.max("obs_seq").alias("seq"), F.min("price").alias("low"), F.max("price").alias("high"))
+
+
+def merge_days(days: DataFrame) -> DataFrame:
+    """One row per series and day of any number of day rows, in any order; a row given twice changes nothing."""
+    return days.groupBy(*SERIES, "date").agg(
+        F.max_by("price", "seq").alias("price"), F.max("seq").alias("seq"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def log_patch(days: DataFrame, touched: DataFrame) -> DataFrame:
+    """(series, date, price): log entries of the touched days and of the days right after them; a null price means no entry.
+
+    `days` holds all days of the series concerned, after the change; touched(series, date).
+    """
+    marked = days.join(touched.select(*SERIES, "date").distinct().withColumn("changed", F.lit(True)), [*SERIES, "date"], "left")
+    by_day = Window.partitionBy(*SERIES).orderBy("date")
+    previous, after = F.lag("price").over(by_day), F.lag("changed").over(by_day)
+    known = marked.withColumns({"previous": previous, "after": after})
+    entry = F.col("previous").isNull() | (F.col("low") != F.col("previous")) | (F.col("high") != F.col("previous"))
+    return known.filter(F.col("changed") | F.col("after")).select(*SERIES, "date", F.when(entry, F.col("price")).alias("price"))
+
+
+def merge_late(history: DataFrame, days: DataFrame, late: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(change log, day rows) after observations of any age; equal to the log of all observations together.
+
+    history and days are those of the observations so far. Only series with late observations are replayed.
+    """
+    rows = day_rows(late)
+    merged = merge_days(days.unionByName(rows))
+    concerned = merged.join(rows.select(*SERIES).distinct(), SERIES, "left_semi")
+    patch = log_patch(concerned, rows)
+    both = history.select(*SERIES, "date", "price", F.lit(0).alias("side")).unionByName(patch.select(*SERIES, "date", "price", F.lit(1).alias("side")))
+    newest = F.max_by(F.struct("price"), "side").alias("newest")
+    return both.groupBy(*SERIES, "date").agg(newest).select(*SERIES, "date", "newest.price").filter("price IS NOT NULL"), merged
+
+
 def history_tails(history: DataFrame) -> DataFrame:
     """Last entry of every series."""
     return history.groupBy(*SERIES).agg(F.max("date").alias("date"), F.max_by("price", "date").alias("price"))

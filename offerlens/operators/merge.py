@@ -44,6 +44,20 @@ def upsert_observations(items: DataFrame, offers: DataFrame, history: DataFrame,
     return merged_items, merged_offers, log, late
 
 
+def upsert_observations_of_any_age(items: DataFrame, offers: DataFrame, history: DataFrame, days: DataFrame, batch: DataFrame):
+    """As `upsert_observations`, but with the day rows of the log (`history.day_rows`) as part of the state; returns (items, offers, history, days).
+
+    Late observations are merged: the log equals that of all observations together. An offer keeps its fields if the
+    series has a later day than the listing.
+    """
+    seen_until = days.groupBy(*hist.SERIES).agg(F.max("date").alias("_last_day"))
+    current = batch.join(seen_until, hist.SERIES, "left").filter(F.col("_last_day").isNull() | (F.col("obs_date") >= F.col("_last_day"))).drop("_last_day")
+    merged_items, _, _, _ = upsert_observations(items, offers, history, batch)
+    _, merged_offers, _, _ = upsert_observations(items, offers, history, current)
+    log, merged_days = hist.merge_late(history, days, batch)
+    return merged_items, merged_offers, log, merged_days
+
+
 @dataclass(frozen=True)
 class Store:
     """The stored tables of a run.

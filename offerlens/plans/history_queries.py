@@ -58,6 +58,27 @@ def upsert_observations(i):
         "entity_key", "shop_id", "latest_price", "image_url", "name", "entries", "last_date")
 
 
+@query("h2_late_observations", """
+SELECT h.entity_key, h.shop_id, h.date, h.price, o.latest_price FROM hist h JOIN offers o USING (entity_key, shop_id)""")
+def late_observations(i):
+    """State built in three batches whose days overlap: log and offers equal those of all observations together."""
+    from offerlens.functions.durable import checkpointed
+    from offerlens.operators.merge import upsert_observations_of_any_age as upsert
+
+    part = F.pmod(F.xxhash64("obs_seq"), F.lit(3))
+    listed = i.obs.select("*", F.lit("").alias("name"), F.lit("").alias("model_no"), F.lit("").alias("image_url"), part.alias("part"))
+    first = listed.filter("part = 0")
+    items = first.select("entity_key", "name", "model_no", "image_url").distinct()
+    current = first.groupBy("entity_key", "shop_id").agg(F.max_by("price", "obs_seq").alias("latest_price"), F.lit("").alias("image_url"))
+    log, days = history.to_change_log(first), history.day_rows(first)
+    for number in (1, 2):
+        items, current, log, days = upsert(items, current, log, days, listed.filter(F.col("part") == number).drop("part"))
+        log, days = checkpointed(log), checkpointed(days)
+    # The last listing of all: the one of the newest day, and of that day the last.
+    newest = days.groupBy("entity_key", "shop_id").agg(F.max_by("price", "date").alias("latest_price"))
+    return log.join(newest, ["entity_key", "shop_id"])
+
+
 @query("h3_override_history", """
 SELECT coalesce(d.entity_key, h.entity_key) AS entity_key, coalesce(d.shop_id, h.shop_id) AS shop_id,
        coalesce(d.date, h.date) AS date, coalesce(d.high, h.price) AS price

@@ -22,5 +22,17 @@ def stream_change_log(i):
         part = part if high is None else part.filter(F.col("obs_seq") <= high)
         part.write.mode("append").parquet(f"{base}/in")
         arriving = i.spark.readStream.schema(change_log.OBSERVATIONS).parquet(f"{base}/in")
-        change_log.stream_change_log(arriving, f"{base}/state", f"{base}/checkpoint", compact_every=2).awaitTermination()
+        change_log.stream_change_log(arriving, f"{base}/state", f"{base}/checkpoint", compact_every=2, buckets=8).awaitTermination()
+    return change_log.read_change_log(i.spark, f"{base}/state")
+
+
+@query("st1_late_merge", "SELECT entity_key, shop_id, date, price FROM hist")
+def late_merge(i):
+    """Deliveries in any order of days: most rows of the later ones are late, and merging them gives the log of all rows."""
+    base = f"{shared_folder(i.spark)}/stream-{uuid.uuid4().hex}"
+    delivery = F.pmod(F.xxhash64("obs_seq"), F.lit(3))
+    for number in range(3):
+        i.obs.filter(delivery == number).write.mode("append").parquet(f"{base}/in")
+        arriving = i.spark.readStream.schema(change_log.OBSERVATIONS).parquet(f"{base}/in")
+        change_log.stream_change_log(arriving, f"{base}/state", f"{base}/checkpoint", compact_every=2, merge_late_every=1, buckets=8).awaitTermination()
     return change_log.read_change_log(i.spark, f"{base}/state")

@@ -134,3 +134,56 @@ def test_merge_precedence_equals_fold(spark):
         ranks = merge.precedence(spark.createDataFrame([("g", k, max(d for d, _ in e)) for k, e in records], "g string, ordinal long, last_date date"), ["g"], block=3)
         order = [r["ordinal"] for r in ranks.orderBy("rank").collect()]
         assert len(order) == 8
+
+
+def test_late_rows_merged_in_steps(spark, tmp_path):
+    """Deliveries in any order: after merging, the log is that of all rows, also when steps are repeated."""
+    rng = random.Random(17)
+    rows = random_observations(13, 400)
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    state = str(tmp_path / "state")
+    parts = [shuffled[k::6] for k in range(6)]
+    for batch, part in enumerate(parts):
+        for _ in range(1 + (batch == 3)):
+            change_log.process_batch(spark.createDataFrame(part, OBS), batch, state, compact_every=2, buckets=4)
+            if batch in (1, 3, 5):
+                change_log.merge_late(spark, state, batch, since=max(0, batch - 1), compact_every=2, buckets=4)
+    want = as_set(history.to_change_log(spark.createDataFrame(rows, OBS)))
+    assert as_set(change_log.read_change_log(spark, state)) == want
+    assert change_log.read_late(spark, state).count() > 0
+
+
+def test_a_batch_reads_only_its_buckets(spark, tmp_path):
+    state = str(tmp_path / "state")
+    change_log.process_batch(spark.createDataFrame(random_observations(2), OBS), 0, state, compact_every=4, buckets=16)
+    days = change_log._parts(spark, f"{state}/days", 2, change_log.DAYS, 4, [3])
+    plan = days._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_merge_late_equals_all_rows(spark):
+    rng = random.Random(5)
+    rows = random_observations(21, 300)
+    rng.shuffle(rows)
+    first, later = spark.createDataFrame(rows[:200], OBS), spark.createDataFrame(rows[200:], OBS)
+    log, days = history.merge_late(history.to_change_log(first), history.day_rows(first), later)
+    assert as_set(log) == as_set(history.to_change_log(spark.createDataFrame(rows, OBS)))
+    assert {tuple(r) for r in days.collect()} == {tuple(r) for r in history.day_rows(spark.createDataFrame(rows, OBS)).collect()}
+
+
+def test_an_entry_disappears_with_a_late_price(spark):
+    first = spark.createDataFrame([(1, "a", day(0), 0, 100), (1, "a", day(4), 1, 200)], OBS)
+    late = spark.createDataFrame([(1, "a", day(2), 2, 200)], OBS)
+    log, _ = history.merge_late(history.to_change_log(first), history.day_rows(first), late)
+    assert as_set(log) == {(1, "a", day(0), 100), (1, "a", day(2), 200)}
+
+
+def test_an_offer_is_not_renewed_by_an_older_listing(spark):
+    items = spark.createDataFrame([(1, "n", "m", "")], "entity_key long, name string, model_no string, image_url string")
+    offers = spark.createDataFrame([(1, "a", 200, "i.png")], "entity_key long, shop_id string, latest_price long, image_url string")
+    first = spark.createDataFrame([(1, "a", day(3), 0, 200)], OBS)
+    batch = spark.createDataFrame([(1, "a", day(1), 9, 100, "old", "m", "o.png"), (1, "b", day(1), 10, 70, "b", "m", "")], OBS + ", name string, model_no string, image_url string")
+    _, current, log, days = merge.upsert_observations_of_any_age(items, offers, history.to_change_log(first), history.day_rows(first), batch)
+    assert {(r["shop_id"], r["latest_price"], r["image_url"]) for r in current.collect()} == {("a", 200, "i.png"), ("b", 70, "")}
+    assert as_set(log) == {(1, "a", day(1), 100), (1, "a", day(3), 200), (1, "b", day(1), 70)} and days.count() == 3
