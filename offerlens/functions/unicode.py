@@ -28,8 +28,8 @@ def _nfkc_decoded(values: pd.Series) -> pd.Series:
 
 
 def nfkc(c: Column) -> Column:
-    """Compatibility-normalised text."""
-    return _nfkc(c)
+    """Compatibility-normalised text. ASCII is its own normal form and never goes to Python."""
+    return F.coalesce(_nfkc(F.when(~c.rlike(r"^\p{ASCII}*$"), c)), c)
 
 
 def nfkc_decoded(c: Column) -> Column:

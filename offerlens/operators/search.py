@@ -1,21 +1,25 @@
 """Keyword search: documents, a table of saved queries, exact and fuzzy matching.
 
-Matching never pairs every document with every query. A query is looked up by an anchor token
-(all its tokens under OR): for a few anchors by scanning the text for each of them, for many
-through shared n-grams. Only the (document, query) pairs found are tested in full.
+Matching never pairs every document with every query. Queries are looked up by their rarest gram in an inverted index of the
+grams that queries want, the same way for any number of them. Only the (document, query) pairs found are tested in full.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.functions.columns import constant_rows, nonblank
+from offerlens.functions.durable import written
+from offerlens.functions.skew import spread_join
 from offerlens.functions.unicode import letters_and_digits, search_fold
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 UNIT = "\x01"
 GRAM_SIZES = (1, 2, 4, 6)
+LOOKUPS = 3
+BITMAP_BITS = 1 << 20
 # Token grammar of a query text, and the edit distances allowed up to a token length.
 QUERY_TOKEN = r'(?U)[-－−]?(?:"[^"]+"|“[^”]+”|\S+)'
 FUZZY_LIMITS = ((2, 0), (4, 1), (8, 2))
@@ -53,6 +57,11 @@ def build_search_docs(values: DataFrame) -> DataFrame:
         F.array_distinct(F.filter(F.concat("c", words), lambda t: F.length(t) >= 2)).alias("terms"))
 
 
+def write_search_docs(values: DataFrame) -> DataFrame:
+    """The same, folded once in balanced tasks and written for the steps that read them several times."""
+    return written(build_search_docs(values.repartition("entity_key")))
+
+
 def parse_queries(queries: DataFrame) -> DataFrame:
     """Tokens (query_id, position, exclude, normalized, compact) of the texts in queries(query_id, query)."""
     source = F.trim(F.replace("query", F.lit("　"), F.lit(" ")))
@@ -71,62 +80,94 @@ def allowed_distance(length: Column) -> Column:
     return out.otherwise(FUZZY_MAX)
 
 
-def _segments(term: Column, length: Column, k: int) -> Column:
-    """The term cut into k + 1 nearly equal parts, as (k, length, part number, text)."""
-    base = F.floor(length / (k + 1)).cast("int")
-    longer_from = (k + 1) - (length - base * (k + 1))
+SHORT_TERM = 5
+# (token length, term length) of the pairs with a short term that the limits allow.
+SHORT_PAIRS = tuple((n, m) for n in range(3, SHORT_TERM + 3) for m in range(2, SHORT_TERM + 1) if abs(n - m) <= (1 if n <= 4 else 2))
+
+
+def _less(text: Column, length: Column) -> Column:
+    """The text without one of its characters, for each."""
+    return F.transform(F.sequence(F.lit(1), length), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, length)))
 
-    def part(i):
-        start = base * i + F.greatest(F.lit(0), i - longer_from)
-        size = base + F.when(i >= longer_from, 1).otherwise(0)
-        return F.struct(F.lit(k).alias("k"), length.alias("len"), i.alias("part"), F.substring(term, start + 1, size).alias("text"))
 
-    return F.transform(F.array(*[F.lit(i) for i in range(k + 1)]), part)
+def _shorter(text: Column, length: int, by: int) -> Column:
+    """The distinct texts left when `by` characters of a text of that length are taken out."""
+    def without_one(texts, size):
+        return F.flatten(F.transform(texts, lambda t: _less(t, F.lit(size))))
+
+    out = F.array(text)
+    for gone in range(by):
+        out = without_one(out, length - gone)
+    return F.array_distinct(out)
+
+
+def _short_keys(text: Column, length: Column, token: bool) -> Column:
+    """Keys (n, m, side, text) of pairs of a token of length n and a term of length m up to SHORT_TERM.
+
+    Two texts within distance k have a common subsequence k shorter than the longer one; the keys are all of that length.
+    """
+    none = F.array().cast("array<struct<n:int,m:int,side:int,text:string>>")
 
+    def of_pair(n, m):
+        own, common = (n if token else m), max(n, m) - (1 if n <= 4 else 2)
+        keys = F.transform(_shorter(text, own, own - common), lambda t: F.struct(F.lit(n).alias("n"), F.lit(m).alias("m"), F.lit(0).alias("side"), t.alias("text")))
+        return F.when(length == own, keys).otherwise(none)
 
-def _probes(token: Column, length: Column, k: int) -> Column:
-    """Substrings of a token at which a part of a term within distance k can stand."""
-    lengths = F.sequence(F.greatest(F.lit(k + 1), length - k), length + k)
+    return F.flatten(F.array(*[of_pair(n, m) for n, m in SHORT_PAIRS]))
 
-    def of_length(n):
-        return F.flatten(F.transform(_segments(token, n, k), lambda s: F.transform(F.sequence(F.lit(-k), F.lit(k)), lambda d: F.struct(
-            s["k"].alias("k"), n.alias("len"), s["part"].alias("part"), F.substring(
-                token, F.greatest(F.lit(1), _start(n, s["part"], k) + d + 1), _size(n, s["part"], k)).alias("text")))))
 
-    return F.flatten(F.transform(lengths, of_length))
+def _half_keys(term: Column, length: Column) -> Column:
+    """Keys of a longer term: each half, whole and without one character."""
+    head = F.floor(length / 2).cast("int")
 
+    def side(number, part, size):
+        return F.transform(F.concat(F.array(part), _less(part, size)), lambda t: F.struct(F.lit(0).alias("n"), length.alias("m"), F.lit(number).alias("side"), t.alias("text")))
 
-def _start(length: Column, i: Column, k: int) -> Column:
-    base = F.floor(length / (k + 1)).cast("int")
-    return base * i + F.greatest(F.lit(0), i - ((k + 1) - (length - base * (k + 1))))
+    return F.array_distinct(F.concat(side(1, F.substring(term, F.lit(1), head), head), side(2, F.substring(term, head + 1, length), length - head)))
 
 
-def _size(length: Column, i: Column, k: int) -> Column:
-    base = F.floor(length / (k + 1)).cast("int")
-    return base + F.when(i >= (k + 1) - (length - base * (k + 1)), 1).otherwise(0)
+def _half_probes(token: Column, length: Column, allowed: Column) -> Column:
+    """Keys under which a longer term within the allowed distance stands: of its halves one is within distance 1 of a prefix or suffix."""
+    longer = F.sequence(F.greatest(length - allowed, F.lit(SHORT_TERM + 1)), F.greatest(length + allowed, F.lit(SHORT_TERM + 1)))
+
+    def of_length(m):
+        head = F.floor(m / 2).cast("int")
+
+        def side(number, half):
+            def piece(size):
+                return F.substring(token, F.lit(1), size) if number == 1 else F.substring(token, length - size + 1, size)
+
+            none = F.array().cast("array<string>")
+            kept = F.concat(
+                F.when(half - 1 <= length, F.array(piece(half - 1))).otherwise(none),
+                F.when(half <= length, _less(piece(half), half)).otherwise(none),
+                F.when(half + 1 <= length, _less(piece(half + 1), half + 1)).otherwise(none))
+            return F.transform(kept, lambda t: F.struct(F.lit(0).alias("n"), m.alias("m"), F.lit(number).alias("side"), t.alias("text")))
+
+        return F.concat(side(1, head), side(2, m - head))
+
+    return F.array_distinct(F.flatten(F.transform(F.filter(longer, lambda m: m <= length + allowed), of_length)))
 
 
 def fuzzy_terms(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
     """Pairs (compact, term, distance) of query tokens and vocabulary terms within the allowed distance.
 
-    A term within distance k of a token shares one of its k + 1 parts with it, moved by at most
-    k places; pairs are found by an equality join on these parts and then measured. A term
-    gives nine parts, however many tokens there are.
+    Pairs are found by equality joins and then measured. Terms of up to SHORT_TERM characters are indexed by what is left of them when characters are
+    deleted: a key of a term of m characters less d is shared by at most C(m, d) * a^d terms over an alphabet of a, however large the vocabulary.
+    Of a longer term, cut in halves, one half is within distance 1 of the token's beginning or end, so that
+    a key keeps all but one character of a half. A term gives about as many keys as it has characters, however many tokens there are.
     """
-    length = F.length("compact")
-    probes = tokens.select("compact").distinct().withColumn("l", length).filter(F.col("l") > FUZZY_LIMITS[0][0]).select(
-        "compact", allowed_distance(F.col("l")).alias("allowed"),
-        F.explode(F.array_distinct(F.when(F.col("l") <= 4, _probes(F.col("compact"), F.col("l"), 1))
-                                   .when(F.col("l") <= 8, _probes(F.col("compact"), F.col("l"), 2))
-                                   .otherwise(_probes(F.col("compact"), F.col("l"), 3)))).alias("p"))
+    length = F.col("l")
+    probes = tokens.select("compact").distinct().withColumn("l", F.length("compact")).filter(length > FUZZY_LIMITS[0][0]).withColumn("allowed", allowed_distance(length))
+    keyed = F.concat(_short_keys(F.col("compact"), length, True), F.when(length >= SHORT_TERM, _half_probes(F.col("compact"), length, F.col("allowed"))).otherwise(F.array().cast("array<struct<n:int,m:int,side:int,text:string>>")))
+    probes = probes.select("compact", "allowed", F.explode(keyed).alias("p")).select("compact", "allowed", "p.*")
     # Terms longer than any token can reach, such as whole texts, are left out before anything is shuffled.
-    longest = tokens.agg((F.max(length) + FUZZY_MAX).alias("n")).scalar()
-    vocabulary = vocabulary.filter(F.length("term") <= longest)
-    n = F.length("term")
-    parts = vocabulary.select("term").distinct().select("term", F.explode(F.flatten(F.array(*[
-        F.when(n > k, _segments(F.col("term"), n, k)).otherwise(F.array()) for k in (1, 2, 3)]))).alias("p"))
-    key = ["k", "len", "part", "text"]
-    pairs = parts.select("term", "p.*").join(probes.select("compact", "allowed", "p.*"), key)
+    longest = tokens.agg((F.max(F.length("compact")) + FUZZY_MAX).alias("n")).scalar()
+    terms = vocabulary.filter(F.length("term") <= longest).select("term").distinct().withColumn("l", F.length("term"))
+    keys = F.when(length <= SHORT_TERM, _short_keys(F.col("term"), length, False)).otherwise(_half_keys(F.col("term"), length))
+    parts = terms.select("term", F.explode(keys).alias("p")).select("term", "p.*")
+    pairs = parts.join(probes, ["n", "m", "side", "text"])
+    # Most pairs fail, so they are measured before the few that stay are made distinct.
     return (
         pairs.withColumn("distance", F.expr("levenshtein(term, compact, allowed)"))
         .filter(F.col("distance") >= 0).select("compact", "term", "distance").distinct()
@@ -149,17 +190,6 @@ def _longest_run(normalized: Column) -> Column:
     return F.try_element_at(F.array_sort(runs, lambda a, b: F.length(b) - F.length(a)), F.lit(1))
 
 
-def _anchors(plans: DataFrame, mode: str, measure: str) -> DataFrame:
-    """(query_id, normalized, compact, run) a query is looked up by, nulls if it includes nothing.
-
-    Under AND that is the token with the longest `measure`, under OR every token.
-    """
-    if mode not in ("AND", "OR"):
-        raise ValueError(f"unknown mode: {mode}")
-    longest = F.array_sort("include", lambda a, b: F.length(b[measure]) - F.length(a[measure]))
-    return plans.select("query_id", F.explode_outer(F.slice(longest, 1, 1) if mode == "AND" else F.col("include")).alias("a")).select("query_id", "a.*")
-
-
 def _contains(token: Column) -> Column:
     return F.contains(F.col("text"), token["normalized"]) | F.contains(F.col("compact_text"), token["compact"])
 
@@ -174,55 +204,115 @@ def _near(token: Column) -> Column:
     return (length > FUZZY_LIMITS[0][0]) & F.exists("terms", close)
 
 
-def _gram_candidates(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(entity_key, query_id) sharing a leading n-gram of the anchor; queries without anchor meet every document.
+def _own_grams(normalized: Column) -> Column:
+    """First and last gram, of the largest size that fits, of a token's longest run of letters and digits.
 
-    Whichever way an anchor occurs in a document, the letters and digits of its longest run stand
-    together in the compact text.
+    Whichever way a token occurs in a document, its runs stand unbroken in the compact text.
     """
+    run = _longest_run(normalized)
     size = F
     for n in sorted(GRAM_SIZES, reverse=True):
-        size = size.when(F.length("run") >= n, n)
-    wanted = anchors.select("query_id", "run", F.coalesce(size, F.lit(0)).alias("n")).select(
-        "query_id", "n", F.coalesce(F.substring("run", F.lit(1), F.col("n")), F.lit("")).alias("gram")).distinct()
+        size = size.when(F.length(run) >= n, n)
+    return F.array_distinct(F.array(F.substring(run, F.lit(1), size), F.substring(run, F.length(run) - size + 1, size)))
+
+
+def _bitmap(grams: DataFrame) -> Column:
+    """A constant array of longs, 128 KB whatever the input, with a bit for the hash of every gram."""
+    place = F.pmod(F.xxhash64("gram"), F.lit(BITMAP_BITS))
+    words = grams.select(F.floor(place / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    held = [0] * (BITMAP_BITS // 64)
+    for r in words.collect():
+        held[r["word"]] = r["bits"]
+    return F.from_json(F.lit(json.dumps(held)), "array<bigint>")
+
+
+def gram_index(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(gram, entity_key): a written inverted index of the documents' compact texts for the wanted grams.
+
+    A bitmap of fixed size drops other grams before any row is made of them; a fuller bitmap only drops fewer, the join is exact.
+    """
+    wanted = written(grams.select("gram").distinct())
     # The sizes in use, at most all of them: documents give no grams of other sizes.
-    sizes = [r["n"] for r in wanted.select("n").distinct().collect() if r["n"] > 0]
-    of_doc = F.array_distinct(F.concat(F.array(F.lit("")), *[F.regexp_extract_all("compact_text", F.lit(rf"(?=(\S{{{n}}}))")) for n in sizes]))
-    return docs.select("entity_key", F.explode(of_doc).alias("gram")).join(wanted.drop("n"), "gram").select("entity_key", "query_id").distinct()
+    sizes = [r["n"] for r in wanted.select(F.length("gram").alias("n")).distinct().collect()]
+    bits = _bitmap(wanted)
+
+    def held(gram):
+        place = F.pmod(F.xxhash64(gram), F.lit(BITMAP_BITS))
+        return F.call_function("shiftright", bits[F.floor(place / 64).cast("int")], (place % 64).cast("int")).bitwiseAND(1) == 1
 
+    of_doc = [F.filter(F.regexp_extract_all("compact_text", F.lit(rf"(?=(\S{{{n}}}))")), held) for n in sizes]
+    found = docs.select("entity_key", F.explode(F.array_distinct(F.flatten(F.array(*of_doc, F.array().cast("array<string>"))))).alias("gram"))
+    return written(found.join(wanted, "gram", "left_semi"))
 
-def _fuzzy_candidates(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    longest = anchors.agg((F.max(F.length("compact")) + FUZZY_MAX).alias("n")).scalar()
+
+def _rarest(lookups: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the lookups(keys, normalized, compact, grams) of each key the one with the fewest documents, with its gram."""
+    frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n_docs"))
+    each = lookups.withColumn("gram", F.explode("grams")).join(frequency, "gram", "left")
+    rank = F.struct(F.coalesce("n_docs", F.lit(0)), "gram", "normalized")
+    return each.groupBy(*keys).agg(F.min_by(F.struct("normalized", "compact", "gram"), rank).alias("best"))
+
+
+def _all_documents(docs: DataFrame, queries: DataFrame, spread: int = 64) -> DataFrame:
+    """(query_id, entity_key) of queries that every document meets; such pairs are the result itself, spread over `spread` keys."""
+    here = docs.select("entity_key", F.pmod(F.xxhash64("entity_key"), F.lit(spread)).alias("_salt"))
+    there = queries.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).alias("_salt"))
+    return here.join(there, "_salt").select("query_id", "entity_key")
+
+
+def _near_documents(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(compact, entity_key) of documents with a term near the token."""
+    longest = tokens.agg((F.max(F.length("compact")) + FUZZY_MAX).alias("n")).scalar()
     terms = docs.select("entity_key", F.explode("terms").alias("term")).filter(F.length("term") <= longest)
-    near = fuzzy_terms(terms, anchors.filter(F.col("compact").isNotNull())).select("compact", "term")
-    return terms.join(near, "term").join(anchors.select("compact", "query_id"), "compact").select("entity_key", "query_id")
+    return terms.join(fuzzy_terms(terms, tokens).select("compact", "term"), "term").select("compact", "entity_key").distinct()
 
 
-def match_queries(docs: DataFrame, tokens: DataFrame, queries: DataFrame, mode: str = "AND", fuzzy: bool = False,
-                  inline_anchors: int = 1024) -> DataFrame:
-    """(query_id, entity_key) of every match.
+def match_queries(docs: DataFrame, tokens: DataFrame, queries: DataFrame, mode: str = "AND", fuzzy: bool = False) -> DataFrame:
+    """(query_id, entity_key) of every match; `docs`, best given written (`write_search_docs`), is read twice.
 
     A token hits a document if the text contains its normalized or the compact text its compact form,
     or, if fuzzy, some term is near it. Any excluded token found (never fuzzily) rules the document out; a
-    query without included tokens matches all others. `inline_anchors` bounds how many anchors are
-    scanned for directly; beyond it candidates come from the n-gram join.
+    query without included tokens matches all others. Documents are looked up in a gram index: under AND a query by the rarest gram
+    of its longest tokens, then tested in full; under OR every distinct token by its rarer gram, whichever queries have it.
     """
-    plans = _query_plans(tokens, queries)
-    few = [] if fuzzy else _anchors(plans, mode, "compact").limit(inline_anchors + 1).collect()
-    if few and len(few) <= inline_anchors:
-        id_type = queries.schema["query_id"].dataType.simpleString()
-        table = constant_rows([r.asDict() for r in few], f"query_id {id_type}, normalized string, compact string")
-        hits = F.transform(F.filter(table, lambda a: a["compact"].isNull() | _contains(a)), lambda a: a["query_id"])
-        found = docs.withColumn("query_id", F.explode(F.array_distinct(hits)))
-    else:
-        anchors = _anchors(plans, mode, "run")
-        pairs = _gram_candidates(docs, anchors)
-        if fuzzy:
-            pairs = pairs.unionByName(_fuzzy_candidates(docs, anchors)).distinct()
-        found = docs.join(pairs, "entity_key")
+    if mode not in ("AND", "OR"):
+        raise ValueError(f"unknown mode: {mode}")
+    plans = written(_query_plans(tokens, queries))
+    return (_match_all if mode == "AND" else _match_any)(docs, plans, fuzzy)
+
+
+def _match_all(docs: DataFrame, plans: DataFrame, fuzzy: bool) -> DataFrame:
+    longest = F.slice(F.array_sort("include", lambda a, b: F.length(b["run"]) - F.length(a["run"])), 1, LOOKUPS)
+    lookups = plans.select("query_id", F.explode(longest).alias("t")).select("query_id", "t.normalized", "t.compact", _own_grams(F.col("t.normalized")).alias("grams"))
+    index = gram_index(docs, lookups.select(F.explode("grams").alias("gram")))
+    chosen = written(_rarest(lookups, index, ["query_id"]).select("query_id", "best.*"))
+    pairs = spread_join(index, chosen.select("query_id", "gram"), ["gram"]).select("query_id", "entity_key")
+    if fuzzy:
+        near = _near_documents(docs, chosen.select("compact")).join(chosen.select("query_id", "compact"), "compact").select("query_id", "entity_key")
+        pairs = pairs.unionByName(near).distinct()
+    pairs = pairs.unionByName(_all_documents(docs, plans.filter(F.size("include") == 0)))
 
     def hit(token):
         return (_contains(token) | _near(token)) if fuzzy else _contains(token)
 
-    wanted = F.forall("include", hit) if mode == "AND" else (F.size("include") == 0) | F.exists("include", hit)
-    return found.join(plans, "query_id").filter(wanted & ~F.exists("exclude", _contains)).select("query_id", "entity_key")
+    found = docs.join(pairs, "entity_key").join(plans, "query_id")
+    return found.filter(F.forall("include", hit) & ~F.exists("exclude", _contains)).select("query_id", "entity_key")
+
+
+def _match_any(docs: DataFrame, plans: DataFrame, fuzzy: bool) -> DataFrame:
+    sides = [plans.select("query_id", F.lit(out).alias("exclude"), F.explode(side).alias("t")) for out, side in ((False, "include"), (True, "exclude"))]
+    asked = written(sides[0].unionByName(sides[1]).select("query_id", "exclude", "t.normalized", "t.compact").distinct())
+    distinct = asked.select("normalized", "compact").distinct()
+    lookups = distinct.withColumn("grams", _own_grams(F.col("normalized")))
+    index = gram_index(docs, lookups.select(F.explode("grams").alias("gram")))
+    chosen = _rarest(lookups, index, ["normalized", "compact"]).select("normalized", "compact", "best.gram")
+    tested = spread_join(index, chosen, ["gram"]).join(docs.select("entity_key", "text", "compact_text"), "entity_key")
+    token = {"normalized": F.col("normalized"), "compact": F.col("compact")}
+    hits = written(tested.filter(_contains(token)).select("normalized", "compact", "entity_key"))
+    wanted = spread_join(hits, asked.filter("NOT exclude"), ["normalized", "compact"]).select("query_id", "entity_key")
+    if fuzzy:
+        near = _near_documents(docs, asked.filter("NOT exclude").select("compact"))
+        wanted = wanted.unionByName(near.join(asked.filter("NOT exclude"), "compact").select("query_id", "entity_key"))
+    wanted = wanted.distinct().unionByName(_all_documents(docs, plans.filter(F.size("include") == 0)))
+    out = spread_join(hits, asked.filter("exclude"), ["normalized", "compact"]).select("query_id", "entity_key").distinct()
+    return wanted.join(out, ["query_id", "entity_key"], "left_anti")

@@ -15,6 +15,10 @@ def docs(i):
     return search.build_search_docs(i.documents.select(F.col("doc_id").alias("entity_key"), F.array("text", "source").alias("values")))
 
 
+def written_docs(i):
+    return search.write_search_docs(i.documents.select(F.col("doc_id").alias("entity_key"), F.array("text", "source").alias("values")))
+
+
 # German sharp s folds to SS, as everywhere in the search.
 DOCS = """
 base AS (SELECT doc_id AS entity_key, upper(replace(text, 'ß', 'ss')) AS t, upper(source) AS s FROM documents),
@@ -67,7 +71,7 @@ need AS (SELECT query_id, count(*) FILTER (NOT exclude) AS n FROM tokens WHERE c
 
 def _match(i, **options):
     saved = saved_queries(i)
-    return search.match_queries(docs(i), search.parse_queries(saved), saved, **options)
+    return search.match_queries(written_docs(i), search.parse_queries(saved), saved, **options)
 
 
 @query("se3_match_queries", MATCH + "SELECT query_id, entity_key FROM per JOIN need USING (query_id) WHERE inc = n AND exc = 0")
@@ -77,8 +81,9 @@ def match_queries(i):
 
 @query("se3_match_queries_by_grams", MATCH + "SELECT query_id, entity_key FROM per JOIN need USING (query_id) WHERE inc = n AND exc = 0")
 def match_queries_by_grams(i):
-    """The same with candidates from the n-gram join, as for very many queries."""
-    return _match(i, inline_anchors=0)
+    """The same on documents that are folded as they are read, not written first."""
+    saved = saved_queries(i)
+    return search.match_queries(docs(i), search.parse_queries(saved), saved)
 
 
 @query("se3_match_queries_any", MATCH + "SELECT query_id, entity_key FROM per WHERE inc > 0 AND exc = 0")
@@ -98,7 +103,7 @@ near AS (SELECT compact, term, levenshtein(c1, t1) AS distance FROM needles1 JOI
 
 @query("se4_fuzzy_terms", FUZZY + "SELECT compact, term, distance FROM near")
 def fuzzy_terms(i):
-    terms = docs(i).select(F.explode("terms").alias("term"))
+    terms = written_docs(i).select(F.explode("terms").alias("term"))
     return search.fuzzy_terms(terms, search.parse_queries(saved_queries(i))).withColumn("distance", F.col("distance").cast("long"))
 
 

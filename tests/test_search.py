@@ -17,16 +17,15 @@ def matches(spark, docs, text, **options):
 
 def test_folding_phrases_exclusions_and_modes(spark):
     docs = docs_of(spark, [(1, ["キャット・Ｄ・フィル", "OP01-001"]), (2, ["クロネコ ヤマ", "OP01-002"]), (3, ["x"])])
-    for limit in (256, 0):
-        assert matches(spark, docs, "ふぃる", inline_anchors=limit) == {1}
-        assert matches(spark, docs, "キャットD", inline_anchors=limit) == {1}
-        assert matches(spark, docs, '"クロネコ　ヤマ" op01002', inline_anchors=limit) == {2}
-        assert matches(spark, docs, "ふぃる ヤマ", inline_anchors=limit) == set()
-        assert matches(spark, docs, "ふぃる ヤマ", mode="OR", inline_anchors=limit) == {1, 2}
-        assert matches(spark, docs, "op01 -ヤマ", inline_anchors=limit) == {1}
-        assert matches(spark, docs, "－ヤマ", inline_anchors=limit) == {1, 3}
-        assert matches(spark, docs, " ・ ", inline_anchors=limit) == {1, 2, 3}
-        assert matches(spark, docs, "x", inline_anchors=limit) == {3}
+    assert matches(spark, docs, "ふぃる") == {1}
+    assert matches(spark, docs, "キャットD") == {1}
+    assert matches(spark, docs, '"クロネコ　ヤマ" op01002') == {2}
+    assert matches(spark, docs, "ふぃる ヤマ") == set()
+    assert matches(spark, docs, "ふぃる ヤマ", mode="OR") == {1, 2}
+    assert matches(spark, docs, "op01 -ヤマ") == {1}
+    assert matches(spark, docs, "－ヤマ") == {1, 3}
+    assert matches(spark, docs, " ・ ") == {1, 2, 3}
+    assert matches(spark, docs, "x") == {3}
     assert matches(spark, docs, "キャッド") == set()
     assert matches(spark, docs, "キャッド", fuzzy=True) == {1}
     assert matches(spark, docs, "キャッド -フイル", fuzzy=True) == {1}  # exclusions are never fuzzy
