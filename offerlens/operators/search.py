@@ -57,9 +57,9 @@ def build_search_docs(values: DataFrame) -> DataFrame:
         F.array_distinct(F.filter(F.concat("c", words), lambda t: F.length(t) >= 2)).alias("terms"))
 
 
-def write_search_docs(values: DataFrame) -> DataFrame:
-    """The same, folded once in balanced tasks and written for the steps that read them several times."""
-    return written(build_search_docs(values.repartition("entity_key")))
+def balanced_search_docs(values: DataFrame, columns: tuple[str, ...] = ("text", "compact_text", "terms")) -> DataFrame:
+    """The same columns or some of them, folded in balanced tasks however the values were split."""
+    return build_search_docs(values.repartition("entity_key")).select("entity_key", *columns)
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def _near_documents(docs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def match_queries(docs: DataFrame, tokens: DataFrame, queries: DataFrame, mode: str = "AND", fuzzy: bool = False) -> DataFrame:
-    """(query_id, entity_key) of every match; `docs`, best given written (`write_search_docs`), is read twice.
+    """(query_id, entity_key) of every match; `docs` is read twice, so it is best given written.
 
     A token hits a document if the text contains its normalized or the compact text its compact form,
     or, if fuzzy, some term is near it. Any excluded token found (never fuzzily) rules the document out; a
@@ -282,8 +282,10 @@ def match_queries(docs: DataFrame, tokens: DataFrame, queries: DataFrame, mode:
 
 
 def _match_all(docs: DataFrame, plans: DataFrame, fuzzy: bool) -> DataFrame:
+    # The longest tokens; next to one with a long gram a token with a shorter gram is of no use.
     longest = F.slice(F.array_sort("include", lambda a, b: F.length(b["run"]) - F.length(a["run"])), 1, LOOKUPS)
-    lookups = plans.select("query_id", F.explode(longest).alias("t")).select("query_id", "t.normalized", "t.compact", _own_grams(F.col("t.normalized")).alias("grams"))
+    useful = F.filter(longest, lambda t: F.length(t["run"]) >= F.least(F.length(longest[0]["run"]), F.lit(max(GRAM_SIZES))))
+    lookups = plans.select("query_id", F.explode(useful).alias("t")).select("query_id", "t.normalized", "t.compact", _own_grams(F.col("t.normalized")).alias("grams"))
     index = gram_index(docs, lookups.select(F.explode("grams").alias("gram")))
     chosen = written(_rarest(lookups, index, ["query_id"]).select("query_id", "best.*"))
     pairs = spread_join(index, chosen.select("query_id", "gram"), ["gram"]).select("query_id", "entity_key")

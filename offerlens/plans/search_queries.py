@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from offerlens.functions.durable import written
 from offerlens.operators import listing_filters as lf
 from offerlens.operators import search, views
 from offerlens.operators.listing_filters import DetailFilter
@@ -15,8 +16,8 @@ def docs(i):
     return search.build_search_docs(i.documents.select(F.col("doc_id").alias("entity_key"), F.array("text", "source").alias("values")))
 
 
-def written_docs(i):
-    return search.write_search_docs(i.documents.select(F.col("doc_id").alias("entity_key"), F.array("text", "source").alias("values")))
+def balanced_docs(i, *columns):
+    return search.balanced_search_docs(i.documents.select(F.col("doc_id").alias("entity_key"), F.array("text", "source").alias("values")), columns)
 
 
 # German sharp s folds to SS, as everywhere in the search.
@@ -71,7 +72,8 @@ need AS (SELECT query_id, count(*) FILTER (NOT exclude) AS n FROM tokens WHERE c
 
 def _match(i, **options):
     saved = saved_queries(i)
-    return search.match_queries(written_docs(i), search.parse_queries(saved), saved, **options)
+    columns = ("text", "compact_text", "terms") if options.get("fuzzy") else ("text", "compact_text")
+    return search.match_queries(written(balanced_docs(i, *columns)), search.parse_queries(saved), saved, **options)
 
 
 @query("se3_match_queries", MATCH + "SELECT query_id, entity_key FROM per JOIN need USING (query_id) WHERE inc = n AND exc = 0")
@@ -103,7 +105,7 @@ near AS (SELECT compact, term, levenshtein(c1, t1) AS distance FROM needles1 JOI
 
 @query("se4_fuzzy_terms", FUZZY + "SELECT compact, term, distance FROM near")
 def fuzzy_terms(i):
-    terms = written_docs(i).select(F.explode("terms").alias("term"))
+    terms = balanced_docs(i, "terms").select(F.explode("terms").alias("term"))
     return search.fuzzy_terms(terms, search.parse_queries(saved_queries(i))).withColumn("distance", F.col("distance").cast("long"))
 
 
