@@ -7,11 +7,13 @@ entry, which tells none, exactly one or several apart.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions.columns import first_code, image_identity, nonblank, tag_signature, variant_type_of
-from offerlens.functions.durable import checkpointed
+from offerlens.functions.components import connected_components
+from offerlens.functions.durable import written
 from offerlens.functions.ordered import with_sum_before
 from offerlens.functions.unicode import nfkc
 from offerlens.operators.identity import IdentityRules, parse_identities
@@ -84,27 +86,62 @@ def image_identities(df: DataFrame, keep: list[str], columns: tuple[str, ...] =
     return df.select(*keep, F.explode(found).alias("identity"))
 
 
-def accept_first_images(rows: DataFrame) -> DataFrame:
+def accept_first_images(rows: DataFrame, rounds: int = 3) -> DataFrame:
     """(card_number, seq) of rows accepted when going through rows(card_number, seq, identity) by seq and skipping
     each row that shares an image with an accepted one.
 
-    Each round accepts the rows that come first for all their images and drops those sharing an image with
-    them, which gives the same rows as going one by one, in as many rounds as the longest chain of overlaps.
+    A round accepts the rows that come first for all their images and drops those sharing an image with
+    them, which gives the same rows as going one by one. Overlaps that hang together in chains longer than `rounds` are then cut into connected
+    components, found in rounds that grow with the logarithm of a chain, and each component is gone through in order.
     """
     row = ["card_number", "seq"]
-    rest = checkpointed(rows)
-    accepted = rest.select(*row).limit(0)
-    while not rest.isEmpty():
+    rest = written(rows.select(*row, "identity").distinct())
+    parts = []
+    for _ in range(rounds):
+        if rest.isEmpty():
+            break
         first = rest.groupBy("card_number", "identity").agg(F.min("seq").alias("first"))
         ranked = rest.join(first, ["card_number", "identity"])
-        won = checkpointed(ranked.groupBy(*row).agg(F.bool_and(F.col("seq") == F.col("first")).alias("won")).filter("won").select(*row))
+        won = written(ranked.groupBy(*row).agg(F.bool_and(F.col("seq") == F.col("first")).alias("won")).filter("won").select(*row))
         taken = rest.join(won, row, "left_semi").select("card_number", "identity").distinct()
         out = rest.join(taken, ["card_number", "identity"], "left_semi").select(*row).distinct()
-        rest = checkpointed(rest.join(out, row, "left_anti"))
-        accepted = accepted.unionByName(won)
+        rest = written(rest.join(out, row, "left_anti"))
+        parts.append(won)
+    if not rest.isEmpty():
+        parts.append(_accept_in_components(rest))
+    accepted = rest.select(*row).limit(0)
+    for part in parts:
+        accepted = accepted.unionByName(part)
     return accepted
 
 
+def _accept_in_components(rows: DataFrame) -> DataFrame:
+    """The same by going through the rows of each connected component in order; a task holds the taken images of one component."""
+    # A row of a number is linked to the first row that has the image: a star per image, whatever its size.
+    first = rows.groupBy("card_number", "identity").agg(F.min("seq").alias("first"))
+    named = rows.join(first, ["card_number", "identity"])
+    node = lambda c: F.struct("card_number", F.col(c).cast("long").alias("seq"))
+    components = connected_components(named.select(node("seq").alias("a"), node("first").alias("b")))
+    placed = rows.join(components.select("node.card_number", F.col("node.seq").cast(rows.schema["seq"].dataType).alias("seq"), F.col("component.seq").alias("component")), ["card_number", "seq"])
+    ordered = placed.groupBy("card_number", "component", "seq").agg(F.collect_set("identity").alias("identities"))
+    ordered = ordered.repartition("card_number", "component").sortWithinPartitions("card_number", "component", "seq")
+
+    def go_through(batches):
+        current, taken = None, set()
+        for batch in batches:
+            keep = []
+            for number, component, images in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if (number, component) != current:
+                    current, taken = (number, component), set()
+                free = taken.isdisjoint(images)
+                if free:
+                    taken.update(images)
+                keep.append(free)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["card_number", "seq"]).filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(go_through, rows.select("card_number", "seq").schema)
+
+
 def provisional_variants(official: DataFrame, provisional: DataFrame, hashes: DataFrame, rules: IdentityRules) -> DataFrame:
     """Catalog rows for provisional(card_number, seq, card_name, image_path, image_url, series_title, get_info), seq unique whole numbers.
 

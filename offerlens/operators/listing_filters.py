@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.functions.columns import bounded_code, nonblank
+from offerlens.functions.durable import written
 from offerlens.functions.unicode import nfkc
 
 # Labels and marks with which the attribute dimension spells its contents.
@@ -190,10 +191,44 @@ def sort_listing(df: DataFrame, mode: str) -> DataFrame:
 
 
 def page(df: DataFrame, mode: str, limit: int = 300) -> DataFrame:
-    """First `limit` rows of an order with position and the total number of rows.
+    """First `limit` rows of an order with position and the total number of rows."""
+    return Pages(df, mode, limit).first()
 
-    The top rows are picked per partition; only they are numbered in one task.
+
+class Pages:
+    """Pages of one order over rows that are computed once.
+
+    The rows are written, so a page and the total come from a table and the input is read a single time. A page starts behind the last row of the
+    one before (`page_key`): what earlier pages showed is filtered out before the top rows are picked, and nothing is sorted but a page.
     """
-    top = df.orderBy(*sort_order(mode)).limit(limit)
-    numbered = top.withColumn("position", F.row_number().over(Window.orderBy(*sort_order(mode))))
-    return numbered.withColumn("total", df.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+    def __init__(self, df: DataFrame, mode: str, limit: int = 300):
+        self.rows, self.mode, self.limit = written(df), mode, limit
+
+    def first(self) -> DataFrame:
+        return self._numbered(self.rows, 0)
+
+    def after(self, key: dict) -> DataFrame:
+        """The page behind a row given by `page_key`."""
+        column, ascending = SORTS.get(self.mode, SORTS["modelAsc"])
+        value, entity, at = F.lit(key["value"]), F.lit(key["entity_key"]), F.col(column)
+        # Nulls come first in an ascending order and last in a descending one, as Spark sorts them.
+        if key["value"] is None:
+            beyond = at.isNotNull() if ascending else F.lit(False)
+            same = at.isNull()
+        else:
+            beyond = at > value if ascending else (at < value) | at.isNull()
+            same = at == value
+        return self._numbered(self.rows.filter(beyond | (same & (F.col("entity_key") > entity))), key["position"])
+
+    def page_key(self, shown: DataFrame) -> dict | None:
+        """Where a shown page ends: its last row's sort value, key and position; None if it is empty."""
+        column, _ = SORTS.get(self.mode, SORTS["modelAsc"])
+        last = shown.select(F.col(column).alias("value"), "entity_key", "position").orderBy(F.desc("position")).first()
+        return None if last is None else last.asDict()
+
+    def _numbered(self, rows: DataFrame, shown: int) -> DataFrame:
+        # The top rows are picked per partition; only they are numbered in one task.
+        top = rows.orderBy(*sort_order(self.mode)).limit(self.limit)
+        numbered = top.withColumn("position", F.row_number().over(Window.orderBy(*sort_order(self.mode))) + shown)
+        return numbered.withColumn("total", self.rows.agg(F.count(F.lit(1)).alias("n")).scalar())

@@ -49,22 +49,53 @@ def valuation(holdings: DataFrame, view_rows: DataFrame) -> DataFrame:
     )
 
 
-def valuation_series(holdings: DataFrame, view_history: DataFrame) -> DataFrame:
-    """Value of every owner's holdings at each date on which any item changed.
+def _value_moves(holdings: DataFrame, view_history: DataFrame) -> DataFrame:
+    """(owner_id, date, move): by how much each owner's value changes on a date on which a price of theirs does.
 
-    As-of prices are replaced by price steps: a step of an item moves the owner's value by
-    qty * step from its date on, so one sum per (owner, date) and a running sum over at most
-    one row per calendar day give the whole series.
+    As-of prices are replaced by price steps: a step of an item moves the owner's value by qty * step from its date on.
     """
     steps = view_history.withColumn(
         "step", F.col("price") - F.coalesce(F.lag("price").over(Window.partitionBy("entity_key").orderBy("date")), F.lit(0)))
-    moves = spread_join(holdings.filter(F.col("qty") > 0), steps.select("entity_key", "date", "step"), ["entity_key"]).groupBy(
+    return spread_join(holdings.filter(F.col("qty") > 0), steps.select("entity_key", "date", "step"), ["entity_key"]).groupBy(
         "owner_id", "date").agg(F.sum(F.col("qty") * F.col("step")).alias("move"))
+
+
+def valuation_intervals(holdings: DataFrame, view_history: DataFrame) -> DataFrame:
+    """(owner_id, from_date, to_date, value): the value of an owner's holdings from a date until just before another (null: until now).
+
+    One row only where the value changes, so there are at most as many as price steps of owned items; before the first one the value is 0.
+    """
+    by_date = Window.partitionBy("owner_id").orderBy("date")
+    moves = _value_moves(holdings, view_history).filter("move <> 0")
+    return moves.select(
+        "owner_id", F.col("date").alias("from_date"), F.lead("date").over(by_date).alias("to_date"),
+        F.sum("move").over(by_date.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("value"))
+
+
+def valuation_on(intervals: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(owner_id, date, ...) with `value` as of the date.
+
+    Asked dates take part as rows among the owner's interval starts, in one pass over each owner in order of date.
+    """
+    extra = [c for c in asked.columns if c not in ("owner_id", "date")]
+    starts = intervals.select("owner_id", F.col("from_date").alias("date"), F.struct("value").alias("known"), F.lit(None).cast(asked.select(F.struct("date", *extra)).schema[0].dataType).alias("asks"))
+    asks = asked.select("owner_id", "date", F.lit(None).cast("struct<value:bigint>").alias("known"), F.struct("date", *extra).alias("asks"))
+    upto = Window.partitionBy("owner_id").orderBy("date", F.col("asks").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = starts.unionByName(asks).withColumn("value", F.coalesce(F.last("known", ignorenulls=True).over(upto)["value"], F.lit(0)).cast("long"))
+    return both.filter(F.col("asks").isNotNull()).select("owner_id", "date", *[F.col("asks")[c].alias(c) for c in extra], "value")
+
+
+def valuation_series(holdings: DataFrame, view_history: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """Value of every owner's holdings at each date on which any item changed, as a chart draws it; of the given owners(owner_id) only, if given.
+
+    The frame is owners times dates; `valuation_intervals` holds the same values in as many rows as there are changes.
+    """
+    held = holdings if owners is None else holdings.join(owners.select("owner_id").distinct(), "owner_id", "left_semi")
     # All dates of all items, in one value: as many elements as the calendar has days.
     calendar = view_history.select("date").distinct().agg(F.collect_set("date").alias("dates")).scalar()
-    frame = holdings.select("owner_id").distinct().withColumn("date", F.explode(calendar))
+    frame = held.select("owner_id").distinct().withColumn("date", F.explode(calendar))
     so_far = Window.partitionBy("owner_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return frame.join(moves, ["owner_id", "date"], "left").select(
+    return frame.join(_value_moves(held, view_history), ["owner_id", "date"], "left").select(
         "owner_id", "date", F.sum(F.coalesce("move", F.lit(0))).over(so_far).cast("long").alias("value"))
 
 
