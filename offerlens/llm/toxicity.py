@@ -6,6 +6,7 @@ Spark counts the slots over all labelled texts, however many there are. A ratio
 errors, which takes out the slots whose ratio may be chance, the great majority. The linear weights (logistic loss, both labels weigh alike)
 are fitted by L-BFGS in one task on at most `most_labelled` labelled texts, half of each label, those with the smallest hash of the
 id; this is the only sample. The fitted table of 2^20 weights (4 MB, whatever the tables hold) goes to every task for scoring.
+Texts travel to their labels only where a bitmap of fixed size says that they may have one; the join then decides.
 
 Defined results. A null text is the empty text; it has the score of the constant term. Without labelled texts of both labels every score is the share of
 label 1 among them, 0.5 without any. Texts of any length are read whole, in blocks of characters. Repeated rows score alike. A null label or id is no label, and a row labelled in both ways counts for
@@ -29,6 +30,9 @@ SLOTS = 1 << BITS
 SIZES = (3, 4, 5, 6, 7)
 BLOCK = 1 << 15
 ROWS = 256
+PIECE = 1 << 10
+ID_BITS = 1 << 26
+ENTRIES = 1 << 20
 
 
 def slots(text: str | None, wanted: np.ndarray | None = None) -> np.ndarray:
@@ -113,17 +117,30 @@ def fit(texts: list[np.ndarray], label: np.ndarray, ratio: np.ndarray, penalty:
     if not len(label) or label.min() == label.max():
         share = float(label.mean()) if len(label) else 0.5
         return Model(np.zeros(SLOTS, np.float32), float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))))
-    used, place = np.unique(np.concatenate(texts), return_inverse=True)
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    value = ratio[used][place]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    flat = np.concatenate(texts).astype(np.int32)
+    used = np.flatnonzero(np.bincount(flat, minlength=SLOTS))
+    index = np.zeros(SLOTS, np.int32)
+    index[used] = np.arange(len(used), dtype=np.int32)
+    place, scale = index[flat], ratio[used]
+    ends = np.cumsum(sizes)
     heft = np.where(label == 1, 0.5 / (label == 1).sum(), 0.5 / (label == 0).sum())
+    # Rows in blocks of about ENTRIES features, so that a step needs little memory beside the features themselves.
+    edges = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + ENTRIES, ENTRIES), side="left").clip(0, len(texts)))
+    blocks = [(int(i), int(j), int(ends[i] - sizes[i]), int(ends[j - 1])) for i, j in zip(edges, [*edges[1:], len(texts)], strict=True) if j > i]
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         w = x[:-1]
-        z = np.bincount(row, value * w[place], len(texts)) + x[-1]
-        g = heft * (1 / (1 + np.exp(-np.clip(z, -700, 700))) - label)
-        total = float((heft * np.logaddexp(0, np.where(label == 1, -z, z))).sum() + penalty / 2 * (w @ w))
-        return total, np.append(np.bincount(place, value * g[row], len(used)) + penalty * w, g.sum())
+        total, gradient, constant = penalty / 2 * float(w @ w), penalty * w, 0.0
+        scaled = scale * w
+        for i, j, first, end in blocks:
+            part, row = place[first:end], np.repeat(np.arange(j - i), sizes[i:j])
+            z = np.bincount(row, scaled[part], j - i) + x[-1]
+            g = heft[i:j] * (1 / (1 + np.exp(-np.clip(z, -700, 700))) - label[i:j])
+            total += float((heft[i:j] * np.logaddexp(0, np.where(label[i:j] == 1, -z, z))).sum())
+            gradient = gradient + scale * np.bincount(part, g[row], len(used))
+            constant += float(g.sum())
+        return total, np.append(gradient, constant)
 
     solved = minimise(loss, np.zeros(len(used) + 1))
     weight = np.zeros(SLOTS, np.float32)
@@ -131,30 +148,57 @@ def fit(texts: list[np.ndarray], label: np.ndarray, ratio: np.ndarray, penalty:
     return Model(weight, float(solved[-1]))
 
 
-def _labelled(documents: DataFrame, labels: DataFrame, usable: Column | None, row_id: str, text: str, label: str) -> DataFrame:
-    known = labels.select(F.col(row_id).alias("row_id"), F.col(label).cast("int").alias("label")).filter("row_id IS NOT NULL AND label IN (0, 1)").distinct()
-    if usable is not None:
-        known = known.filter(usable)
-    return documents.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).join(known, "row_id").select("row_id", "label", "text")
+def _likely(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts(row_id, text) whose id may be among ids(row_id): all that are, and few others while the bitmap of 8 MB is not full."""
+    place = F.pmod(F.xxhash64(F.col("row_id").cast("string")), F.lit(ID_BITS))
+    # At most 2^20 rows of two numbers, whatever the tables hold.
+    words = ids.select(F.floor(place / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    held = np.zeros(ID_BITS // 64, np.uint64)
+    held[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            there = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["row_id", "text"]).filter(pa.array(there.astype(np.bool_)))
+
+    return texts.filter("row_id IS NOT NULL").withColumn("place", place).mapInArrow(run, texts.schema)
 
 
 def slot_counts(labelled: DataFrame) -> DataFrame:
-    """(slot, ones, noughts): labelled texts of each label that hold the slot; slot -1 counts the texts themselves."""
+    """(slot, ones, noughts): labelled texts of each label that hold the slot; slot -1 counts the texts themselves.
+
+    A task counts in two arrays of 2^20 and gives them in pieces; the pieces of a place are added up by the task that gets it.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, SLOTS + 1), np.int32)
+        held = np.zeros((2, SLOTS + PIECE), np.uint32)
         for batch in batches:
             for kind, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts = held[kind]
+                counts = held[1 - kind]
                 counts[slots(text.as_py())] += 1
                 counts[SLOTS] += 1
-        used = np.flatnonzero(held.any(axis=0))
-        for first in range(0, len(used), 1 << 16):
-            part = used[first : first + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(part == SLOTS, -1, part), pa.int32()), *(pa.array(held[k][part], pa.int64()) for k in (1, 0))], names=["slot", "ones", "noughts"])
+        for piece in range(SLOTS // PIECE + 1):
+            part = held[:, piece * PIECE : (piece + 1) * PIECE]
+            if part.any():
+                width = np.uint8 if part.max() < 256 else np.uint16 if part.max() < 65536 else np.uint32
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([part.astype(width).tobytes()], pa.binary())], names=["piece", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                width = {2 * PIECE: np.uint8, 4 * PIECE: np.uint16, 8 * PIECE: np.uint32}[len(packed)]
+                total.setdefault(piece, np.zeros((2, PIECE), np.int64))[:] += np.frombuffer(packed, width).reshape(2, PIECE)
+        for piece, counts in total.items():
+            used = np.flatnonzero(counts.any(axis=0))
+            slot = np.where(piece * PIECE + used == SLOTS, -1, piece * PIECE + used)
+            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(counts[0][used]), pa.array(counts[1][used])], names=["slot", "ones", "noughts"])
 
-    counted = labelled.select("label", "text").mapInArrow(count, "slot int, ones long, noughts long")
-    return counted.groupBy("slot").agg(F.sum("ones").alias("ones"), F.sum("noughts").alias("noughts"))
+    counted = labelled.select("label", "text").mapInArrow(count, "piece int, counts binary")
+    return counted.repartition("piece").mapInArrow(add, "slot int, ones long, noughts long")
 
 
 def train(
@@ -162,7 +206,10 @@ def train(
     most_labelled: int = 8_192, errors: float = 2.0, penalty: float = 1e-4,
 ) -> Model:
     """Model from the labelled rows for which `usable`, a condition on `row_id`, holds: ratios from all, weights from at most `most_labelled`."""
-    labelled = _labelled(documents, labels, usable, row_id, text, label)
+    texts = documents.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
+    known = labels.select(F.col(row_id).cast(texts.schema["row_id"].dataType).alias("row_id"), F.col(label).cast("int").alias("label")).filter("row_id IS NOT NULL AND label IN (0, 1)").distinct()
+    known = known if usable is None else known.filter(usable)
+    labelled = _likely(texts, known).join(known, "row_id").select("row_id", "label", "text")
     # At most 2^20 + 1 rows of three numbers, whatever the tables hold.
     counted = slot_counts(labelled).toArrow()
     slot, ones, noughts = (counted.column(n).to_numpy() for n in ("slot", "ones", "noughts"))
@@ -174,10 +221,9 @@ def train(
         total = texts_1 + texts_0
         return fit([], np.repeat([1, 0], [texts_1 > 0, texts_0 > 0]) if total else np.zeros(0), ratio, penalty)
     shared = documents.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
-    ids = labels.select(F.col(row_id).alias("row_id"), F.col(label).cast("int").alias("label")).filter("row_id IS NOT NULL").distinct()
-    ids = ids if usable is None else ids.filter(usable)
-    halves = [ids.filter(F.col("label") == k).orderBy(F.xxhash64("row_id"), "row_id").limit(most_labelled // 2) for k in (0, 1)]
-    sample = documents.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).join(halves[0].unionAll(halves[1]), "row_id").select("row_id", "label", "text")
+    halves = [known.filter(F.col("label") == k).orderBy(F.xxhash64("row_id"), "row_id").limit(most_labelled // 2) for k in (0, 1)]
+    chosen = halves[0].unionAll(halves[1])
+    sample = _likely(texts, chosen).join(chosen, "row_id").select("row_id", "label", "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value != 0
@@ -188,7 +234,8 @@ def train(
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], names=["row_id", "label", "slots"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted({(row["row_id"], row["label"], row["slots"]) for batch in batches for row in batch.to_pylist()}, key=repr)
+        rows = {row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+        found = sorted(rows, key=lambda r: (str(r[0]), r[1], r[2]))
         model = fit([np.frombuffer(f[2], np.int32) for f in found], np.array([f[1] for f in found]), shared.value.astype(np.float64), penalty)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.weight, model.constant))], pa.binary())], names=["model"])
 
