@@ -25,7 +25,7 @@ from offerlens.functions.durable import shared_folder
 from offerlens.functions.skew import spread_join
 
 LEAST_VARIANCE = 1e-12
-LIMB = 32
+LIMB = 21
 ROWS = 2_048
 LONG_MAX = (1 << 63) - 1
 
@@ -45,14 +45,34 @@ def grouped(df: DataFrame, x: str, multiplicity: bool) -> DataFrame:
     return out if multiplicity else out.withColumn("weight", F.lit(1).cast("long"))
 
 
+def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    column = batch.column(batch.schema.get_field_index(name))
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
 def exact_sums(distinct: DataFrame, dimensions: int) -> tuple[int, list[int]]:
-    """Sum of weights and weighted sum of x per dimension, as Python integers: one row of 2 * dimensions + 1 numbers."""
-    high = [F.sum(F.shiftright(F.col("x")[i], LIMB).cast("decimal(20,0)") * F.col("weight")).alias(f"h{i}") for i in range(dimensions)]
-    low = [F.sum(F.col("x")[i].bitwiseAND((1 << LIMB) - 1).cast("decimal(20,0)") * F.col("weight")).alias(f"l{i}") for i in range(dimensions)]
-    row = distinct.agg(F.sum("weight").alias("n"), *high, *low).first()
-    if row is None or row["n"] is None:
-        return 0, [0] * dimensions
-    return int(row["n"]), [(int(row[f"h{i}"]) << LIMB) + int(row[f"l{i}"]) for i in range(dimensions)]
+    """Sum of weights and weighted sum of x per dimension, as Python integers.
+
+    An entry is cut into three limbs of LIMB bits, whose weighted sums fit a long for 2^40 rows a task; Spark adds the tasks' sums as decimals.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, low = np.zeros((3, dimensions), np.int64), 0, (1 << LIMB) - 1
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                x, weight = _matrix(part, "x"), part.column(part.schema.get_field_index("weight")).to_numpy()
+                n += int(weight.sum())
+                for limb, values in enumerate((x >> 2 * LIMB, (x >> LIMB) & low, x & low)):
+                    total[limb] += weight @ values
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([*range(dimensions), -1], pa.int32()), *(pa.array([*total[k].tolist(), n if k == 2 else 0], pa.int64()) for k in range(3))], names=["i", "high", "middle", "low"])
+
+    parts = distinct.select("x", "weight").mapInArrow(run, "i int, high long, middle long, low long")
+    # One row per dimension.
+    rows = parts.groupBy("i").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("high", "middle", "low")]).collect()
+    whole = {r["i"]: (int(r["high"]) << 2 * LIMB) + (int(r["middle"]) << LIMB) + int(r["low"]) for r in rows}
+    return whole.get(-1, 0), [whole.get(i, 0) for i in range(dimensions)]
 
 
 def centred(x: np.ndarray, n: int, sums: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,11 +86,6 @@ def centred(x: np.ndarray, n: int, sums: list[int]) -> tuple[np.ndarray, np.ndar
     return (scaled / n).astype(np.float64), (scaled * scaled).sum(axis=1)
 
 
-def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    column = batch.column(batch.schema.get_field_index(name))
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-
-
 def weighted_products(df: DataFrame, dimensions: int, weight: str, values: str, centre: tuple[int, list[int]] | None = None) -> np.ndarray:
     """Sum over rows of weight * v v' for v = values (less the centre): partial products per task, added up by Spark."""
 
