@@ -28,9 +28,9 @@ SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
 
 
 def _key(line: Column) -> Column:
-    """128 bits of a line without white space at its ends."""
+    """128 bits of a line without white space at its ends; the second half starts from another seed, so it does not follow from the first."""
     bare = F.btrim(line, F.lit(EDGES))
-    return F.struct(F.xxhash64(bare).alias("k1"), F.xxhash64(bare, F.lit(1)).alias("k2"))
+    return F.struct(F.xxhash64(bare).alias("k1"), F.xxhash64(F.lit(1), bare).alias("k2"))
 
 
 def _judged(line: Column, max_words: int | None) -> Column:
@@ -64,7 +64,7 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
 
 
 def remove_boilerplate(
-    documents: DataFrame, row_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 8, max_words: int | None = 20, counts: bool = True,
+    documents: DataFrame, row_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 8, max_words: int | None = None, counts: bool = True,
 ) -> DataFrame:
     """The documents without boilerplate lines; with `counts` also n_lines and n_removed (long, 0 for a null text)."""
     lines = checkpointed(judged_lines(documents, row_id, text, site, max_words))

@@ -134,7 +134,7 @@ ORACLES["op10_line_spread"] = r"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
 ), keyed AS (
-  SELECT *, trim(line, E' \t\r\x0b\x0c') AS k, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) BETWEEN 1 AND 20 AS judged FROM lines
+  SELECT *, trim(line, E' \t\r\x0b\x0c') AS k, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 1 AS judged FROM lines
 ), spread AS (
   SELECT k, min(doc_id) AS first_id FROM keyed WHERE judged GROUP BY k HAVING count(DISTINCT source) >= 8
 ), marked AS (

@@ -253,3 +253,12 @@ def test_pipeline_odd_input(spark, tmp_path):
             docs = spark.read.parquet(str(tmp_path / f"{kind}{number}"))
             assert number == 4 or docs.columns == documents.columns
         assert docs.filter("NOT exact").count() == 0 and (docs.count() > 0) == (kind == "odd")
+
+
+def test_lines_of_any_length_are_judged(spark):
+    long_line = " ".join(f"term{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, f"own text {k}\n{long_line}", f"site{k % 9}") for k in range(18)], "doc_id long, text string, source string")
+    out = {r["doc_id"]: r["text"] for r in line_spread.remove_boilerplate(docs).collect()}
+    assert out[0].endswith(long_line) and all(out[k] == f"own text {k}" for k in range(1, 18))
+    bounded = line_spread.remove_boilerplate(docs, max_words=20).collect()
+    assert all(long_line in r["text"] for r in bounded)
