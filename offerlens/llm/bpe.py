@@ -144,15 +144,19 @@ class Codec:
 
 
 class Decoder:
-    """The tokens of one rank file; needs no model, so a decoding worker stays small."""
+    """The tokens of one rank file, written in byte characters, and the reversed byte table."""
 
     def __init__(self, content: bytes):
-        self.by_rank = tokens_by_rank(parse_ranks(content))
+        characters = byte_characters()
+        self.by_rank = ["".join(characters[b] for b in token) for token in tokens_by_rank(parse_ranks(content))]
+        self.bytes = {ord(c): b for b, c in enumerate(characters)}
 
     def decode(self, ids: np.ndarray) -> bytes:
+        """Bytes of the ids, whether or not they start and end between characters of the text."""
         if len(ids) and int(ids.max()) >= len(self.by_rank):
             raise ValueError(f"id {int(ids.max())} is not in the vocabulary of {len(self.by_rank)}")
-        return b"".join(map(self.by_rank.__getitem__, ids.tolist()))
+        # Each byte character becomes the Latin-1 character of its byte.
+        return "".join(map(self.by_rank.__getitem__, ids.tolist())).translate(self.bytes).encode("latin-1")
 
 
 @lru_cache(maxsize=2)
@@ -188,19 +192,23 @@ def _replaced(df: DataFrame, fields: list[StructField]) -> tuple[list[str], Stru
     return [f.name for f in kept], StructType([*kept, *fields])
 
 
-def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
+def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
     """Adds `n_tokens` (long) and `ids` (binary: the token ids as little-endian unsigned 32-bit integers).
 
-    With `offsets` also `token_starts` and `token_ends`, the characters each token covers.
+    With `offsets` also `token_starts` and `token_ends`, the characters each token covers; with `decoded` also `decoded`, the bytes
+    that the ids give again (as `decode` would, but in the same worker and pass).
     """
     fields = [StructField("n_tokens", LongType()), StructField("ids", BinaryType())]
     if offsets:
         fields += [StructField(n, ArrayType(IntegerType())) for n in ("token_starts", "token_ends")]
+    if decoded:
+        fields.append(StructField("decoded", BinaryType()))
     kept, schema = _replaced(df, fields)
     written = patterns(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(ranks, *written)
+        back = decoder(ranks) if decoded else None
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             sizes = np.array([len(s) if s is not None else 0 for s in column.cast(pa.binary()).to_pylist()], np.int64)
@@ -212,6 +220,8 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", offset
                 if offsets:
                     spans = [coder.offsets(t, np.frombuffer(x, "<u4")) for t, x in zip(texts, ids, strict=True)]
                     out += [pa.array([s[k] for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
+                if decoded:
+                    out.append(pa.array([back.decode(np.frombuffer(x, "<u4")) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return df.mapInArrow(run, schema)

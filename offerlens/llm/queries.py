@@ -72,9 +72,9 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and their decoded bytes, as digests."""
     ranks = bpe.read_ranks(public_tokenizers.path(RANK_FILE))
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(documents, ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids")
-    decoded = bpe.decode(encoded, ranks)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(documents, ranks, public_tokenizers.PATTERN, offsets=True, decoded=True)
+    spans = F.concat_ws(",", F.col("token_starts").cast("array<string>"), F.col("token_ends").cast("array<string>"))
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2(spans, 256).alias("offsets_sha256"))
 
 
 @query
