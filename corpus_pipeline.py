@@ -39,9 +39,8 @@ def balanced_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as token ids: doc_id, source, n_tokens, ids, and whether the ids decode to the text."""
     ranks = bpe.read_ranks(public_tokenizers.path(queries.RANK_FILE))
-    encoded = bpe.encode(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, ranks)
-    return decoded.selectExpr("doc_id", "source", "n_tokens", "ids", "decoded = cast(coalesce(text, '') as binary) AS exact")
+    encoded = bpe.encode(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN, decoded=True)
+    return encoded.selectExpr("doc_id", "source", "n_tokens", "ids", "decoded = cast(coalesce(text, '') as binary) AS exact")
 
 
 STAGES = [
