@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions.columns import last_code, nonblank
-from offerlens.functions.durable import checkpointed
+from offerlens.functions.durable import checkpointed, written
 from offerlens.functions.ordered import with_max_before, with_place
 from offerlens.functions.unicode import nfkc
 from offerlens.operators import merge
@@ -51,7 +51,8 @@ def review_violations(candidates: DataFrame, reviewed: DataFrame, groups: DataFr
         raise ValueError("records and signatures go together")
     judged = candidates
     if records is not None:
-        judged = whole_block_candidates(candidates.join(reviewed.select("candidate_id"), "candidate_id", "left_semi"), records, signatures, **(risk or {}))
+        asked = candidates.join(reviewed.select("candidate_id"), "candidate_id", "left_semi")
+        judged = whole_block_candidates(asked, records, signatures, at_least=limits.get("min_image", GATE_LIMITS["min_image"]), **(risk or {}))
     gated = safety_gate(judged, **limits)
     chosen = gated.join(reviewed.select("candidate_id"), "candidate_id", "left_semi")
     missing = reviewed.join(candidates.select("candidate_id"), "candidate_id", "left_anti")
@@ -65,12 +66,20 @@ def review_violations(candidates: DataFrame, reviewed: DataFrame, groups: DataFr
 
 
 def alias_groups_from(candidates: DataFrame, reviewed: DataFrame, groups: DataFrame, members: DataFrame, batch: str,
-                      records: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                      records: DataFrame | None = None, signatures: DataFrame | None = None, risk: dict | None = None, **limits) -> tuple[DataFrame, DataFrame]:
     """Groups and members after a review batch: its earlier groups are replaced, those of other batches stay.
 
     reviewed(candidate_id, position). Check `review_violations` first. With `records`, the candidate records, a group holds every
-    record of its block, so `review_violations` needs the records too; without, those of the review list. Positions count from 0, highest price first.
+    record of its block, without, those of the review list. With `signatures` too, the gate judges all records of the
+    reviewed blocks, and unsafe ones make no group. Positions count from 0, highest price first.
     """
+    if signatures is not None:
+        if records is None:
+            raise ValueError("the gate over whole blocks needs the records")
+        asked = candidates.join(reviewed.select("candidate_id"), "candidate_id", "left_semi")
+        judged = whole_block_candidates(asked, records, signatures, at_least=limits.get("min_image", GATE_LIMITS["min_image"]), **(risk or {}))
+        safe = written(safety_gate(judged, **limits).filter("safe").select("candidate_id"))
+        reviewed = reviewed.join(safe, "candidate_id", "left_semi")
     kept = groups.filter(~F.col("batch").eqNullSafe(batch))
     kept_members = members.join(kept.select("canonical_id"), "canonical_id", "left_semi")
     chosen = candidates.join(reviewed.select("candidate_id", "position"), "candidate_id")

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.functions.columns import nonblank, round_half_up
-from offerlens.functions.durable import checkpointed
+from offerlens.functions.durable import checkpointed, written
+from offerlens.functions.skew import spread_join
 from offerlens.functions.unicode import nfkc
 from offerlens.operators import history as hist
 from offerlens.operators.identity import IdentityRules, resolve_identity
@@ -228,13 +229,81 @@ def order_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.orderBy(risk, F.col("max_price").desc(), F.col("score").desc(), "candidate_id")
 
 
-def whole_block_candidates(candidates: DataFrame, records: DataFrame, signatures: DataFrame, condition_tags: tuple[str, ...] = CONDITION_TAGS, **prices) -> DataFrame:
-    """The candidates with shops, prices, duplicates, conditions, images, warnings and risk level of all records of their blocks,
-    instead of those of the review list. `block_shops` holds the number of shops with an id.
+def tile_pairs(values: DataFrame, keys: list[str], value: str, per_tile: int) -> DataFrame:
+    """(keys..., same, left_values, right_values): every two distinct values of a group meet in exactly one row, or twice where `same`.
 
-    Images are compared exactly, so the distinct signatures of a block meet each other.
+    A group's values are dealt by hash into tiles of about `per_tile`; each two tiles meet under a key of their own, so the pairs
+    of a large group spread over all tasks and no row holds more than two tiles.
     """
-    held = records.join(candidates.select(*BLOCK).distinct(), BLOCK, "left_semi")
+    tiles_of = values.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per_tile).cast("int").alias("_tiles"))
+    dealt = spread_join(values, tiles_of, keys).withColumn("_tile", F.pmod(F.xxhash64(value), F.col("_tiles")).cast("int"))
+    tiles = written(dealt.groupBy(*keys, "_tiles", "_tile").agg(F.collect_list(value).alias("held")))
+    left = tiles.select(*keys, F.col("_tile").alias("_low"), F.explode(F.sequence(F.col("_tile"), F.col("_tiles") - 1)).alias("_high"), F.col("held").alias("left_values"))
+    right = tiles.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_tile"))).alias("_low"), F.col("_tile").alias("_high"), F.col("held").alias("right_values"))
+    return left.join(right, [*keys, "_low", "_high"]).select(*keys, (F.col("_low") == F.col("_high")).alias("same"), "left_values", "right_values")
+
+
+def _extremes(left: Column, right: Column, measure) -> tuple[Column, Column]:
+    """Lowest and highest measure(x, y) over two arrays, nulls left out."""
+    each = F.transform(left, lambda x: F.transform(right, lambda y: measure(x, y)))
+    return F.array_min(F.transform(each, F.array_min)), F.array_max(F.transform(each, F.array_max))
+
+
+def block_name_score(records: DataFrame, per_tile: int = 128) -> DataFrame:
+    """(block, block_name_score): the least Jaccard similarity of two records' name chunks, 1 for a block of one record.
+
+    Records with the same chunks count once. Every set of a block holds the chunks common to all and lies within their union, so no pair is below
+    common / union: where that is 1, or a set is empty, nothing needs comparing; all other blocks go to tiles.
+    """
+    sets = written(records.select(*BLOCK, F.array_sort(name_chunks(F.col("name"))).alias("chunks")).groupBy(*BLOCK, "chunks").agg(F.count(F.lit(1)).alias("n")))
+    sizes = sets.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("records"), F.min(F.size("chunks")).alias("least"))
+    decided = sizes.filter("sets = 1 OR least = 0").select(*BLOCK, F.when((F.col("least") == 0) & (F.col("records") > 1), 0.0).otherwise(1.0).alias("block_name_score"))
+    open_sets = spread_join(sets, sizes.filter("sets > 1 AND least > 0").select(*BLOCK), BLOCK).select(*BLOCK, "chunks")
+    pairs = tile_pairs(open_sets, BLOCK, "chunks", per_tile)
+    low, _ = _extremes(F.col("left_values"), F.col("right_values"), overlap)
+    return decided.unionByName(pairs.withColumn("low", low).groupBy(*BLOCK).agg(F.min("low").alias("block_name_score")))
+
+
+def block_images(records: DataFrame, signatures: DataFrame, at_least: int | None = None, per_tile: int = 512) -> DataFrame:
+    """(block, image_max, image_min, image_pairs, hashed_records): extremes of the cross-shop image similarities (percent) of whole blocks.
+
+    Records with the same signature count once, and twice if of several shops; image_pairs is counted, not enumerated. The signatures' common bits (`bit_and`,
+    `bit_or`) bound every distance. With `at_least` a block whose images are all that similar by this bound is not compared: its image_min
+    is the bound, its image_max 100 or, if no image is shared by shops, the bound too. All other blocks are compared exactly, in tiles.
+    """
+    known = signatures.filter(F.coalesce("signature", F.lit("")) != "").groupBy("url").agg(F.max("signature").alias("dhash"))
+    held = records.filter("shop_id IS NOT NULL").join(known.withColumnRenamed("url", "image_url"), "image_url")
+    hashes = written(held.groupBy(*BLOCK, "dhash").agg(F.min("shop_id").alias("lo"), F.max("shop_id").alias("hi"), F.count(F.lit(1)).alias("n")).withColumn("digits", F.length("dhash")))
+    kind = [*BLOCK, "digits"]
+    several = F.col("lo") != F.col("hi")
+    # Pairs of the same length, less those within one shop.
+    own = hashes.filter(~several).groupBy(*kind, "lo").agg(F.count(F.lit(1)).alias("k")).groupBy(*kind).agg(F.sum(F.col("k") * (F.col("k") + 1) / 2).alias("within"))
+    facts = hashes.groupBy(*kind).agg(F.count(F.lit(1)).alias("k"), F.max(several).alias("shared"), F.sum("n").alias("hashed")).join(own, kind, "left").withColumn(
+        "pairs", (F.col("k") * (F.col("k") + 1) / 2 - F.coalesce("within", F.lit(0))).cast("long"))
+    words = hashes.select(*kind, F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.col("digits") - 1) / 8).cast("int")), lambda n: F.conv(F.substring(F.col("dhash"), n * 8 + 1, F.lit(8)), 16, 10).cast("long"))).alias("place", "word"))
+    spans = words.groupBy(*kind, "place").agg(F.bit_and("word").alias("every"), F.bit_or("word").alias("any")).groupBy(*kind).agg(F.sum(F.bit_count(F.col("every").bitwiseXOR(F.col("any")))).alias("differ"))
+    judged = written(facts.join(spans, kind).withColumn("bound", round_half_up((1 - F.col("differ") / (F.col("digits") * 4)) * 100)))
+    sure = F.col("pairs") == 0
+    if at_least is not None:
+        sure = sure | (F.col("bound") >= at_least)
+    bounded = judged.filter(sure).select(*kind, F.when(F.col("pairs") > 0, F.when(F.col("shared"), 100).otherwise(F.col("bound"))).alias("high"), F.when(F.col("pairs") > 0, F.col("bound")).alias("low"))
+    open_hashes = spread_join(hashes, judged.filter(~sure).select(*kind), kind).select(*kind, F.struct("dhash", "lo", "hi").alias("image"))
+    # Unless all records of both are of one shop; a signature meets itself if several shops have it.
+    pairs = tile_pairs(open_hashes, kind, "image", per_tile)
+    low, high = _extremes(F.col("left_values"), F.col("right_values"), lambda x, y: F.when(
+        ~((x["lo"] == y["hi"]) & (x["hi"] == y["lo"])), round_half_up(hamming_similarity(x["dhash"], y["dhash"]) * 100)))
+    compared = pairs.withColumns({"low": low, "high": high}).groupBy(*kind).agg(F.max("high").alias("high"), F.min("low").alias("low"))
+    extremes = bounded.select(*kind, F.col("high").cast("long"), F.col("low").cast("long")).unionByName(compared)
+    return judged.join(extremes, kind, "left").groupBy(*BLOCK).agg(
+        F.max("high").alias("image_max"), F.min("low").alias("image_min"), F.sum("pairs").alias("image_pairs"), F.sum("hashed").alias("hashed_records"))
+
+
+def whole_block_candidates(candidates: DataFrame, records: DataFrame, signatures: DataFrame, condition_tags: tuple[str, ...] = CONDITION_TAGS, at_least: int | None = None, **prices) -> DataFrame:
+    """The candidates with every fact from all records of their blocks instead of those of the review list: shops, prices, duplicates,
+    conditions, images, name score, score, warnings and risk level. `block_shops` holds the number of shops with an id, `block_name_score` the exact
+    name score. The median of the image similarities, a fact of the list alone, is left out. `at_least`: see `block_images`.
+    """
+    held = written(records.join(candidates.select(*BLOCK).distinct(), BLOCK, "left_semi"))
     price = F.when(F.col("latest_price") > 0, F.col("latest_price"))
     conditions = {f"_tag{k}": F.max(F.coalesce(F.array_contains("tags", tag), F.lit(False))) for k, tag in enumerate(condition_tags)}
     shops = held.groupBy(*BLOCK, "shop_id").agg(
@@ -242,23 +311,19 @@ def whole_block_candidates(candidates: DataFrame, records: DataFrame, signatures
     # At most one entry per shop.
     duplicates = F.array_sort(F.collect_list(F.when((F.col("n") > 1) & F.col("shop_id").isNotNull(), F.struct("shop_id", F.col("n").cast("int").alias("n")))))
     facts = shops.groupBy(*BLOCK).agg(
-        F.count_if(F.coalesce("shop_id", F.lit("")) != "").alias("block_shops"), F.coalesce(F.min("low"), F.lit(0)).alias("min_price"),
-        F.coalesce(F.max("high"), F.lit(0)).alias("max_price"), duplicates.alias("duplicate_shops"), *[F.max(n).cast("int").alias(n) for n in conditions])
+        F.count_if(F.coalesce("shop_id", F.lit("")) != "").alias("block_shops"), F.count(F.lit(1)).cast("int").alias("shops"), F.sum("n").cast("int").alias("total_records"),
+        F.coalesce(F.min("low"), F.lit(0)).alias("min_price"), F.coalesce(F.max("high"), F.lit(0)).alias("max_price"), duplicates.alias("duplicate_shops"), *[F.max(n).cast("int").alias(n) for n in conditions])
     found = sum((F.col(n) for n in conditions), F.lit(0))
     facts = facts.withColumn("condition_conflict", found > 1).drop(*conditions)
-
-    known = signatures.filter(F.coalesce("signature", F.lit("")) != "").groupBy("url").agg(F.max("signature").alias("dhash"))
-    hashes = checkpointed(held.filter("shop_id IS NOT NULL").join(known.withColumnRenamed("url", "image_url"), "image_url").groupBy(*BLOCK, "dhash").agg(
-        F.min("shop_id").alias("lo"), F.max("shop_id").alias("hi")))
-    other = hashes.select(*BLOCK, *[F.col(c).alias(f"other_{c}") for c in ("dhash", "lo", "hi")])
-    across = ~((F.col("lo") == F.col("other_hi")) & (F.col("hi") == F.col("other_lo")))  # unless all records are of one shop
-    alike = hashes.join(other, BLOCK).filter((F.col("dhash") <= F.col("other_dhash")) & across).withColumn(
-        "alike", round_half_up(hamming_similarity(F.col("dhash"), F.col("other_dhash")) * 100))
-    images = alike.groupBy(*BLOCK).agg(F.max("alike").alias("image_max"), F.min("alike").alias("image_min"), F.count("alike").cast("int").alias("image_pairs"))
-    renewed = candidates.drop("min_price", "max_price", "price_ratio", "duplicate_shops", "condition_conflict", "image_max", "image_min", "image_pairs", "risk_level", "warnings", "block_shops")
-    joined = renewed.join(facts, BLOCK).join(images, BLOCK, "left").withColumns({
-        "image_pairs": F.coalesce("image_pairs", F.lit(0)), "price_ratio": F.round(F.when(F.col("min_price") > 0, F.col("max_price") / F.col("min_price")), 1)})
-    return with_risk_level(joined, **prices)
+    images = block_images(held, signatures, at_least).withColumn("image_pairs", F.col("image_pairs").cast("int"))
+    own = ["min_price", "max_price", "price_ratio", "duplicate_shops", "condition_conflict", "image_max", "image_min", "image_median", "image_pairs", "hashed_records", "total_records",
+           "risk_level", "warnings", "block_shops", "shops", "name_score", "block_name_score", "score"]
+    joined = candidates.drop(*own).join(facts, BLOCK).join(images, BLOCK, "left").join(block_name_score(held), BLOCK).withColumns({
+        "image_pairs": F.coalesce("image_pairs", F.lit(0)), "hashed_records": F.coalesce("hashed_records", F.lit(0)).cast("int"),
+        "price_ratio": F.round(F.when(F.col("min_price") > 0, F.col("max_price") / F.col("min_price")), 1)})
+    closeness = F.coalesce(F.when(F.col("min_price") > 0, F.col("min_price") / F.col("max_price")), F.lit(0.0))
+    raw = 40 + F.least("shops", F.lit(3)) * 10 + F.col("block_name_score") * 25 + closeness * 5
+    return with_risk_level(joined.withColumns({"name_score": round_half_up(F.col("block_name_score") * 100), "score": round_half_up(F.least(F.lit(100.0), raw))}), **prices)
 
 
 GATE_LIMITS = {"min_shops": 3, "max_ratio": 2.0, "min_image": 80}

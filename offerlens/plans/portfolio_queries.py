@@ -68,6 +68,16 @@ def valuation_series(i):
     return portfolio.valuation_series(i.holdings, best_view(i)[1])
 
 
+@query("pf3_valuation_intervals", VIEW_HIST + """,
+grid AS (SELECT h.owner_id, h.entity_key, h.qty, d.date AS day FROM holdings h, (SELECT DISTINCT date FROM vh) d),
+series AS (SELECT g.owner_id, g.day AS date, CAST(sum(g.qty * coalesce(v.price, 0)) AS BIGINT) AS value
+  FROM grid g ASOF LEFT JOIN vh v ON g.entity_key = v.entity_key AND g.day >= v.date GROUP BY 1, 2),
+changes AS (SELECT *, lag(value, 1, 0) OVER (PARTITION BY owner_id ORDER BY date) AS before FROM series)
+SELECT owner_id, date AS from_date, lead(date) OVER (PARTITION BY owner_id ORDER BY date) AS to_date, value FROM changes WHERE value <> before""")
+def valuation_intervals(i):
+    return portfolio.valuation_intervals(i.holdings, best_view(i)[1])
+
+
 @query("pf4_valuation_at", VIEW_HIST + """
 SELECT h.owner_id, h.entity_key, h.qty, h.qty * v.price AS then_value, h.qty * vr.active_price AS now_value, h.qty * (vr.active_price - v.price) AS diff
 FROM (SELECT *, DATE '2024-01-10' AS day FROM holdings) h ASOF JOIN vh v ON h.entity_key = v.entity_key AND h.day >= v.date JOIN vr ON vr.entity_key = h.entity_key""")

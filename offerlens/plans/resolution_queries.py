@@ -77,6 +77,10 @@ gated AS (SELECT *, 'candidate_' || model_code || '_' || signature AS candidate_
 """
 
 
+# The same facts from every record of a block instead of the review list.
+WHOLE = ER.replace("WHERE pos <= 8", "")
+
+
 @query("er1_candidate_records", f"WITH {ER} SELECT source_key, identity_key, shop_id, er_name AS name, model_code, signature, tags, latest_price, img AS image_url FROM tagged")
 def candidate_records(i):
     return records(i).select("source_key", "identity_key", "shop_id", "name", "model_code", "signature", F.array_join("tags", "+").alias("tags"), "latest_price", "image_url")
@@ -197,6 +201,29 @@ def block_facts(i):
     return er.block_facts(records(i))
 
 
+@query("er8_whole_block_score", f"""WITH {WHOLE}
+SELECT candidate_id, round(name_score, 6) AS name_score, score, shops, total AS total_records, lo AS min_price, hi AS max_price, risk_level, conflict FROM gated""")
+def whole_block_score(i):
+    """Name score, score and risk of every candidate block from all its records."""
+    whole = er.whole_block_candidates(written_candidates(i), records(i), signatures(i))
+    return whole.select("candidate_id", F.round("block_name_score", 6).alias("name_score"), "score", F.col("shops").cast("long").alias("shops"), F.col("total_records").cast("long").alias("total_records"),
+                        "min_price", "max_price", "risk_level", F.col("condition_conflict").alias("conflict"))
+
+
+@query("er6_whole_block_images", f"WITH {WHOLE} SELECT candidate_id, image_min, image_max FROM gated WHERE image_pairs > 0")
+def whole_block_images(i):
+    """Image extremes of every candidate block from all its records."""
+    return er.whole_block_candidates(written_candidates(i), records(i), signatures(i)).filter("image_pairs > 0").select("candidate_id", "image_min", "image_max")
+
+
+@query("er13_gated_groups", f"""WITH {WHOLE}, {BASE_GROUPS}
+SELECT canonical_id, shop_id, source_key FROM old_members WHERE batch <> 'now'
+UNION ALL SELECT g.canonical_id, t.shop_id, t.source_key FROM gated g JOIN reviewed USING (candidate_id) JOIN tagged t USING (model_code, signature) WHERE g.reasons = ''""")
+def gated_groups(i):
+    """Groups of the reviewed blocks that the gate, over all their records, finds safe."""
+    return al.alias_groups_from(written_candidates(i), i.reviewed, *stored_groups(i), "now", records(i), signatures(i))[1].select("canonical_id", "shop_id", "source_key")
+
+
 @query("er13_review_violations", f"""WITH {ER}, {BASE_GROUPS}
 SELECT 'missing candidate' AS kind, candidate_id AS subject FROM reviewed WHERE candidate_id NOT IN (SELECT candidate_id FROM gated)
 UNION ALL SELECT 'unsafe candidate', candidate_id FROM gated JOIN reviewed USING (candidate_id) WHERE reasons <> ''
