@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from offerlens.functions.durable import checkpointed
 from offerlens.functions.skew import spread_join
 from offerlens.functions.unicode import nfkc
 from offerlens.operators import catalog as cat
+from offerlens.sources.text_files import csv_header, csv_line, write_csv, write_lines
 
 # The supported envelope version, and the confirmations a provisional variant needs.
 # The format name is that of the collecting application and can be set per call.
@@ -194,8 +198,80 @@ def unresolved_export(results: DataFrame, index, restricted: tuple[str, ...] = (
 
 
 def write_unresolved(rows: DataFrame, path: str, fmt: str = "csv") -> None:
-    """CSV with every cell quoted and quotes doubled, or JSON lines."""
+    """CSV with every cell quoted, quotes doubled and a byte order mark, or JSON lines."""
     if fmt == "csv":
-        rows.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', encoding="UTF-8")
+        write_csv(rows, path)
     else:
         rows.write.mode("overwrite").json(path)
+
+
+PLACE = ("payload_id", "status", "position")
+CSV_NAMES = ("cardNumber", "cardName", "variantId", "variantType", "count", "status", "reason", "candidateKeys")
+
+
+def unresolved_pieces(results: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], restricted: tuple[str, ...] = (), fmt: str = "csv") -> DataFrame:
+    """Text pieces of the unresolved file in long form: (payload_id, status, position, entry_id, opening, middle, closing, candidate, option).
+
+    An item has one row without entry_id, with the text before, between and after its lists; each of its candidates has a
+    row with its text in the first list and, for JSON, in the list of manual mapping options.
+    """
+    open_rows, candidates = unresolved_candidates(results, index, restricted)
+    none = F.lit(None).cast("string")
+    if fmt == "csv":
+        cells = csv_line(*[F.col(c) for c in ("card_number", "card_name", "variant_id", "variant_type", "count", "status", "reason")])
+        texts = [F.concat(cells, F.lit(',"')), F.lit('"'), F.lit("")]
+        listed = candidates.select("group_id", "entry_id", F.replace("price_key", F.lit('"'), F.lit('""')).alias("candidate"), none.alias("option"))
+    else:
+        names = {"payloadId": "payload_id", "position": "position", "id": "id", "cardNumber": "card_number", "cardName": "card_name", "variantId": "variant_id",
+                 "variantType": "variant_type", "count": "count", "matchStatus": "status", "reason": "reason"}
+        item = F.to_json(F.struct(*[F.col(c).alias(n) for n, c in names.items()]))
+        key = F.to_json(F.struct(F.col("id").alias("manualMappingKey")))
+        texts = [F.concat(F.regexp_replace(item, r"\}$", ""), F.lit(',"candidates":[')),
+                 F.concat(F.lit("],"), F.regexp_replace(F.substring(key, F.lit(2), F.length(key)), r"\}$", ""), F.lit(',"manualMappingOptions":[')), F.lit("]}")]
+        known = index[0].select("entry_id", "name", F.coalesce(nonblank("model_no"), "card_number").alias("modelNo"), "tags")
+        listed = candidates.join(known, "entry_id").select(
+            "group_id", "entry_id", F.to_json(F.struct(F.col("price_key").alias("priceKey"), "name", "modelNo", "tags")).alias("candidate"),
+            F.to_json(F.struct(F.col("price_key").alias("priceKey"), F.lit("manual").alias("confirmedBy"))).alias("option"))
+    heads = open_rows.select(*PLACE, F.lit(None).cast(listed.schema["entry_id"].dataType).alias("entry_id"), *[t.alias(n) for t, n in zip(texts, ("opening", "middle", "closing"))])
+    rows = spread_join(open_rows.select(*PLACE, "group_id"), listed, ["group_id"]).drop("group_id")
+    return heads.unionByName(rows, allowMissingColumns=True)
+
+
+def unresolved_lines(pieces: DataFrame, separator: str) -> DataFrame:
+    """One `line` per item, in the order of payload, status (ambiguous first) and position, its candidates by entry.
+
+    Pieces are range-partitioned by item and sorted, so a list is never an aggregate: a task passes over sorted rows and holds the
+    text of one line.
+    """
+    placed = pieces.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE, F.col("entry_id").asc_nulls_first())
+    texts = placed.select("opening", "middle", "closing", "candidate", "option")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, listed, options = None, [], []
+        line = lambda: head[0] + separator.join(listed) + head[1] + separator.join(options) + head[2]
+        for batch in batches:
+            done = []
+            for opening, middle, closing, candidate, option in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if opening is None:
+                    listed.append(candidate)
+                    if option is not None:
+                        options.append(option)
+                    continue
+                if head is not None:
+                    done.append(line())
+                head, listed, options = (opening, middle, closing), [], []
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["line"])
+        if head is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([line()], pa.string())], names=["line"])
+
+    return texts.mapInArrow(run, "line string")
+
+
+def write_unresolved_files(results: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], path: str, restricted: tuple[str, ...] = (), fmt: str = "csv") -> None:
+    """The unresolved items as files: CSV with a byte order mark, candidate keys joined by a bar; or a JSON object a line, with the
+    candidates (key, name, model, tags), the key of a manual mapping and its options."""
+    pieces = unresolved_pieces(results, index, restricted, fmt)
+    if fmt == "csv":
+        write_lines(unresolved_lines(pieces, "|"), path, csv_header(list(CSV_NAMES)))
+    else:
+        write_lines(unresolved_lines(pieces, ","), path, byte_order_mark=False)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.functions.skew import spread_join
+from offerlens.sources.text_files import write_csv
 
 
 def canonical_keys(items: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -126,8 +127,8 @@ def export_holdings(holdings: DataFrame, items: DataFrame, view_rows: DataFrame)
 
 
 def write_holdings_csv(rows: DataFrame, path: str) -> None:
-    """Quoted CSV, quotes doubled; every file starts with the header."""
-    rows.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', encoding="UTF-8")
+    """Quoted CSV, quotes doubled; every file starts with a byte order mark and the header."""
+    write_csv(rows, path)
 
 
 def read_holdings_csv(spark, path: str) -> DataFrame:
