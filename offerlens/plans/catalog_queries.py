@@ -257,7 +257,7 @@ def unresolved_export(i):
 @query("col5_unresolved_file", f"""{ALL},
 cand AS (SELECT v.payload_id, v.position, string_agg(e.price_key, '|' ORDER BY e.entry_id) AS candidate_keys FROM res v JOIN entries e ON e.code = v.code
   WHERE CASE v.why WHEN 'image-hash-multiple' THEN e.h = v.hash AND {ALLOWED} WHEN 'variant-tags-multiple' THEN e.tags = v.expected ELSE true END GROUP BY 1, 2)
-SELECT '"' || r.code || '","The ""' || l.p_name || '""","' || r.variant_id || '","' || r.vtype || '","' || r.cnt || '","' || r.status || '","' || r.why || '","' || coalesce(candidate_keys, '') || '"' AS line
+SELECT '"' || r.code || '","The ' || repeat(chr(34), 2) || l.p_name || repeat(chr(34), 3) || ',"' || r.variant_id || '","' || r.vtype || '","' || r.cnt || '","' || r.status || '","' || r.why || '","' || coalesce(candidate_keys, '') || '"' AS line
 FROM res r LEFT JOIN cand USING (payload_id, position) JOIN listed l USING (payload_id, position) WHERE r.status <> 'matched'""")
 def unresolved_file(i):
     found, index = results(i)
