@@ -1,10 +1,14 @@
 """Quality rules with n-gram perplexity.
 
-The model is a modified Kneser-Ney model of character n-grams over a folded alphabet of 64 symbols (see `symbols`). Spark
-counts the n-grams of all texts. A word model has no size bound and could not be handed to every task; here an n-gram of four
-symbols is a 24-bit code, so that at most 2^24 n-grams exist however large the corpus is (measured: about 1/40 of them). The
-code serves as a hash without collisions; the model is stored as sorted arrays of codes and log probabilities, with backoff arrays
-for the rest, at most 134 MB.
+The model is a modified Kneser-Ney model of ORDER characters. Characters are code points as they stand, only runs of white space count as
+one space, so the n-grams grow with the corpus. Spark counts them over all texts and keeps every order as a table; n-grams are told apart by
+their code points, never by their hashes.
+
+Scoring goes by blocks of a file split, at most BLOCK characters each (or one longer text). The first pass over the texts counts the n-grams of every
+block, which is both the corpus count and the list of what the block will ask for. Spark joins the log probabilities to that list and writes them
+per block, sorted by a 64-bit hash, to the shared folder. The second pass reads the same splits again and loads one block's sorted hash array at
+a time. So texts are never shuffled, no task holds more than a block's n-grams, and nothing that grows reaches the driver.
+Two n-grams of one block with the same hash stop the job (chance below 10^-7 a block).
 
 Each language has its own lower and upper bound of log-perplexity, set from the quartiles of all its documents that pass
 the basic rules: low perplexity marks repetitive or degenerate text, high perplexity noise.
@@ -15,152 +19,200 @@ of any length are read whole. Repeated rows count as often as they occur. Extra
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.fs
+import pyarrow.parquet
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlens.functions.durable import checkpointed
+from offerlens.functions.durable import checkpointed, shared_folder, written
 
-ORDER = 4
-BITS = 6
-SYMBOLS = 1 << BITS
-CODES = 1 << (BITS * ORDER)
-LOWER = CODES >> BITS
-CHARACTERS_AT_ONCE = 4_000_000
+ORDER = 5
+SYMBOLS = [f"s{k}" for k in range(ORDER)]
+BLOCK = 1 << 25
+CHUNK = 1 << 22
+HELD = 1 << 21
 BINS_PER_BIT = 256
 MARKS = "#*$%&|<>"  # fixed value: the symbols counted by the basic rules
-
-
-@lru_cache(maxsize=1)
-def symbols() -> np.ndarray:
-    """Symbol of each code point below U+0250.
-
-    0 white space; 1-26 letters a to z; 27 digits; 28 and 29 stop and comma; 30-35 kinds of punctuation; 36 any capital; 37-51 accented
-    small letters. Characters beyond the table go to 52-63 by code point.
-    """
-    table = 52 + np.arange(0x250) % 12
-    for c in range(0x250):
-        ch = chr(c)
-        if ch.isspace() or c < 32:
-            table[c] = 0
-        elif "a" <= ch <= "z":
-            table[c] = c - 96
-        elif ch.isdigit():
-            table[c] = 27
-        elif ch.isupper():
-            table[c] = 36
-        elif ch.islower():
-            table[c] = 37 + c % 15
-        elif c < 127:
-            groups = (".", ",", "-", "'\"", "!?", ":;", "()[]{}")
-            table[c] = next((28 + k for k, g in enumerate(groups) if ch in g), 35)
-    return table.astype(np.uint32)
-
-
-def codes(text: str) -> np.ndarray:
-    """n-gram codes ending at each symbol of the text; runs of white space count once, the text starts after white space."""
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    if not len(points):
-        return np.zeros(0, np.uint32)
-    known = np.minimum(points, 0x24F)
-    symbol = np.where(points < 0x250, symbols()[known], 52 + points % 12).astype(np.uint32)
-    keep = np.ones(len(symbol), bool)
-    keep[1:] = (symbol[1:] != 0) | (symbol[:-1] != 0)
-    symbol = np.concatenate((np.zeros(ORDER - 1, np.uint32), symbol[keep]))
-    code = symbol[ORDER - 1 :].copy()
-    for back in range(1, ORDER):
-        code |= symbol[ORDER - 1 - back : len(symbol) - back] << np.uint32(BITS * back)
-    return code
-
-
-def count_grams(texts: DataFrame) -> DataFrame:
-    """(code, n) over all texts of a one-column table; each task adds up its own counts before the shuffle."""
+SPACES = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x2028, 0x2029, 0x3000], np.uint32)
+
+
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, each led by ORDER - 1 spaces, and the number of n-grams of each text (its characters, runs of white space once)."""
+    lead = " " * (ORDER - 1)
+    points = np.frombuffer((lead + lead.join(texts)).encode("utf-32-le"), np.uint32)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(lengths + ORDER - 1)
+    starts = ends - lengths
+    blank = (points == 32) | (points < 14) & (points > 8) | (points > 127) & np.isin(points, SPACES)
+    points = np.where(blank, np.uint32(32), points)
+    keep = np.ones(len(points), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    led = (ends[:, None] - lengths[:, None] - np.arange(1, ORDER)).ravel()
+    keep[led] = True
+    kept = np.concatenate(([0], np.cumsum(keep)))
+    return points[keep], kept[ends] - kept[starts]
+
+
+def hashes(points: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of the n-gram ending at each character of `symbols`' texts, and where in `points` it starts."""
+    first = np.concatenate(([0], np.cumsum(counts + ORDER - 1)[:-1])) if len(counts) else np.zeros(0, np.int64)
+    at = np.repeat(first - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum()) if len(counts) else np.zeros(0, np.int64)
+    code = np.zeros(len(at), np.uint64)
+    wide = points.astype(np.uint64)
+    for k in range(ORDER):
+        code = (code + wide[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        code ^= code >> np.uint64(29)
+    code *= np.uint64(0xBF58476D1CE4E5B9)
+    return code ^ (code >> np.uint64(32)), at
+
+
+def pieces(batches: Iterator[pa.RecordBatch], split: int, text: int) -> Iterator[tuple[int, pa.RecordBatch, list[str]]]:
+    """(block, rows, their texts) in the order of the input, at most CHUNK characters or one text each. Blocks depend only on a split's rows and their order."""
+    now, part, size = None, 0, 0
+    for batch in batches:
+        splits = batch.column(split).to_pylist()
+        start, chunk, of = 0, [], None
+        for k in range(batch.num_rows):
+            value = batch.column(text)[k].as_py() or ""
+            if splits[k] != now:
+                now, part, size = splits[k], 0, 0
+            elif size and size + len(value) > BLOCK:
+                part, size = part + 1, 0
+            size += len(value)
+            block = (now * 1_000_003 + part + (1 << 63)) % (1 << 64) - (1 << 63)
+            if chunk and (block != of or sum_chars + len(value) > CHUNK):
+                yield of, batch.slice(start, k - start), chunk
+                start, chunk = k, []
+            if not chunk:
+                sum_chars, of = 0, block
+            chunk.append(value)
+            sum_chars += len(value)
+        if chunk:
+            yield of, batch.slice(start), chunk
+
+
+def placed(documents: DataFrame, *columns: Column) -> DataFrame:
+    """The columns of rows read straight from files, with the split that each row comes from."""
+    return documents.select(F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("split"), *columns)
+
+
+def block_grams(texts: DataFrame) -> DataFrame:
+    """(block, code, s0.., n): n-grams of every block of a table (split, text). A block's n-gram may come in several rows."""
+
+    def rows(block: int, held: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        code, n, grams = held
+        for k in range(0, len(code), 100_000):
+            part = slice(k, k + 100_000)
+            arrays = [pa.array(np.full(len(code[part]), block, np.int64)), pa.array(code[part].view(np.int64)), *[pa.array(grams[part, j].astype(np.int32)) for j in range(ORDER)], pa.array(n[part])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["block", "code", *SYMBOLS, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(CODES, np.int64), [], 0
-        for batch in batches:
-            for k in range(batch.num_rows):
-                held.append(codes(batch.column(0)[k].as_py() or ""))
-                size += len(held[-1])
-                if size > CHARACTERS_AT_ONCE:
-                    found, n = np.unique(np.concatenate(held), return_counts=True)
-                    total[found] += n
-                    held, size = [], 0
-        if held:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            total[found] += n
-        present = np.flatnonzero(total)
-        for k in range(0, len(present), 100_000):
-            part = present[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["code", "n"])
-
-    return texts.mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+        now, held = None, None
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, ORDER), np.uint32))
+        for block, _, texts_of in pieces(batches, 0, 1):
+            if held is not None and (block != now or len(held[0]) > HELD):
+                yield from rows(now, held)
+                held = None
+            now, held = block, held or none
+            points, counts = symbols(texts_of)
+            code, at = hashes(points, counts)
+            found, n = np.unique(code, return_counts=True)
+            place = np.minimum(np.searchsorted(held[0], found), max(len(held[0]) - 1, 0))
+            known = held[0][place] == found if len(held[0]) else np.zeros(len(found), bool)
+            held[1][place[known]] += n[known]
+            fresh = found[~known]
+            if len(fresh):
+                where = np.flatnonzero(lookup(fresh, code) >= 0)
+                _, first = np.unique(code[where], return_index=True)
+                grams = points[at[where[first]][:, None] + np.arange(ORDER)]
+                order = np.argsort(np.concatenate((held[0], fresh)), kind="stable")
+                held = tuple(np.concatenate(x)[order] for x in zip(held, (fresh, n[~known].astype(np.int64), grams), strict=True))
+        if held is not None:
+            yield from rows(now, held)
+
+    return texts.mapInArrow(run, "block bigint, code bigint, " + ", ".join(f"{s} int" for s in SYMBOLS) + ", n bigint")
+
+
+def lookup(table: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Place of each code in a sorted array of hashes, -1 if absent. A directory by leading bits gives the start, then places are stepped."""
+    if not len(table):
+        return np.full(len(code), -1, np.int64)
+    bits = max(1, min(24, int(len(table)).bit_length()))
+    shift = np.uint64(64 - bits)
+    directory = np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << shift)
+    place = directory[(code >> shift).astype(np.int64)]
+    last = len(table) - 1
+    open_rows = np.flatnonzero((place <= last) & (table[np.minimum(place, last)] < code))
+    while len(open_rows):
+        place[open_rows] += 1
+        at = place[open_rows]
+        open_rows = open_rows[(at <= last) & (table[np.minimum(at, last)] < code[open_rows])]
+    return np.where((place <= last) & (table[np.minimum(place, last)] == code), place, -1)
 
 
 @dataclass
 class Model:
-    """Sorted codes with log2 probabilities; for all other n-grams log2 of the context's backoff weight and of the shorter n-gram."""
-
-    code: np.ndarray
-    log_p: np.ndarray
-    backoff: np.ndarray
-    shorter: np.ndarray
-
-    def table(self) -> np.ndarray:
-        """log2 probability of every n-gram."""
-        full = (self.backoff.reshape(SYMBOLS, -1, 1) + self.shorter.reshape(1, -1, SYMBOLS)).reshape(-1)
-        full[self.code] = self.log_p
-        return full
-
-
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more."""
-    n1, n2, n3, n4 = (int((n == k).sum()) for k in (1, 2, 3, 4))
+    """Counts of the n-grams of each order as tables (s.., n) on their last symbols; orders below the highest count in how many ways an n-gram is preceded."""
+
+    levels: list[DataFrame]
+    discounts: list[list[float]]
+    n_symbols: int
+
+    def probabilities(self, grams: DataFrame, order: int = ORDER) -> DataFrame:
+        """(s.., p) of distinct n-grams (s..) of an order, seen or not: p(last symbol after the others)."""
+        names = SYMBOLS[ORDER - order :]
+        if not order:
+            raise ValueError("an n-gram has a symbol")
+        seen, context = self.levels[order - 1], names[:-1]
+        own = self.discounts[order - 1]
+        cut = F.when(F.col("n") == 1, own[0]).when(F.col("n") == 2, own[1]).otherwise(own[2])
+        sums = [F.sum("n").alias("total"), F.sum(cut).alias("left")]
+        joined = grams.select(*names).join(seen, names, "left")
+        if order == 1:
+            whole = seen.agg(*sums).first()
+            total, left = (float(whole["total"] or 0), float(whole["left"] or 0))
+            even = 1 / (self.n_symbols + 1)
+            p = (F.coalesce(F.col("n") - cut, F.lit(0.0)) + left * even) / total if total else F.lit(even)
+            return joined.select(*names, p.alias("p"))
+        contexts = seen.groupBy(*context).agg(*sums)
+        shorter = self.probabilities(grams.select(*names[1:]).distinct(), order - 1).withColumnRenamed("p", "lower")
+        joined = joined.join(contexts, context, "left").join(shorter, names[1:])
+        mixed = (F.coalesce(F.col("n") - cut, F.lit(0.0)) + F.col("left") * F.col("lower")) / F.col("total")
+        return joined.select(*names, F.coalesce(mixed, F.col("lower")).alias("p"))
+
+
+def discounts(counts: dict[int, int]) -> list[float]:
+    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from how many n-grams have counts 1 to 4."""
+    n1, n2, n3, n4 = (counts.get(k, 0) for k in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     parts = [k - (k + 1) * y * after / now if now else k / 2 for k, now, after in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    return np.array([0.0, *(min(max(d, 0.05), k - 0.05) for k, d in enumerate(parts, 1))])
-
-
-def _smoothed(n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Interpolated probabilities for a table of counts (contexts x symbols), and the weight that each context leaves to `lower`."""
-    discount = _discounts(n)[np.minimum(n, 3)]
-    total = n.sum(axis=1)
-    seen = np.maximum(total, 1)
-    weight = np.where(total > 0, discount.sum(axis=1) / seen, 1.0)
-    return (n - discount) / seen[:, None] + weight[:, None] * lower, weight
-
-
-def fit(code: np.ndarray, n: np.ndarray) -> Model:
-    """Model of n-gram counts. Lower orders count in how many ways an n-gram is preceded."""
-    order = np.argsort(code)
-    code, n = code[order].astype(np.int64), n[order].astype(np.int64)
-    preceded = [np.bincount(code & (LOWER - 1), minlength=LOWER)]
-    while len(preceded[0]) > SYMBOLS:
-        preceded.insert(0, (preceded[0].reshape(SYMBOLS, -1) > 0).sum(axis=0))
-    p = np.full(SYMBOLS, 1 / SYMBOLS)
-    for table in preceded:
-        lower = np.broadcast_to(p.reshape(-1, SYMBOLS)[None], (max(1, len(table) // len(p)), len(p) // SYMBOLS, SYMBOLS)).reshape(-1, SYMBOLS)
-        p = _smoothed(table.reshape(-1, SYMBOLS), lower)[0].reshape(-1)
-    context = code >> BITS
-    discount = _discounts(n)[np.minimum(n, 3)]
-    total = np.bincount(context, weights=n, minlength=LOWER)
-    left = np.bincount(context, weights=discount, minlength=LOWER)
-    weight = np.where(total > 0, left / np.maximum(total, 1), 1.0)
-    own = (n - discount) / np.maximum(total[context], 1) + weight[context] * p[code & (LOWER - 1)]
-    log = lambda x: np.log2(np.maximum(x, 1e-12)).astype(np.float32)
-    return Model(code.astype(np.uint32), log(own), log(weight), log(p))
+    return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(parts, 1)]
+
+
+def fit(grams: DataFrame) -> Model:
+    """Model of the n-grams (s.., n) of blocks."""
+    levels = [written(grams.groupBy(*SYMBOLS).agg(F.sum("n").alias("n")))]
+    for order in range(ORDER - 1, 0, -1):
+        levels.insert(0, written(levels[0].groupBy(*SYMBOLS[ORDER - order :]).agg(F.count(F.lit(1)).alias("n"))))
+    sizes = levels[0].select(F.lit(1).alias("order"), "n")
+    for order in range(2, ORDER + 1):
+        sizes = sizes.unionByName(levels[order - 1].select(F.lit(order).alias("order"), "n"))
+    spread: dict[int, dict[int, int]] = {}
+    for r in sizes.filter("n <= 4").groupBy("order", "n").count().collect():  # at most 4 rows an order
+        spread.setdefault(r["order"], {})[r["n"]] = r["count"]
+    return Model(levels, [discounts(spread.get(order, {})) for order in range(1, ORDER + 1)], levels[0].count())
 
 
 def train(documents: DataFrame, text: str = "text") -> Model:
-    """Model of all texts. What reaches the driver are at most CODES counts."""
-    counted = count_grams(documents.select(F.col(text).alias("text"))).toArrow()
-    return fit(counted["code"].to_numpy(), counted["n"].to_numpy())
+    """Model of all texts."""
+    source = written(documents.select(F.col(text).alias("text")))
+    return fit(written(block_grams(placed(source, F.col("text")))))
 
 
 def basic_counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -183,23 +235,66 @@ def basic_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), characters, marks, len(lines) - len(set(lines)), repeated
 
 
-def measured(documents: DataFrame, model: Model, row_id: str, text: str, lang: str) -> DataFrame:
-    """Counts of the basic rules and bits per symbol (log2 of the perplexity) of each row."""
-    shared = documents.sparkSession.sparkContext.broadcast((model.code, model.log_p, model.backoff, model.shorter))
-    source = documents.select(F.col(row_id).alias("row_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+class SortedArrays:
+    """The written log probabilities of one block at a time."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self.block = folder, None
+
+    def of(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        if block != self.block:
+            self.block, self.held = block, None
+            path = f"{self.folder}/block={block}"
+            # Hadoop and Arrow write some locations differently.
+            if path.startswith("file:"):
+                system, path = pa.fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+            elif "://" in path:
+                system, path = pa.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+            else:
+                system = pa.fs.LocalFileSystem()
+            files = [f.path for f in system.get_file_info(pa.fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
+            tables = [pa.parquet.read_table(system.open_input_file(f), columns=["code", "bits"]) for f in files]
+            code = np.concatenate([np.zeros(0, np.uint64), *[t["code"].to_numpy().view(np.uint64) for t in tables]])
+            bits = np.concatenate([np.zeros(0, np.float32), *[t["bits"].to_numpy() for t in tables]])
+            # Spark sorts signed; order and uniqueness are settled here.
+            order = np.argsort(code)
+            code = code[order]
+            if (code[1:] == code[:-1]).any():
+                raise ValueError("two n-grams of a block have the same hash")
+            self.held = code, bits[order]
+        return self.held
+
+
+def write_arrays(grams: DataFrame, model: Model) -> str:
+    """Folder of the bits (negative log2 probabilities) of each block's n-grams, a file of hashes in order per block."""
+    known = written(model.probabilities(grams.select(*SYMBOLS).distinct()))
+    asked = grams.select("block", "code", *SYMBOLS).distinct()
+    folder = f"{shared_folder(grams.sparkSession)}/arrays-{uuid.uuid4().hex}"
+    found = asked.join(known, SYMBOLS).select("block", "code", (-F.log2("p")).cast("float").alias("bits"))
+    found.repartition("block").sortWithinPartitions("block", "code").write.partitionBy("block").parquet(folder)
+    return folder
+
+
+def measured(documents: DataFrame, folder: str, row_id: str, text: str, lang: str) -> DataFrame:
+    """Counts of the basic rules and bits per character (log2 of the perplexity) of each row; `documents` is read straight from files."""
+    source = placed(documents, F.col(row_id).alias("row_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Model(*shared.value).table()
-        for batch in batches:
-            rows, bits = [], []
-            for k in range(batch.num_rows):
-                value = batch.column(2)[k].as_py() or ""
-                rows.append(basic_counts(value.encode()))
-                found = codes(value)
-                bits.append(-float(table[found].mean(dtype=np.float64)) if len(found) else None)
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        arrays = SortedArrays(folder)
+        for block, rows, texts in pieces(batches, 0, 3):
+            points, counts = symbols(texts)
+            code, _ = hashes(points, counts)
+            table, bits = arrays.of(block)
+            place = lookup(table, code)
+            if (place < 0).any():
+                raise ValueError("the documents changed between the two passes over them")
+            upto = np.concatenate(([0.0], np.cumsum(bits[place], dtype=np.float64)))
+            ends = np.cumsum(counts)
+            total = upto[ends] - upto[ends - counts]
+            mean = [float(t / n) if n else None for t, n in zip(total, counts, strict=True)]
+            columns = list(zip(*[basic_counts(t.encode()) for t in texts], strict=True))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns], pa.array(bits, pa.float64())],
+                [rows.column(1), rows.column(2), *[pa.array(c, pa.int64()) for c in columns], pa.array(mean, pa.float64())],
                 names=["row_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "bits"],
             )
 
@@ -223,14 +318,18 @@ def bands(rows: DataFrame, width: float, least: float) -> DataFrame:
 
 def quality_rules(
     documents: DataFrame, row_id: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None,
-    width: float = 7.0, least: float = 0.02, min_words: int = 50, max_repeated: int = 50,
+    width: float = 7.0, least: float = 0.02, min_words: int = 50, max_repeated: int = 50, from_files: bool = False,
 ) -> DataFrame:
     """Per row: row_id, the counts of the basic rules, base_failed, kept, bits, and the language's low and high bound.
 
-    `model` is trained on the documents themselves unless given.
+    `model` is trained on the documents themselves unless given. `from_files` says that `documents` is a table just read, whose splits can
+    be read again; any other table is written to the shared folder first.
     """
-    model = model or train(documents, text)
-    rows = checkpointed(measured(documents, model, row_id, text, lang)).withColumn(
+    if not from_files:
+        documents = written(documents.select(F.col(row_id).alias(row_id), F.col(lang).alias(lang), F.col(text).alias(text)))
+    grams = written(block_grams(placed(documents, F.col(text).alias("text"))))
+    folder = write_arrays(grams, model or fit(grams))
+    rows = checkpointed(measured(documents, folder, row_id, text, lang)).withColumn(
         "base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
     )
     limits = bands(rows.filter(~F.col("base_failed")), width, least).withColumnRenamed("lang", "of")

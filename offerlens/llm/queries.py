@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Basic rules and language bands of n-gram perplexity over every document."""
-    rows = perplexity.quality_rules(table(spark, sf_dir, "documents"))
+    rows = perplexity.quality_rules(table(spark, sf_dir, "documents"), from_files=True)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits")
 
 
