@@ -318,7 +318,7 @@ def bands(rows: DataFrame, width: float, least: float) -> DataFrame:
 
 def quality_rules(
     documents: DataFrame, row_id: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None,
-    width: float = 7.0, least: float = 0.02, min_words: int = 50, max_repeated: int = 50, from_files: bool = False,
+    width: float = 4.0, least: float = 0.02, min_words: int = 50, max_repeated: int = 50, from_files: bool = False,
 ) -> DataFrame:
     """Per row: row_id, the counts of the basic rules, base_failed, kept, bits, and the language's low and high bound.
 

@@ -1,11 +1,13 @@
 """Token ids, perplexity rules, pseudonyms, classifier and pages: brute force, round trips and odd input."""
 
+import math
 import html
 import random
 import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -70,41 +72,87 @@ def test_basic_counts():
         assert perplexity.basic_counts(text.encode()) == brute_counts(text)
 
 
-def test_kneser_ney_by_definition():
-    texts = [cases.PROSE, cases.PROSE + " again", "Zwölf Boxkämpfer jagen Viktor quer über den Sylter Deich!"]
-    grams = np.concatenate([perplexity.codes(t) for t in texts])
-    code, n = np.unique(grams, return_counts=True)
-    table = np.exp2(perplexity.fit(code, n).table().astype(np.float64)).reshape(-1, perplexity.SYMBOLS)
-    assert np.allclose(table.sum(axis=1), 1, atol=1e-4)
-    count = dict(zip(code.tolist(), n.tolist(), strict=True))
+def spaced(text):
+    return " " * (perplexity.ORDER - 1) + re.sub(r"[\t-\r \x85\xa0\u2028\u2029\u3000]+", " ", text).removeprefix(" ")
+
+
+def test_grams_and_lookup():
+    texts = ["", " a  b\n\tc", "x", "naïve — 東京 \U0001f600", "a" * 30, "\n"]
+    points, counts = perplexity.symbols(texts)
+    code, at = perplexity.hashes(points, counts)
+    want = [g[k - 4 : k + 1] for g in map(spaced, texts) for k in range(4, len(g))]
+    got = ["".join(map(chr, points[k : k + perplexity.ORDER])) for k in at]
+    assert got == want and len(set(code.tolist())) == len(set(want)) and list(counts) == [len(spaced(t)) - 4 for t in texts]
+    table = np.unique(code)[::2]
+    places = {c: k for k, c in enumerate(table.tolist())}
+    assert perplexity.lookup(table, code).tolist() == [places.get(c, -1) for c in code.tolist()]
+    assert perplexity.lookup(table[:0], code).tolist() == [-1] * len(code)
+
+
+def test_kneser_ney_by_definition(spark):
+    texts = [cases.PROSE, cases.PROSE + " again", "Zwölf Boxkämpfer jagen Viktor  quer über den Sylter Deich!", "東京 \U0001f600", None]
+    count = {}
+    for g in (spaced(t) for t in texts if t):
+        for k in range(4, len(g)):
+            count[g[k - 4 : k + 1]] = count.get(g[k - 4 : k + 1], 0) + 1
 
     def discounts(counts):
         n1, n2, n3, n4 = (sum(c == k for c in counts) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
+        y = n1 / (n1 + 2 * n2) if n1 else 0.5
         raw = [k - (k + 1) * y * b / a if a else k / 2 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         return [0, *(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))]
 
     levels = [count]
-    for width in (3, 2, 1):  # in how many ways each shorter gram is preceded
+    for _ in range(4):  # in how many ways each shorter gram is preceded
         shorter = {}
         for g in levels[0]:
-            shorter[g & (1 << 6 * width) - 1] = shorter.get(g & (1 << 6 * width) - 1, 0) + 1
+            shorter[g[1:]] = shorter.get(g[1:], 0) + 1
         levels.insert(0, shorter)
 
-    def p(gram, width):
-        if not width:
-            return 1 / perplexity.SYMBOLS
-        counts, gram = levels[width - 1], gram & (1 << 6 * width) - 1
+    def p(gram):
+        if not gram:
+            return 1 / (len(levels[0]) + 1)
+        counts = levels[len(gram) - 1]
         d = discounts(counts.values())
-        same = [c for g, c in counts.items() if g >> 6 == gram >> 6]
+        same = [c for g, c in counts.items() if g[:-1] == gram[:-1]]
         if not same:
-            return p(gram, width - 1)
+            return p(gram[1:])
         own = counts.get(gram, 0)
-        return (own - d[min(own, 3)] + sum(d[min(c, 3)] for c in same) * p(gram, width - 1)) / sum(same)
+        return (own - d[min(own, 3)] + sum(d[min(c, 3)] for c in same) * p(gram[1:])) / sum(same)
 
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = perplexity.train(frame)
     rng = random.Random(1)
-    for gram in [*rng.sample(list(count), 40), *(rng.randrange(perplexity.CODES) for _ in range(40))]:
-        assert table.reshape(-1)[gram] == pytest.approx(p(gram, 4), rel=1e-3)
+    unseen = ["zzzzz", "the q", "xhe q", "\u4eac \U0001f600qq", "fox  ", *("".join(rng.choices("thequick ", k=5)) for _ in range(30))]
+    asked = [*count, *(g for g in unseen if g not in count)]
+    rows = spark.createDataFrame([tuple(map(ord, g)) for g in sorted(set(asked))], ", ".join(f"{s} int" for s in perplexity.SYMBOLS))
+    got = {"".join(chr(r[s]) for s in perplexity.SYMBOLS): r["p"] for r in model.probabilities(rows).collect()}
+    assert len(got) == len(set(asked))
+    for gram in got:
+        assert got[gram] == pytest.approx(p(gram), rel=1e-9)
+    every = spark.createDataFrame([(*map(ord, "the "), ord(c)) for c in [*levels[0], "\u0001"]], rows.schema)  # all symbols and one that was never seen
+    assert sum(r["p"] for r in model.probabilities(every).collect()) == pytest.approx(1, abs=1e-9)
+    scored = {r["doc_id"]: r["bits"] for r in perplexity.quality_rules(spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")).collect()}
+    for k, t in enumerate(texts):
+        g = spaced(t) if t else ""
+        want = -sum(math.log2(p(g[j - 4 : j + 1])) for j in range(4, len(g))) / max(len(g) - 4, 1)
+        assert scored[k] is None if not t else scored[k] == pytest.approx(want, rel=1e-5)
+
+
+def test_blocks_smaller_than_a_table(spark, monkeypatch):
+    texts = [(k, cases.PROSE[k : k + 60] * (1 + k % 3), "en") for k in range(30)]
+    points = iter(pa.Table.from_pylist([{"split": 5, "text": t} for _, t, _ in texts]).to_batches(max_chunksize=7))
+    monkeypatch.setattr(perplexity, "BLOCK", 300)
+    monkeypatch.setattr(perplexity, "CHUNK", 100)
+    found = [(block, rows.num_rows, held) for block, rows, held in perplexity.pieces(points, 0, 1)]
+    assert [t for _, _, held in found for t in held] == [t for _, t, _ in texts] and all(n == len(held) for _, n, held in found)
+    sizes = {}
+    for block, _, held in found:
+        sizes[block] = sizes.get(block, 0) + sum(map(len, held))
+    assert len(sizes) > 5 and max(sizes.values()) <= 300
+    again = iter(pa.Table.from_pylist([{"split": 5, "text": t} for _, t, _ in texts]).to_batches(max_chunksize=4))
+    blocks = lambda parts: [block for block, _, held in parts for _ in held]
+    assert blocks(perplexity.pieces(again, 0, 1)) == blocks(found)
 
 
 def test_perplexity_rules(spark):
