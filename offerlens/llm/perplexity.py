@@ -6,9 +6,9 @@ their code points, never by their hashes.
 
 Scoring goes by blocks of a file split, at most BLOCK characters each (or one longer text). The first pass over the texts counts the n-grams of every
 block, which is both the corpus count and the list of what the block will ask for. Spark joins the log probabilities to that list and writes them
-per block, sorted by a 64-bit hash, to the shared folder. The second pass reads the same splits again and loads one block's sorted hash array at
-a time. So texts are never shuffled, no task holds more than a block's n-grams, and nothing that grows reaches the driver.
-Two n-grams of one block with the same hash stop the job (chance below 10^-7 a block).
+per block to the shared folder. The second pass reads the same splits again and loads one block's n-grams at a time as an array sorted by a
+64-bit hash. So texts are never shuffled, no task holds more than a block's n-grams, and nothing that grows reaches the driver.
+Two n-grams of one block with the same hash stop the job (chance below 10^-4 for a block of nothing but different n-grams).
 
 Each language has its own lower and upper bound of log-perplexity, set from the quartiles of all its documents that pass
 the basic rules: low perplexity marks repetitive or degenerate text, high perplexity noise.
@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 
 from offerlens.functions.durable import checkpointed, shared_folder, written
 
-ORDER = 5
+ORDER = 4
 SYMBOLS = [f"s{k}" for k in range(ORDER)]
 BLOCK = 1 << 25
 CHUNK = 1 << 22
 HELD = 1 << 21
 BINS_PER_BIT = 256
+SHIFT = 21  # bits of a code point
+LARGEST = (1 << SHIFT) - 1
 MARKS = "#*$%&|<>"  # fixed value: the symbols counted by the basic rules
 SPACES = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x2028, 0x2029, 0x3000], np.uint32)
 
@@ -63,13 +65,18 @@ def hashes(points: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """64-bit hash of the n-gram ending at each character of `symbols`' texts, and where in `points` it starts."""
     first = np.concatenate(([0], np.cumsum(counts + ORDER - 1)[:-1])) if len(counts) else np.zeros(0, np.int64)
     at = np.repeat(first - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum()) if len(counts) else np.zeros(0, np.int64)
-    code = np.zeros(len(at), np.uint64)
     wide = points.astype(np.uint64)
-    for k in range(ORDER):
-        code = (code + wide[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed([wide[at + k] for k in range(ORDER)]), at
+
+
+def mixed(grams: list[np.ndarray]) -> np.ndarray:
+    """64-bit hash of n-grams given as one array per symbol."""
+    code = np.zeros(len(grams[0]), np.uint64)
+    for symbol in grams:
+        code = (code + symbol) * np.uint64(0x9E3779B97F4A7C15)
         code ^= code >> np.uint64(29)
     code *= np.uint64(0xBF58476D1CE4E5B9)
-    return code ^ (code >> np.uint64(32)), at
+    return code ^ (code >> np.uint64(32))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], split: int, text: int) -> Iterator[tuple[int, pa.RecordBatch, list[str]]]:
@@ -103,14 +110,14 @@ def placed(documents: DataFrame, *columns: Column) -> DataFrame:
 
 
 def block_grams(texts: DataFrame) -> DataFrame:
-    """(block, code, s0.., n): n-grams of every block of a table (split, text). A block's n-gram may come in several rows."""
+    """(block, s0.., n): n-grams of every block of a table (split, text). A block's n-gram may come in several rows."""
 
     def rows(block: int, held: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
         code, n, grams = held
         for k in range(0, len(code), 100_000):
             part = slice(k, k + 100_000)
-            arrays = [pa.array(np.full(len(code[part]), block, np.int64)), pa.array(code[part].view(np.int64)), *[pa.array(grams[part, j].astype(np.int32)) for j in range(ORDER)], pa.array(n[part])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["block", "code", *SYMBOLS, "n"])
+            arrays = [pa.array(np.full(len(code[part]), block, np.int64)), *[pa.array(grams[part, j].astype(np.int32)) for j in range(ORDER)], pa.array(n[part])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["block", *SYMBOLS, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, None
@@ -136,7 +143,7 @@ def block_grams(texts: DataFrame) -> DataFrame:
         if held is not None:
             yield from rows(now, held)
 
-    return texts.mapInArrow(run, "block bigint, code bigint, " + ", ".join(f"{s} int" for s in SYMBOLS) + ", n bigint")
+    return texts.mapInArrow(run, "block bigint, " + ", ".join(f"{s} int" for s in SYMBOLS) + ", n bigint")
 
 
 def lookup(table: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -167,13 +174,12 @@ class Model:
     def probabilities(self, grams: DataFrame, order: int = ORDER) -> DataFrame:
         """(s.., p) of distinct n-grams (s..) of an order, seen or not: p(last symbol after the others)."""
         names = SYMBOLS[ORDER - order :]
-        if not order:
-            raise ValueError("an n-gram has a symbol")
         seen, context = self.levels[order - 1], names[:-1]
+        whole_level = grams is seen
         own = self.discounts[order - 1]
         cut = F.when(F.col("n") == 1, own[0]).when(F.col("n") == 2, own[1]).otherwise(own[2])
         sums = [F.sum("n").alias("total"), F.sum(cut).alias("left")]
-        joined = grams.select(*names).join(seen, names, "left")
+        joined = seen if whole_level else grams.select(*names).join(seen, names, "left")
         if order == 1:
             whole = seen.agg(*sums).first()
             total, left = (float(whole["total"] or 0), float(whole["left"] or 0))
@@ -181,7 +187,8 @@ class Model:
             p = (F.coalesce(F.col("n") - cut, F.lit(0.0)) + left * even) / total if total else F.lit(even)
             return joined.select(*names, p.alias("p"))
         contexts = seen.groupBy(*context).agg(*sums)
-        shorter = self.probabilities(grams.select(*names[1:]).distinct(), order - 1).withColumnRenamed("p", "lower")
+        suffixes = self.levels[order - 2] if whole_level else grams.select(*names[1:]).distinct()
+        shorter = self.probabilities(suffixes, order - 1).withColumnRenamed("p", "lower")
         joined = joined.join(contexts, context, "left").join(shorter, names[1:])
         mixed = (F.coalesce(F.col("n") - cut, F.lit(0.0)) + F.col("left") * F.col("lower")) / F.col("total")
         return joined.select(*names, F.coalesce(mixed, F.col("lower")).alias("p"))
@@ -253,25 +260,32 @@ class SortedArrays:
             else:
                 system = pa.fs.LocalFileSystem()
             files = [f.path for f in system.get_file_info(pa.fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
-            tables = [pa.parquet.read_table(system.open_input_file(f), columns=["code", "bits"]) for f in files]
-            code = np.concatenate([np.zeros(0, np.uint64), *[t["code"].to_numpy().view(np.uint64) for t in tables]])
+            tables = [pa.parquet.read_table(system.open_input_file(f), columns=["low", "high", "bits"]) for f in files]
+            joined = {c: np.concatenate([np.zeros(0, np.int64), *[t[c].to_numpy() for t in tables]]) for c in ("low", "high")}
+            code = mixed([(joined[c] >> SHIFT * k & LARGEST).astype(np.uint64) for c, k in (packed(j) for j in range(ORDER))])
             bits = np.concatenate([np.zeros(0, np.float32), *[t["bits"].to_numpy() for t in tables]])
-            # Spark sorts signed; order and uniqueness are settled here.
-            order = np.argsort(code)
-            code = code[order]
-            if (code[1:] == code[:-1]).any():
+            order = np.lexsort((bits, code))
+            code, bits = code[order], bits[order]
+            again = code[1:] == code[:-1]
+            if (again & (bits[1:] != bits[:-1])).any():
                 raise ValueError("two n-grams of a block have the same hash")
-            self.held = code, bits[order]
+            once = np.concatenate(([True], ~again))[: len(code)]
+            self.held = code[once], bits[once]
         return self.held
 
 
-def write_arrays(grams: DataFrame, model: Model) -> str:
-    """Folder of the bits (negative log2 probabilities) of each block's n-grams, a file of hashes in order per block."""
-    known = written(model.probabilities(grams.select(*SYMBOLS).distinct()))
-    asked = grams.select("block", "code", *SYMBOLS).distinct()
+def packed(k: int) -> tuple[str, int]:
+    """Column that holds symbol k when n-grams are packed into two numbers, and its place there."""
+    return ("low", k) if k < 3 else ("high", k - 3)
+
+
+def write_arrays(grams: DataFrame, model: Model, own: bool) -> str:
+    """Folder of the bits (negative log2 probabilities) of each block's n-grams. `own`: the model was fitted to these n-grams."""
+    pack = [sum((F.col(SYMBOLS[k]).cast("long") * (1 << SHIFT * place) for k in range(ORDER) for c, place in [packed(k)] if c == name), F.lit(0).cast("long")).alias(name) for name in ("low", "high")]
+    known = model.probabilities(model.levels[-1] if own else grams.select(*SYMBOLS).distinct()).select(*pack, (-F.log2("p")).cast("float").alias("bits"))
     folder = f"{shared_folder(grams.sparkSession)}/arrays-{uuid.uuid4().hex}"
-    found = asked.join(known, SYMBOLS).select("block", "code", (-F.log2("p")).cast("float").alias("bits"))
-    found.repartition("block").sortWithinPartitions("block", "code").write.partitionBy("block").parquet(folder)
+    found = grams.select("block", *pack).join(known, ["low", "high"])
+    found.repartition("block").write.partitionBy("block").parquet(folder)
     return folder
 
 
@@ -318,7 +332,7 @@ def bands(rows: DataFrame, width: float, least: float) -> DataFrame:
 
 def quality_rules(
     documents: DataFrame, row_id: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None,
-    width: float = 4.0, least: float = 0.02, min_words: int = 50, max_repeated: int = 50, from_files: bool = False,
+    width: float = 5.0, least: float = 0.02, min_words: int = 50, max_repeated: int = 50, from_files: bool = False,
 ) -> DataFrame:
     """Per row: row_id, the counts of the basic rules, base_failed, kept, bits, and the language's low and high bound.
 
@@ -328,7 +342,7 @@ def quality_rules(
     if not from_files:
         documents = written(documents.select(F.col(row_id).alias(row_id), F.col(lang).alias(lang), F.col(text).alias(text)))
     grams = written(block_grams(placed(documents, F.col(text).alias("text"))))
-    folder = write_arrays(grams, model or fit(grams))
+    folder = write_arrays(grams, model or fit(grams), model is None)
     rows = checkpointed(measured(documents, folder, row_id, text, lang)).withColumn(
         "base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
     )

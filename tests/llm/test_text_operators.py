@@ -80,9 +80,9 @@ def test_grams_and_lookup():
     texts = ["", " a  b\n\tc", "x", "naïve — 東京 \U0001f600", "a" * 30, "\n"]
     points, counts = perplexity.symbols(texts)
     code, at = perplexity.hashes(points, counts)
-    want = [g[k - 4 : k + 1] for g in map(spaced, texts) for k in range(4, len(g))]
+    want = [g[k - 3 : k + 1] for g in map(spaced, texts) for k in range(3, len(g))]
     got = ["".join(map(chr, points[k : k + perplexity.ORDER])) for k in at]
-    assert got == want and len(set(code.tolist())) == len(set(want)) and list(counts) == [len(spaced(t)) - 4 for t in texts]
+    assert got == want and len(set(code.tolist())) == len(set(want)) and list(counts) == [len(spaced(t)) - 3 for t in texts]
     table = np.unique(code)[::2]
     places = {c: k for k, c in enumerate(table.tolist())}
     assert perplexity.lookup(table, code).tolist() == [places.get(c, -1) for c in code.tolist()]
@@ -93,8 +93,8 @@ def test_kneser_ney_by_definition(spark):
     texts = [cases.PROSE, cases.PROSE + " again", "Zwölf Boxkämpfer jagen Viktor  quer über den Sylter Deich!", "東京 \U0001f600", None]
     count = {}
     for g in (spaced(t) for t in texts if t):
-        for k in range(4, len(g)):
-            count[g[k - 4 : k + 1]] = count.get(g[k - 4 : k + 1], 0) + 1
+        for k in range(3, len(g)):
+            count[g[k - 3 : k + 1]] = count.get(g[k - 3 : k + 1], 0) + 1
 
     def discounts(counts):
         n1, n2, n3, n4 = (sum(c == k for c in counts) for k in (1, 2, 3, 4))
@@ -103,7 +103,7 @@ def test_kneser_ney_by_definition(spark):
         return [0, *(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))]
 
     levels = [count]
-    for _ in range(4):  # in how many ways each shorter gram is preceded
+    for _ in range(3):  # in how many ways each shorter gram is preceded
         shorter = {}
         for g in levels[0]:
             shorter[g[1:]] = shorter.get(g[1:], 0) + 1
@@ -123,19 +123,19 @@ def test_kneser_ney_by_definition(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "text string")
     model = perplexity.train(frame)
     rng = random.Random(1)
-    unseen = ["zzzzz", "the q", "xhe q", "\u4eac \U0001f600qq", "fox  ", *("".join(rng.choices("thequick ", k=5)) for _ in range(30))]
+    unseen = ["zzzz", "he q", "xe q", "\u4eac \U0001f600q", "ox  ", *("".join(rng.choices("thequick ", k=4)) for _ in range(30))]
     asked = [*count, *(g for g in unseen if g not in count)]
     rows = spark.createDataFrame([tuple(map(ord, g)) for g in sorted(set(asked))], ", ".join(f"{s} int" for s in perplexity.SYMBOLS))
     got = {"".join(chr(r[s]) for s in perplexity.SYMBOLS): r["p"] for r in model.probabilities(rows).collect()}
     assert len(got) == len(set(asked))
     for gram in got:
         assert got[gram] == pytest.approx(p(gram), rel=1e-9)
-    every = spark.createDataFrame([(*map(ord, "the "), ord(c)) for c in [*levels[0], "\u0001"]], rows.schema)  # all symbols and one that was never seen
+    every = spark.createDataFrame([(*map(ord, "the"), ord(c)) for c in [*levels[0], "\u0001"]], rows.schema)  # all symbols and one that was never seen
     assert sum(r["p"] for r in model.probabilities(every).collect()) == pytest.approx(1, abs=1e-9)
     scored = {r["doc_id"]: r["bits"] for r in perplexity.quality_rules(spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")).collect()}
     for k, t in enumerate(texts):
         g = spaced(t) if t else ""
-        want = -sum(math.log2(p(g[j - 4 : j + 1])) for j in range(4, len(g))) / max(len(g) - 4, 1)
+        want = -sum(math.log2(p(g[j - 3 : j + 1])) for j in range(3, len(g))) / max(len(g) - 3, 1)
         assert scored[k] is None if not t else scored[k] == pytest.approx(want, rel=1e-5)
 
 
