@@ -35,7 +35,7 @@ from offerlens.functions.durable import checkpointed, shared_folder, written
 ORDER = 4
 SYMBOLS = [f"s{k}" for k in range(ORDER)]
 BLOCK = 1 << 25
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 HELD = 1 << 21
 BINS_PER_BIT = 256
 SHIFT = 21  # bits of a code point
