@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from offerlens.functions.columns import last_code, nonblank
 from offerlens.functions.durable import checkpointed, written
 from offerlens.functions.ordered import with_max_before, with_place
+from offerlens.functions.skew import spread_join
 from offerlens.functions.unicode import nfkc
 from offerlens.operators import merge
 from offerlens.operators.identity import IdentityRules, parse_identities
@@ -171,10 +172,15 @@ def match_alias_members(store: merge.Store, groups: DataFrame, members: DataFram
         last_code(nfkc(F.coalesce("model_no", F.lit(""))), rules.code_pattern), last_code(nfkc(F.coalesce("name", F.lit(""))), rules.code_pattern)).alias("item_code"))
     spelled = coded.unionByName(
         store.offers.select("entity_key", F.col("source_name").alias("name")).join(coded.drop("name"), "entity_key")).distinct()
-    # A code narrows the join; only members without one meet every item of their name.
-    with_code = left.filter("alias_code IS NOT NULL").join(spelled.withColumnRenamed("item_code", "alias_code"), ["name", "alias_code"])
-    without = left.filter("alias_code IS NULL").join(spelled, "name")
-    by_name = with_code.select("canonical_id", "position", "entity_key", "item_ordinal").unionByName(without.select("canonical_id", "position", "entity_key", "item_ordinal"))
+    # Of a group's members with the same spelling only the first place counts: what meets the items is one row per group and spelling,
+    # so the join gives nothing that is not in the result. A code narrows it; members without one meet every item of their name.
+    spellings = left.groupBy("canonical_id", "name", "alias_code").agg(F.min("position").alias("position"))
+    place = ("canonical_id", "position", "entity_key", "item_ordinal")
+    with_code = spread_join(spelled.withColumnRenamed("item_code", "alias_code"), spellings.filter("alias_code IS NOT NULL"), ["name", "alias_code"])
+    # An item has a name once here, whatever its codes; a name that very many items have is split.
+    named = spelled.select("name", "entity_key", "item_ordinal").distinct()
+    without = spread_join(named, spellings.filter("alias_code IS NULL").select("canonical_id", "name", "position"), ["name"])
+    by_name = with_code.select(*place).unionByName(without.select(*place))
 
     holders = store.items.filter(F.coalesce("canonical_id", F.lit("")) != "").join(groups.select("canonical_id").distinct(), "canonical_id", "left_semi").select(
         "canonical_id", F.lit(-1).alias("position"), "entity_key", F.col("ordinal").alias("item_ordinal"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions.columns import CODE_PATTERN, nonblank
-from offerlens.functions.durable import checkpointed
+from offerlens.functions.durable import checkpointed, written
 from offerlens.functions.ordered import with_max_before
 from offerlens.operators import history as hist
 from offerlens.operators import offers as off
@@ -173,6 +173,42 @@ def rekey(store: Store, rules: IdentityRules, default_shop: str | None = None) -
     return merge_store(store, checkpointed(identity_key_map(store.items, rules)))
 
 
+def _split(df: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with one of the keys, all others)."""
+    return df.join(keys, "entity_key", "left_semi"), df.join(keys, "entity_key", "left_anti")
+
+
+def rekey_changed(store: Store, rules: IdentityRules, touched: DataFrame | None = None, default_shop: str | None = None) -> Store:
+    """Store under recomputed keys, of which only the items whose key changes are merged; offers without the by-product `last_date`.
+
+    Every item's key is recomputed, or only that of touched(entity_key): items added or renamed since the last re-key. Those with another
+    key, the touched ones and the items that already hold one of their new keys are merged as `rekey` does; all other rows pass as
+    they are. So the result is that of `rekey` if the others come from an earlier re-key, which listed their texts among their aliases.
+    The lists of keys are written tables: while they are below Spark's broadcast threshold, no row of another item is shuffled.
+    """
+    if default_shop is not None:
+        store = with_default_offers(store, default_shop)
+    if touched is None:
+        found = identity_key_map(store.items, rules).filter("entity_key <> new_key")
+    else:
+        found = identity_key_map(_split(store.items, touched.select("entity_key"))[0], rules)
+    moved = written(found)
+    taken = moved.select(F.col("new_key").alias("entity_key"))
+    holders = _split(store.items.select("entity_key", "ordinal"), taken)[0]
+    stay = _split(holders, moved.select("entity_key"))[1].select("entity_key", F.col("entity_key").alias("new_key"), "ordinal")
+    key_map = written(moved.unionByName(stay))
+    keys = key_map.select("entity_key")
+    (items, other_items), (aliases, other_aliases), (offers, other_offers), (history, other_history) = (
+        _split(df, keys) for df in (store.items, store.aliases, store.offers.drop("last_date"), store.history))
+    merged = merge_store(Store(items, aliases, offers, history), key_map)
+    return Store(
+        merged.items.unionByName(other_items.select(*merged.items.columns)),
+        merged.aliases.unionByName(other_aliases.select(*merged.aliases.columns)),
+        merged.offers.drop("last_date").unionByName(other_offers),
+        merged.history.unionByName(other_history.select(*merged.history.columns)),
+    )
+
+
 def finish_store(store: Store, shops: DataFrame, exclude: DataFrame | None = None) -> Store:
     """Best offers recomputed (histories merged), items without any priced offer dropped. A sink orders the items (`order_canonical`)."""
     item_log = store.history.filter(F.col("shop_id") == "*").select("entity_key", "date", "price")
@@ -184,9 +220,12 @@ def finish_store(store: Store, shops: DataFrame, exclude: DataFrame | None = Non
 
 
 def migrate_keys(store: Store, alias_members: DataFrame, shops: DataFrame, rules: IdentityRules,
-                 exclude: DataFrame | None = None) -> tuple[Store, DataFrame]:
-    """Whole store re-keyed and finished, and alias members with recomputed source keys and a `changed` flag."""
+                 exclude: DataFrame | None = None, only_changed: bool = False) -> tuple[Store, DataFrame]:
+    """Whole store re-keyed and finished, and alias members with recomputed source keys and a `changed` flag.
+
+    `only_changed` re-keys by `rekey_changed`: for stores that an earlier re-key has made.
+    """
     resolved = resolve_identity(alias_members, rules)
     members = resolved.withColumn("changed", ~F.col("source_key").eqNullSafe(F.col("identity_key"))).withColumn(
         "source_key", F.col("identity_key")).select(*alias_members.columns, "changed")
-    return finish_store(rekey(store, rules), shops, exclude), members
+    return finish_store((rekey_changed if only_changed else rekey)(store, rules), shops, exclude), members

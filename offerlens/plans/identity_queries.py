@@ -6,6 +6,7 @@ not parse any name.
 
 from pyspark.sql import functions as F
 
+from offerlens.functions.durable import written
 from offerlens.operators import identity, merge
 from offerlens.operators.identity import IdentityRules, TagInteraction, TokenRule
 from offerlens.plans.registry import query
@@ -64,8 +65,7 @@ def stored(i):
 
 
 # Merge order of the old items of a new key: the running newest date decides.
-STORED = """
-old AS (SELECT l.*, i.identity_key, 'k' || l.p_partkey || l.shop_id AS old_key FROM listings l JOIN identities i USING (p_partkey)),
+MERGED = """
 recs AS (SELECT *, max(last_date) OVER (PARTITION BY identity_key, shop_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM old),
 ranked AS (SELECT *, CASE WHEN before IS NULL OR last_date >= before THEN ordinal ELSE -ordinal - 1 END AS rank FROM recs),
 shop_log AS (SELECT identity_key AS entity_key, r.shop_id, date, max_by(l.price, rank) AS price FROM lots l JOIN ranked r ON l.entity_key = r.p_partkey AND l.shop_id = r.shop_id GROUP BY ALL),
@@ -82,6 +82,13 @@ new_items AS (SELECT n.identity_key AS entity_key, c.canonical_id, n.name, m.mod
   FROM named n JOIN models m USING (identity_key) LEFT JOIN pics p USING (identity_key) LEFT JOIN canon c USING (identity_key)),
 new_aliases AS (SELECT identity_key AS entity_key, unnest([old_key, 'was-' || old_key, name || '_' || model_no]) AS alias_key FROM old)
 """
+STORED = """
+old AS (SELECT l.*, i.identity_key, 'k' || l.p_partkey || l.shop_id AS old_key FROM listings l JOIN identities i USING (p_partkey)),""" + MERGED
+# Listings of every tenth part are new; of the others the first one of each identity is stored under its key.
+PARTLY_STORED = """
+firsts AS (SELECT i.identity_key, min(l.ordinal) AS ordinal FROM listings l JOIN identities i USING (p_partkey) WHERE p_partkey % 10 <> 0 GROUP BY 1),
+old AS (SELECT l.*, i.identity_key, CASE WHEN f.ordinal IS NULL THEN 'k' || l.p_partkey || l.shop_id ELSE i.identity_key END AS old_key
+  FROM listings l JOIN identities i USING (p_partkey) LEFT JOIN firsts f ON f.identity_key = i.identity_key AND f.ordinal = l.ordinal WHERE f.ordinal IS NOT NULL OR l.p_partkey % 10 = 0),""" + MERGED
 
 
 @query("id3_rekey", f"""WITH {STORED}
@@ -97,6 +104,70 @@ def rekey(i):
             .join(entries, ["entity_key", "shop_id"]).join(n_aliases, "entity_key"))
 
 
+REKEYED = """
+SELECT o.identity_key AS entity_key, o.shop_id, o.latest_price, 'img/' || o.old_key AS image_url, o.name AS source_name, n.name, n.model_no, n.canonical_id,
+  (SELECT count(*) FROM shop_log s WHERE s.entity_key = o.identity_key AND s.shop_id = o.shop_id) AS entries,
+  (SELECT CAST(sum(price) AS BIGINT) FROM item_log s WHERE s.entity_key = o.identity_key) AS logged,
+  (SELECT count(DISTINCT alias_key) FROM new_aliases a WHERE a.entity_key = o.identity_key AND a.alias_key <> a.entity_key) AS n_aliases
+FROM new_offers o JOIN new_items n ON n.entity_key = o.identity_key"""
+
+
+def partly_rekeyed(i):
+    """A store of which nine tenths of the parts already have their keys, with one listing each, and the keys of the others."""
+    known = i.listings.join(i.identities.select("p_partkey", "identity_key"), "p_partkey")
+    firsts = known.filter("p_partkey % 10 <> 0").groupBy("identity_key").agg(F.min("ordinal").alias("ordinal")).withColumn("first", F.lit(True))
+    placed = known.join(firsts, ["identity_key", "ordinal"], "left").filter("first OR p_partkey % 10 = 0")
+    listings = placed.withColumn("entity_key", F.when(F.col("first"), F.col("identity_key")).otherwise(F.concat(F.lit("k"), F.col("p_partkey").cast("string"), "shop_id")))
+    image = F.concat(F.lit("img/"), "entity_key")
+    items = listings.select(
+        "entity_key", F.when((F.col("p_partkey") % 50 == 0) & (F.col("shop_id") == "N"), F.concat(F.lit("canon"), F.col("p_partkey").cast("string"))).alias("canonical_id"),
+        "name", "model_no", F.when(F.col("shop_id") == "R", "").otherwise(image).alias("image_url"), "ordinal")
+    spelled = listings.filter("first").select("entity_key", F.concat_ws("_", "name", "model_no").alias("alias_key"))
+    aliases = items.select("entity_key", F.concat(F.lit("was-"), "entity_key").alias("alias_key")).unionByName(spelled)
+    offers = listings.select("entity_key", "shop_id", "latest_price", image.alias("image_url"), F.col("name").alias("source_name"))
+    shop_log = i.lots.withColumnRenamed("entity_key", "p_partkey").join(listings.select("p_partkey", "shop_id", "entity_key"), ["p_partkey", "shop_id"]).select("entity_key", "shop_id", "date", "price")
+    item_log = shop_log.filter("shop_id <> 'N'").withColumn("shop_id", F.lit("*"))
+    store = merge.Store(*map(written, (items, aliases, offers, shop_log.unionByName(item_log))))
+    return store, listings.filter("first IS NULL").select("entity_key")
+
+
+def _rekeyed(s):
+    shop = F.col("shop_id") != "*"
+    entries = s.history.filter(shop).groupBy("entity_key", "shop_id").agg(F.count(F.lit(1)).alias("entries"))
+    logged = s.history.filter(~shop).groupBy("entity_key").agg(F.sum("price").alias("logged"))
+    n_aliases = s.aliases.groupBy("entity_key").agg(F.count(F.lit(1)).alias("n_aliases"))
+    return (s.offers.drop("last_date").join(s.items.select("entity_key", "name", "model_no", "canonical_id"), "entity_key")
+            .join(entries, ["entity_key", "shop_id"], "left").join(logged, "entity_key", "left").join(n_aliases, "entity_key", "left"))
+
+
+@query("id3_rekey_changed", f"WITH {PARTLY_STORED} {REKEYED}")
+def rekey_changed(i):
+    """Every key recomputed, only the items of new keys merged."""
+    return _rekeyed(merge.rekey_changed(partly_rekeyed(i)[0], RULES))
+
+
+@query("id7_rekey_touched", f"WITH {PARTLY_STORED} {REKEYED}")
+def rekey_touched(i):
+    """The keys of new items recomputed, those of the others trusted."""
+    store, new = partly_rekeyed(i)
+    return _rekeyed(merge.rekey_changed(store, RULES, new))
+
+
+@query("id3_default_offers", f"""WITH {STORED}
+SELECT identity_key AS entity_key, CASE shop_id WHEN 'R' THEN 'D' ELSE shop_id END AS shop_id, latest_price, CASE shop_id WHEN 'R' THEN '' ELSE 'img/' || old_key END AS image_url,
+  CASE shop_id WHEN 'R' THEN NULL ELSE name END AS source_name,
+  (SELECT count(*) FROM shop_log s WHERE s.entity_key = o.identity_key AND s.shop_id = o.shop_id) AS entries
+FROM new_offers o""")
+def default_offers(i):
+    """Items of shop R are stored without offer and shop history: they get one of shop D with the item's price and history."""
+    s = stored(i)
+    price = i.listings.select(F.concat(F.lit("k"), F.col("p_partkey").cast("string"), "shop_id").alias("entity_key"), "latest_price")
+    bare = merge.Store(s.items.join(price, "entity_key"), s.aliases, s.offers.filter("shop_id <> 'R'"), s.history.filter("shop_id <> 'R'"))
+    out = merge.rekey(bare, RULES, default_shop="D")
+    entries = out.history.groupBy("entity_key", "shop_id").agg(F.count(F.lit(1)).alias("entries"))
+    return out.offers.drop("last_date").join(entries, ["entity_key", "shop_id"])
+
+
 @query("id4_merge_histories", f"WITH {STORED} SELECT entity_key, shop_id, date, price FROM shop_log UNION ALL SELECT entity_key, '*', date, price FROM item_log")
 def merge_histories(i):
     return merge.rekey(stored(i), RULES).history
