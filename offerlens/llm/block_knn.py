@@ -9,7 +9,8 @@ Traffic: a candidate is sent once per query block, a query once per candidate bl
 parameters, so tiles stay the same size whatever the tables hold.
 
 Defined results. Rows with a null id, and vectors that are null, empty, all zero or hold a null or non-finite number, take no
-part. Only vectors of equal length are compared. Equal scores go to the smaller id. Of repeated ids the best score counts, and a
+part. Components of any finite size are compared: tiles whose squares would leave the range of doubles are computed in full, and a score beyond that range
+is infinite. Only vectors of equal length are compared. Equal scores go to the smaller id. Of repeated ids the best score counts, and a
 query never meets rows of its own id. Fewer than k candidates give as many rows. Extra columns are ignored.
 """
 
@@ -23,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SMALLEST, LARGEST = 1e-140, 1e140  # of a vector's largest component: squares and products between stay in the range of doubles
 DIMENSIONS_AT_ONCE = 1_024  # a sum of so many products of int8 values is exact in float32
 PAIRS_AT_ONCE = 200_000
 
@@ -42,8 +44,36 @@ def _rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return codes, scale, np.linalg.norm(rounded, axis=1), np.linalg.norm(x - rounded, axis=1)
 
 
+def _exponents(x: np.ndarray) -> np.ndarray:
+    """Per row the power of two above its largest component."""
+    return np.frexp(np.abs(x).max(axis=1))[1]
+
+
+def _extreme(x: np.ndarray) -> bool:
+    largest = np.abs(x).max(axis=1)
+    return bool(largest.min() < SMALLEST or largest.max() > LARGEST)
+
+
+def _whole_tile(k: int, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """As `_tile`, for numbers whose squares leave the range of doubles: every pair in double precision, of vectors scaled by powers of two."""
+    up, across = _exponents(queries), _exponents(rows)
+    scaled = np.ldexp(rows, -across[:, None])
+    for query, vector, e in zip(query_ids.tolist(), np.ldexp(queries, -up[:, None]), up, strict=True):
+        with np.errstate(over="ignore", under="ignore"):
+            scores = np.ldexp(np.einsum("j,ij->i", vector, scaled), e + across)
+        best: dict[int, float] = {}
+        for score, row in zip(scores.tolist(), ids.tolist(), strict=True):
+            if row != query:
+                best[row] = max(best.get(row, -np.inf), score)
+        for negative, row in heapq.nsmallest(k, ((-score, row) for row, score in best.items())):
+            yield query, row, -negative
+
+
 def _tile(k: int, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """The k best (query, candidate, score) of each query within a tile."""
+    if _extreme(queries) or _extreme(rows):
+        yield from _whole_tile(k, query_ids, queries, ids, rows)
+        return
     qc, qs, ql, qe = _rounded(queries)
     cc, cs, cl, ce = _rounded(rows)
     product = np.zeros((len(queries), len(rows)), np.float64)
