@@ -199,7 +199,8 @@ def _near(token: Column) -> Column:
     allowed = allowed_distance(length)
 
     def close(term: Column) -> Column:
-        return (F.abs(F.length(term) - length) <= allowed) & (F.levenshtein(term, token["compact"]) <= allowed)
+        # With a limit only the cells of the distance table within it are filled.
+        return (F.abs(F.length(term) - length) <= allowed) & (F.call_function("levenshtein", term, token["compact"], allowed) >= 0)
 
     return (length > FUZZY_LIMITS[0][0]) & F.exists("terms", close)
 
@@ -268,7 +269,7 @@ def _near_documents(docs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def match_queries(docs: DataFrame, tokens: DataFrame, queries: DataFrame, mode: str = "AND", fuzzy: bool = False) -> DataFrame:
-    """(query_id, entity_key) of every match; `docs` is read twice, so it is best given written.
+    """(query_id, entity_key) of every match; `docs` is read several times, so its columns in use are written first.
 
     A token hits a document if the text contains its normalized or the compact text its compact form,
     or, if fuzzy, some term is near it. Any excluded token found (never fuzzily) rules the document out; a
@@ -278,6 +279,7 @@ def match_queries(docs: DataFrame, tokens: DataFrame, queries: DataFrame, mode:
     if mode not in ("AND", "OR"):
         raise ValueError(f"unknown mode: {mode}")
     plans = written(_query_plans(tokens, queries))
+    docs = written(docs.select("entity_key", "text", "compact_text", *(["terms"] if fuzzy else [])))
     return (_match_all if mode == "AND" else _match_any)(docs, plans, fuzzy)
 
 
@@ -298,7 +300,7 @@ def _match_all(docs: DataFrame, plans: DataFrame, fuzzy: bool) -> DataFrame:
         return (_contains(token) | _near(token)) if fuzzy else _contains(token)
 
     found = docs.join(pairs, "entity_key").join(plans, "query_id")
-    return found.filter(F.forall("include", hit) & ~F.exists("exclude", _contains)).select("query_id", "entity_key")
+    return found.filter(~F.exists("exclude", _contains) & F.forall("include", hit)).select("query_id", "entity_key")
 
 
 def _match_any(docs: DataFrame, plans: DataFrame, fuzzy: bool) -> DataFrame:
@@ -311,10 +313,15 @@ def _match_any(docs: DataFrame, plans: DataFrame, fuzzy: bool) -> DataFrame:
     tested = spread_join(index, chosen, ["gram"]).join(docs.select("entity_key", "text", "compact_text"), "entity_key")
     token = {"normalized": F.col("normalized"), "compact": F.col("compact")}
     hits = written(tested.filter(_contains(token)).select("normalized", "compact", "entity_key"))
-    wanted = spread_join(hits, asked.filter("NOT exclude"), ["normalized", "compact"]).select("query_id", "entity_key")
+    # A document's hits come together while they are few; its queries are then aggregated where they arise.
+    of_doc = hits.repartition("entity_key")
+    met = spread_join(of_doc, asked, ["normalized", "compact"]).select("query_id", "entity_key", "exclude")
     if fuzzy:
         near = _near_documents(docs, asked.filter("NOT exclude").select("compact"))
-        wanted = wanted.unionByName(near.join(asked.filter("NOT exclude"), "compact").select("query_id", "entity_key"))
-    wanted = wanted.distinct().unionByName(_all_documents(docs, plans.filter(F.size("include") == 0)))
-    out = spread_join(hits, asked.filter("exclude"), ["normalized", "compact"]).select("query_id", "entity_key").distinct()
-    return wanted.join(out, ["query_id", "entity_key"], "left_anti")
+        met = met.unionByName(near.join(asked.filter("NOT exclude"), "compact").select("query_id", "entity_key", "exclude"))
+    judged = met.groupBy("entity_key", "query_id").agg(F.max("exclude").alias("out"))
+    bare = plans.filter(F.size("include") == 0).select("query_id")
+    out = spread_join(hits, asked.join(bare, "query_id", "left_semi"), ["normalized", "compact"]).select("query_id", "entity_key").distinct()
+    others = _all_documents(docs, bare).join(out, ["query_id", "entity_key"], "left_anti")
+    # Queries without included tokens are only met by what they exclude.
+    return judged.filter("NOT out").select("query_id", "entity_key").unionByName(others)

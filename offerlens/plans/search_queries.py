@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from offerlens.functions.durable import written
 from offerlens.operators import listing_filters as lf
 from offerlens.operators import search, views
 from offerlens.operators.listing_filters import DetailFilter
@@ -73,7 +72,7 @@ need AS (SELECT query_id, count(*) FILTER (NOT exclude) AS n FROM tokens WHERE c
 def _match(i, **options):
     saved = saved_queries(i)
     columns = ("text", "compact_text", "terms") if options.get("fuzzy") else ("text", "compact_text")
-    return search.match_queries(written(balanced_docs(i, *columns)), search.parse_queries(saved), saved, **options)
+    return search.match_queries(balanced_docs(i, *columns), search.parse_queries(saved), saved, **options)
 
 
 @query("se3_match_queries", MATCH + "SELECT query_id, entity_key FROM per JOIN need USING (query_id) WHERE inc = n AND exc = 0")
@@ -83,7 +82,7 @@ def match_queries(i):
 
 @query("se3_match_queries_by_grams", MATCH + "SELECT query_id, entity_key FROM per JOIN need USING (query_id) WHERE inc = n AND exc = 0")
 def match_queries_by_grams(i):
-    """The same on documents that are folded as they are read, not written first."""
+    """The same on documents that are folded as they are read, in the tasks of the file."""
     saved = saved_queries(i)
     return search.match_queries(docs(i), search.parse_queries(saved), saved)
 

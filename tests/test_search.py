@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -68,3 +69,35 @@ def test_series_prefix_quirk(spark):
     got = df.select(lf.series_of(F.col("model_no"), F.col("name")).alias("s")).select(
         "s", lf.series_filter(F.col("s"), "P-").alias("prefix"), lf.series_filter(F.col("s"), "P-", exact=True).alias("exact")).collect()
     assert [tuple(r) for r in got] == [("P", True, True), ("PRB01", True, False), ("OP01", False, False), ("", False, False)]
+
+
+def _frames(spark):
+    rows = [(1, "RED GEAR", "red"), (2, "BLUE RING", "blue"), (3, "RED RING", "red")]
+    docs = search.build_search_docs(spark.createDataFrame(rows, "entity_key long, name string, model_no string").selectExpr("entity_key", "array(name, model_no) AS values"))
+    saved = spark.createDataFrame([(1, "red gear"), (2, "red -ring"), (3, "-gear"), (4, "blu ring")], "query_id long, query string")
+    return docs, saved
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_are_folded_once(spark):
+    docs, saved = _frames(spark)
+    found = search.match_queries(docs, search.parse_queries(saved), saved)
+    assert "PythonUDF" not in _plan(found) and "ArrowEvalPython" not in _plan(found)
+    assert {tuple(r) for r in found.select("query_id", "entity_key").collect()} == {(1, 1), (2, 1), (3, 2), (3, 3), (4, 2)}
+
+
+def test_any_judges_each_document_where_its_hits_are(spark):
+    docs, saved = _frames(spark)
+    found = search.match_queries(docs, search.parse_queries(saved), saved, mode="OR")
+    assert re.search(r"keys=\[entity_key#\d+L?, query_id#\d+L?\]", _plan(found)) and not re.search(r"hashpartitioning\(entity_key#\d+L?, query_id", _plan(found))
+    assert {tuple(r) for r in found.select("query_id", "entity_key").collect()} == {(1, 1), (1, 3), (2, 1), (3, 2), (3, 3), (4, 2), (4, 3)}
+
+
+def test_fuzzy_test_of_pairs_measures_within_the_limit(spark):
+    docs, saved = _frames(spark)
+    found = search.match_queries(docs, search.parse_queries(saved), saved, fuzzy=True)
+    assert re.search(r"levenshtein\((?:[^()]|\([^()]*\))*, (?:[^()]|\([^()]*\))*, CASE WHEN", found._jdf.queryExecution().analyzed().toString())
+    assert (1, 1) in {tuple(r) for r in found.select("query_id", "entity_key").collect()}
