@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from offerlens.functions.skew import measured_session
 from offerlens.plans.bindings import Inputs, with_bindings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,7 +18,7 @@ def query(name: str, oracle: str | None = None):
 
     def register(fn: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Inputs(spark, sf_dir))
+            return fn(Inputs(measured_session(spark), sf_dir))
 
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
