@@ -34,7 +34,9 @@ def nfkc(c: Column) -> Column:
 
 def nfkc_decoded(c: Column) -> Column:
     """Text with HTML entities decoded, then compatibility-normalised."""
-    out = _nfkc_decoded(F.regexp_replace(F.coalesce(c, F.lit("")), "&nbsp;", " "))
+    text = F.regexp_replace(F.coalesce(c, F.lit("")), "&nbsp;", " ")
+    # ASCII without numeric entities is its own folded form and never goes to Python.
+    out = F.coalesce(_nfkc_decoded(F.when(~text.rlike(r"^\p{ASCII}*$") | text.contains("&#"), text)), text)
     return F.replace(F.replace(out, F.lit("&amp;"), F.lit("&")), F.lit("&quot;"), F.lit('"'))
 
 

@@ -15,7 +15,7 @@ from offerlens.functions.ordered import with_max_before, with_place
 from offerlens.functions.skew import spread_join
 from offerlens.functions.unicode import nfkc
 from offerlens.operators import merge
-from offerlens.operators.identity import IdentityRules, parse_identities
+from offerlens.operators.identity import IdentityRules, parse_spellings
 from offerlens.operators.resolution import GATE_LIMITS, safety_gate, whole_block_candidates
 
 
@@ -163,7 +163,7 @@ def match_alias_members(store: merge.Store, groups: DataFrame, members: DataFram
         "canonical_id", "position", F.col("source_key").alias("entity_key"), "item_ordinal")
 
     rest = alias.join(by_key.select("canonical_id", "position"), ["canonical_id", "position"], "left_anti")
-    identities = parse_identities(rest.select("name", "model_no").distinct(), rules).select("name", "model_no", F.col("identity_key").alias("entity_key"))
+    identities = parse_spellings(rest, rules).select("name", "model_no", F.col("identity_key").alias("entity_key"))
     by_identity = rest.join(identities, ["name", "model_no"]).join(keys, "entity_key").select("canonical_id", "position", "entity_key", "item_ordinal")
 
     left = rest.join(by_identity.select("canonical_id", "position"), ["canonical_id", "position"], "left_anti").withColumn(
@@ -197,7 +197,7 @@ def apply_aliases(store: merge.Store, groups: DataFrame, members: DataFrame, sho
                   exclude: DataFrame | None = None) -> merge.Store:
     """Store in which each group's items are one item under the canonical id; best offers and order renewed."""
     # Read many times below; a table of keys only.
-    matched = checkpointed(match_alias_members(store, groups, members, rules))
+    matched = written(match_alias_members(store, groups, members, rules))
     key_map = matched.withColumnRenamed("canonical_id", "new_key")
     merged = merge.merge_store(store, key_map)
     first = store.items.join(key_map.select("entity_key", "new_key", F.col("ordinal").alias("place")), "entity_key").groupBy("new_key").agg(

@@ -16,7 +16,7 @@ from offerlens.functions.components import connected_components
 from offerlens.functions.durable import written
 from offerlens.functions.ordered import with_sum_before
 from offerlens.functions.unicode import nfkc
-from offerlens.operators.identity import IdentityRules, parse_identities
+from offerlens.operators.identity import IdentityRules, parse_spellings
 
 # Default labels and the first index of the second variant family.
 NORMAL_LABEL, OTHER_LABEL = "通常", "別イラスト"
@@ -44,8 +44,8 @@ def _finish_variants(rows: DataFrame, hashes: DataFrame, rules: IdentityRules, p
         F.min_by("signature", "prio").alias("looked_up"))
     hints = F.concat(*[F.when(nonblank(c).isNotNull(), F.concat(F.lit("【"), F.col(c), F.lit("】"))).otherwise("") for c in ("label", "hint_info")])
     hinted = rows.withColumn("hinted", F.concat(F.coalesce("card_name", F.lit("")), hints))
-    names = hinted.filter(F.col("index") != 0).select(F.col("hinted").alias("name"), F.col("card_number").alias("model_no")).distinct()
-    tags = parse_identities(names, rules).select(F.col("name").alias("hinted"), F.col("model_no").alias("card_number"), F.col("tags").alias("parsed"))
+    names = hinted.filter(F.col("index") != 0).select(F.col("hinted").alias("name"), F.col("card_number").alias("model_no"))
+    tags = parse_spellings(names, rules).select(F.col("name").alias("hinted"), F.col("model_no").alias("card_number"), F.col("tags").alias("parsed"))
     variant_id = variant_id_of(F.col("card_number"), F.col("index"))
     none = F.array().cast("array<string>")
     return hinted.join(found, "row_id", "left").join(tags, ["hinted", "card_number"], "left").select(
@@ -152,14 +152,15 @@ def provisional_variants(official: DataFrame, provisional: DataFrame, hashes: Da
     rows = provisional.withColumn("card_number", first_code(nfkc(F.coalesce("card_number", F.lit(""))), rules.code_pattern)).filter(
         F.col("card_number").isNotNull() & path.isNotNull()).withColumns({
             "source_url": F.coalesce("image_url", F.lit("")), "path": path, "fallback_path": path})
-    images = image_identities(rows, ["card_number", "seq"])
+    images = written(image_identities(rows, ["card_number", "seq"]))
     official_images = image_identities(official, ["card_number"]).distinct()
     known = images.join(official_images, ["card_number", "identity"], "left_semi").select("card_number", "seq").distinct()
     open_images = images.join(known, ["card_number", "seq"], "left_anti")
     bare = rows.select("card_number", "seq").join(images.select("card_number", "seq").distinct(), ["card_number", "seq"], "left_anti")
-    accepted = accept_first_images(open_images).unionByName(bare)
+    # The places are counted in steps that read their rows twice each, so these are written.
+    accepted = written(accept_first_images(open_images).unionByName(bare))
 
-    used = official.groupBy("card_number", "variant_index").agg(F.lit(1).alias("one"))
+    used = written(official.groupBy("card_number", "variant_index").agg(F.lit(1).alias("one")))
     numbers = used.select("card_number").distinct().withColumn("official", F.lit(True))
     placed = with_sum_before(accepted.withColumn("one", F.lit(1)), ["card_number"], "seq", "one", "before").join(numbers, "card_number", "left")
     # Number of the free positive index wanted; 0 is the primary row of a number without official ones.
@@ -168,7 +169,7 @@ def provisional_variants(official: DataFrame, provisional: DataFrame, hashes: Da
     # A used index u with s smaller used ones lies before the n-th free index iff u - s - 1 < n.
     events = positive.select("card_number", ((F.col("variant_index") - F.col("smaller") - 1) * 2 + 1).cast("long").alias("at"), F.lit(1).alias("is_used"), F.lit(None).cast("long").alias("seq")).unionByName(
         placed.select("card_number", (F.col("nth") * 2).cast("long").alias("at"), F.lit(0).alias("is_used"), F.col("seq").cast("long").alias("seq")))
-    free = with_sum_before(events, ["card_number"], "at", "is_used", "skipped").filter(F.col("seq").isNotNull()).select(
+    free = with_sum_before(written(events), ["card_number"], "at", "is_used", "skipped").filter(F.col("seq").isNotNull()).select(
         "card_number", "seq", (F.col("at") / 2 + F.col("skipped")).cast("int").alias("index"))
     made = rows.join(free, ["card_number", "seq"]).select(
         F.concat_ws("|", "card_number", F.col("seq").cast("string")).alias("row_id"), "card_number", "index",
@@ -188,9 +189,9 @@ def catalog_summary(cards: DataFrame, manifest: DataFrame, provisional: DataFram
 
 
 def catalog_snapshot(official: DataFrame, provisional: DataFrame) -> DataFrame:
-    """All variants ordered by number (digits as numbers), then index."""
+    """All variants ordered by number (digits as numbers), then index. Ordering reads its rows twice, so they are written."""
     number = F.col("card_number")
-    return official.unionByName(provisional).orderBy(
+    return written(official.unionByName(provisional)).orderBy(
         F.regexp_extract(number, r"^(\D*)", 1), F.regexp_extract(number, r"^\D*(\d+)", 1).try_cast("int"),
         F.regexp_extract(number, r"(\d+)$", 1).try_cast("int"), "variant_index", "variant_key")
 
@@ -202,7 +203,7 @@ def price_index(items: DataFrame, offers: DataFrame, hashes: DataFrame, rules: I
     hashes(entry_id, hash). entry_id is the item's ordinal.
     """
     named = items.withColumns({"name": F.coalesce("name", F.lit("")), "model_no": F.coalesce("model_no", F.lit(""))})
-    parsed = parse_identities(named.select("name", "model_no").distinct(), rules).filter(F.col("model_code") != "")
+    parsed = parse_spellings(named, rules).filter(F.col("model_code") != "")
     key = F.coalesce(nonblank("canonical_id"), nonblank("entity_key"), F.concat_ws("_", "name", "model_no"))
     keyed = named.join(parsed, ["name", "model_no"]).select(
         F.col("ordinal").alias("entry_id"), "entity_key", key.alias("price_key"), F.col("model_code").alias("card_number"), "tags",

@@ -91,7 +91,12 @@ def _token_tags(tokens: Column, rules: IdentityRules) -> Column:
 
     def consumed(token: Column) -> Column:
         start = F.struct(token.alias("rest"), none.alias("tags"))
-        return F.struct(token.alias("token"), (F.aggregate(table, start, step) if rules.tokens else start).alias("state"))
+        state = start
+        if rules.tokens:
+            # A constant pattern is compiled once, one from the table per token: most tokens match no rule and skip the fold.
+            known = F.array_contains(F.array(*[token.rlike(r.pattern) for r in rules.tokens]), True)
+            state = F.when(F.coalesce(known, F.lit(False)), F.aggregate(table, start, step)).otherwise(start)
+        return F.struct(token.alias("token"), state.alias("state"))
 
     def leftover(x: Column) -> Column:
         return F.struct(x["token"].alias("token"), x["state"]["tags"].alias("tags"), plain_token(x["state"]["rest"]).alias("left"))
@@ -164,11 +169,17 @@ def parse_identities(names: DataFrame, rules: IdentityRules) -> DataFrame:
     ).drop("_n", "_m", "_outside", "_tail", "_base", "_lead")
 
 
+def parse_spellings(names: DataFrame, rules: IdentityRules) -> DataFrame:
+    """Identity of each distinct (name, model_no).
+
+    A fixed partition count keeps the parsing spread although the spellings are few bytes. The columns are in another order than those of the
+    grouping before, as Spark leaves out a repartitioning like the one that it has and then merges the small partitions.
+    """
+    width = max(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), names.sparkSession.sparkContext.defaultParallelism)
+    return parse_identities(names.select("name", "model_no").distinct().repartition(width, "model_no", "name"), rules)
+
+
 def resolve_identity(listings: DataFrame, rules: IdentityRules) -> DataFrame:
     """Listings with their identity; each spelling is parsed once, then joined back to its listings."""
     named = listings.withColumns({"name": F.coalesce("name", F.lit("")), "model_no": F.coalesce("model_no", F.lit(""))})
-    # A fixed partition count keeps the parsing spread although the spellings are few bytes.
-    width = max(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), named.sparkSession.sparkContext.defaultParallelism)
-    spellings = named.select("name", "model_no").distinct().repartition(width, "name", "model_no")
-    parsed = parse_identities(spellings, rules)
-    return spread_join(named, parsed, ["name", "model_no"])
+    return spread_join(named, parse_spellings(named, rules), ["name", "model_no"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions.columns import CODE_PATTERN, nonblank
-from offerlens.functions.durable import checkpointed, written
+from offerlens.functions.durable import written
 from offerlens.functions.ordered import with_max_before
 from offerlens.operators import history as hist
 from offerlens.operators import offers as off
@@ -158,7 +158,7 @@ def identity_key_map(items: DataFrame, rules: IdentityRules) -> DataFrame:
 
 def with_default_offers(store: Store, shop_id: str) -> Store:
     """Items stored without any offer get one of the given shop, with the item's own price and history."""
-    bare = store.items.join(store.offers.select("entity_key"), "entity_key", "left_anti")
+    bare = written(store.items.join(store.offers.select("entity_key"), "entity_key", "left_anti"))
     price = F.coalesce("latest_price", F.lit(0)).cast("long") if "latest_price" in store.items.columns else F.lit(0).cast("long")
     made = bare.select("entity_key", F.lit(shop_id).alias("shop_id"), price.alias("latest_price"), "image_url")
     own = store.history.filter(F.col("shop_id") == "*").join(bare.select("entity_key"), "entity_key", "left_semi").withColumn("shop_id", F.lit(shop_id))
@@ -170,7 +170,7 @@ def rekey(store: Store, rules: IdentityRules, default_shop: str | None = None) -
     if default_shop is not None:
         store = with_default_offers(store, default_shop)
     # The key map is read by every table of the store; names are parsed once.
-    return merge_store(store, checkpointed(identity_key_map(store.items, rules)))
+    return merge_store(store, written(identity_key_map(store.items, rules)))
 
 
 def _split(df: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -210,7 +210,11 @@ def rekey_changed(store: Store, rules: IdentityRules, touched: DataFrame | None
 
 
 def finish_store(store: Store, shops: DataFrame, exclude: DataFrame | None = None) -> Store:
-    """Best offers recomputed (histories merged), items without any priced offer dropped. A sink orders the items (`order_canonical`)."""
+    """Best offers recomputed (histories merged), items without any priced offer dropped. A sink orders the items (`order_canonical`).
+
+    Items, offers and histories are read several times: they are written once instead of being merged again.
+    """
+    store = Store(written(store.items), store.aliases, written(store.offers), written(store.history))
     item_log = store.history.filter(F.col("shop_id") == "*").select("entity_key", "date", "price")
     of_shops = store.history.filter(F.col("shop_id") != "*")
     refreshed, log = off.refresh_best(store.items, store.offers, of_shops, item_log, shops, exclude, "merge")

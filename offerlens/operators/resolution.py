@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.functions.columns import nonblank, round_half_up
-from offerlens.functions.durable import checkpointed, written
+from offerlens.functions.durable import written
 from offerlens.functions.skew import spread_join
 from offerlens.functions.unicode import nfkc
 from offerlens.operators import history as hist
@@ -78,11 +78,11 @@ def top_k_per_block(records: DataFrame, k: int = 8) -> DataFrame:
 def review_records(records: DataFrame, k: int = 8) -> DataFrame:
     """Records to review: the top k of every qualifying block.
 
-    The records are read twice, so they are written once instead of parsing all names again.
+    The records are read twice, so they are written once instead of parsing all names again; the blocks take three columns of them.
     """
-    records = checkpointed(records)
+    records = written(records)
     # Written again, so that the join may split a hot block and each task keeps k of it before the window's shuffle.
-    return top_k_per_block(checkpointed(records.join(candidate_blocks(records), BLOCK, "left_semi")), k)
+    return top_k_per_block(written(records.join(candidate_blocks(records), BLOCK, "left_semi")), k)
 
 
 def block_facts(records: DataFrame) -> DataFrame:

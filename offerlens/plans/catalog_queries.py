@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from offerlens.functions.durable import checkpointed
+from offerlens.functions.durable import checkpointed, written
 from offerlens.operators import catalog as cat
 from offerlens.operators import collection as col
 from offerlens.plans.identity_queries import RULES
@@ -99,7 +99,7 @@ def catalog_snapshot(i):
     rows = i.parts.select(
         F.col("code").alias("card_number"), F.col("p_partkey").alias("seq"), F.lit("x").alias("card_name"), F.concat(F.lit("solo/q"), text("p_partkey")).alias("image_path"),
         F.lit("").alias("image_url"), F.lit("").alias("series_title"), F.lit("").alias("get_info"))
-    off = official(i)
+    off = written(official(i))
     no_hashes = i.img_vectors.select("url", F.lit("").alias("signature"))
     return cat.catalog_snapshot(off, cat.provisional_variants(off, rows, no_hashes, RULES)).select("variant_key", "variant_index", "provisional")
 

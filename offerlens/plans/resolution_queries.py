@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from offerlens.functions.durable import checkpointed
+from offerlens.functions.durable import written
 from offerlens.operators import aliases as al
 from offerlens.operators import merge
 from offerlens.operators import resolution as er
@@ -41,9 +41,15 @@ def candidates(i):
     return er.build_candidates(records(i), signatures(i), SHOP_ORDER)
 
 
-def written_candidates(i):
+def written_candidates(i, found=None):
     """The candidates as the later jobs read them: from a written table."""
-    return checkpointed(candidates(i))
+    return written(er.build_candidates(records(i) if found is None else found, signatures(i), SHOP_ORDER))
+
+
+def with_candidates(i):
+    """(candidates, records) where both are read: the names are parsed once."""
+    found = written(records(i))
+    return written_candidates(i, found), found
 
 
 ER = """
@@ -190,7 +196,8 @@ def alias_groups_from(i):
 SELECT canonical_id, shop_id, source_key FROM old_members WHERE batch <> 'now'
 UNION ALL SELECT g.canonical_id, t.shop_id, t.source_key FROM gated g JOIN reviewed USING (candidate_id) JOIN tagged t USING (model_code, signature)""")
 def whole_block_groups(i):
-    return al.alias_groups_from(written_candidates(i), i.reviewed, *stored_groups(i), "now", records(i))[1].select("canonical_id", "shop_id", "source_key")
+    made, found = with_candidates(i)
+    return al.alias_groups_from(made, i.reviewed, *stored_groups(i), "now", found)[1].select("canonical_id", "shop_id", "source_key")
 
 
 @query("er7_block_facts", f"""WITH {ER}
@@ -205,7 +212,7 @@ def block_facts(i):
 SELECT candidate_id, round(name_score, 6) AS name_score, score, shops, total AS total_records, lo AS min_price, hi AS max_price, risk_level, conflict FROM gated""")
 def whole_block_score(i):
     """Name score, score and risk of every candidate block from all its records."""
-    whole = er.whole_block_candidates(written_candidates(i), records(i), signatures(i))
+    whole = er.whole_block_candidates(*with_candidates(i), signatures(i))
     return whole.select("candidate_id", F.round("block_name_score", 6).alias("name_score"), "score", F.col("shops").cast("long").alias("shops"), F.col("total_records").cast("long").alias("total_records"),
                         "min_price", "max_price", "risk_level", F.col("condition_conflict").alias("conflict"))
 
@@ -213,7 +220,7 @@ def whole_block_score(i):
 @query("er6_whole_block_images", f"WITH {WHOLE} SELECT candidate_id, image_min, image_max FROM gated WHERE image_pairs > 0")
 def whole_block_images(i):
     """Image extremes of every candidate block from all its records."""
-    return er.whole_block_candidates(written_candidates(i), records(i), signatures(i)).filter("image_pairs > 0").select("candidate_id", "image_min", "image_max")
+    return er.whole_block_candidates(*with_candidates(i), signatures(i)).filter("image_pairs > 0").select("candidate_id", "image_min", "image_max")
 
 
 @query("er13_gated_groups", f"""WITH {WHOLE}, {BASE_GROUPS}
@@ -221,7 +228,8 @@ SELECT canonical_id, shop_id, source_key FROM old_members WHERE batch <> 'now'
 UNION ALL SELECT g.canonical_id, t.shop_id, t.source_key FROM gated g JOIN reviewed USING (candidate_id) JOIN tagged t USING (model_code, signature) WHERE g.reasons = ''""")
 def gated_groups(i):
     """Groups of the reviewed blocks that the gate, over all their records, finds safe."""
-    return al.alias_groups_from(written_candidates(i), i.reviewed, *stored_groups(i), "now", records(i), signatures(i))[1].select("canonical_id", "shop_id", "source_key")
+    made, found = with_candidates(i)
+    return al.alias_groups_from(made, i.reviewed, *stored_groups(i), "now", found, signatures(i))[1].select("canonical_id", "shop_id", "source_key")
 
 
 @query("er13_review_violations", f"""WITH {ER}, {BASE_GROUPS}
@@ -285,7 +293,7 @@ def alias_store(i):
     members = e.filter("vtag = 'serial'").join(groups.select(F.col("position").alias("p_partkey"), F.col("canonical_id").alias("group_id")), "p_partkey").select(
         F.col("group_id").alias("canonical_id"), F.when(F.col("shop_id") == "A", 0).when(F.col("shop_id") == "N", 1).otherwise(2).alias("position"), "shop_id",
         F.when(F.col("shop_id") == "A", F.col("source_key")).otherwise("gone").alias("source_key"), F.col("er_name").alias("name"), "model_no")
-    return merge.Store(items, aliases, offers, log), groups, members
+    return merge.Store(items, aliases, offers, written(log)), groups, members
 
 
 @query("er16_apply_aliases", """
