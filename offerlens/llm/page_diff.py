@@ -4,9 +4,13 @@ Pages are ordered by host and URL path, and cut into blocks of neighbours; a hos
 paired with the one whose path shares the longest beginning. Both are read as lines (the text of their blocks), the lines
 are aligned by a longest common subsequence, and lines they share are deleted: menus, notices and footers repeat, the article does not.
 
-What markup says goes before: scripts, forms, navigation and parts named as adverts, comments, notices and the like are left out, and where a page marks its
-article, that part is the text, found row by row. Lines within a marked article are not deleted or used to delete others, because
-sentences and whole articles do repeat between pages. Where only an element named as content is marked, its lines are differenced like those of a whole page.
+What markup says goes before: scripts, forms, navigation and parts named as adverts, comments, notices and the like are left out. All lines that are left, of
+every page, are aligned. Where a page marks articles, the lines that survive say which of them is its own: the one with a first-level heading or, of several, with
+the most text that its neighbour does not have. The page's text is that article whole, with the lines it shares, because sentences do repeat between articles; all
+around it is deleted. Where only an element named as content is marked, its lines are differenced like those of a whole page without marks; neither is differenced by the article
+of a neighbour.
+
+For the alignment only fingerprints of the lines travel; the texts meet the runs of lines that are kept once.
 
 A neighbour that is a copy shows nothing; then the next nearest of the block is used, or none. How much of a page is shared tells nothing about copies, because
 menus and notices may outweigh any article; what stands on few pages of the block does (see `_is_copy`).
@@ -18,6 +22,7 @@ everything up to its start tag. Extra columns are ignored; an empty table gives
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import re
@@ -28,7 +33,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from offerlens.functions.durable import checkpointed
 
@@ -163,18 +168,6 @@ def read_lines(page: str) -> list[Line]:
     return lines
 
 
-def marked(lines: list[Line]) -> list[Line] | None:
-    """The lines of the marked article: with a first-level heading, else the longest; None if none is marked."""
-    length: dict[int, int] = {}
-    for line in lines:
-        if line.article:
-            length[line.article] = length.get(line.article, 0) + len(line.text) + (1 << 40) * line.heading
-    if length:
-        best = max(length, key=lambda a: (length[a], -a))
-        return [line for line in lines if line.article == best]
-    return None
-
-
 def _mask(places: list[int]) -> int:
     """A whole number with the bits of these places."""
     if len(places) == 1:
@@ -243,47 +236,90 @@ def _near(a: str, b: str) -> int:
     return n
 
 
-def _is_copy(own: list[str], shared: list[bool], same: bool, pages: dict[str, int], n: int) -> bool:
+def _is_copy(own: list[int], shared: list[bool], sizes: dict[int, int], pages: Counter[int], n: int) -> bool:
     """Whether the neighbour that shares these lines is a copy; `pages` counts the pages of the block (n in all) that hold a line.
 
-    Copies have the same lines, or share most of the lines that stand on at most two pages, or nearly all of those that stand on at most half of
+    Copies share most of the lines that stand on at most two pages, or nearly all of those that stand on at most half of
     the block. Of two pages alone, only nearly all lines can tell.
     """
-    if same:
-        return True
 
     def part(most: float) -> float:
-        size = sum(len(t) for t in own if pages[t] <= most)
-        return sum(len(t) for t, s in zip(own, shared, strict=True) if s and pages[t] <= most) / size if size else 0.0
+        size = sum(sizes[t] for t in own if pages[t] <= most)
+        return sum(sizes[t] for t, s in zip(own, shared, strict=True) if s and pages[t] <= most) / size if size else 0.0
 
     return part(max(2, n / 2)) >= NEARLY_ALL or (n > 2 and part(2) > COPY_SHARE)
 
 
-def block_texts(paths: list[str], lines: list[list[str]], open_pages: list[bool], inside: list[list[bool] | None] | None = None) -> list[str | None]:
-    """Main texts of the open pages among neighbours of one host, in URL order: their lines without those shared with the nearest page.
-
-    `inside` marks the lines in a page's content element, where it has one; only these are its text.
-    """
-    out: list[str | None] = []
-    sets = [set(page) for page in lines]
-    pages: dict[str, int] = {}
-    for held in sets:
-        for line in held:
-            pages[line] = pages.get(line, 0) + 1
-    for k, own in enumerate(lines):
-        if not open_pages[k]:
-            out.append(None)
-            continue
-        if inside and inside[k]:
-            own = [t for t, i in zip(own, inside[k], strict=True) if i]
-        kept = own
-        for other in sorted((j for j in range(len(lines)) if j != k), key=lambda j: (-_near(paths[k], paths[j]), abs(j - k), j)):
-            shared = common(own, lines[other])
-            if not _is_copy(own, shared, open_pages[other] and sets[k] == sets[other], pages, len(lines)):
-                kept = [t for t, s in zip(own, shared, strict=True) if not s]
-                break
-        out.append(" ".join(kept))
-    return out
+@dataclass
+class Page:
+    """A page among its neighbours: fingerprint, length, article number and content mark of each line, and the articles of its first-level headings."""
+
+    path: str
+    lines: list[int]
+    sizes: list[int]
+    articles: list[int]
+    inside: list[bool] | None
+    headings: list[int]
+
+
+def _difference(k: int, own: list[int], paths: list[str], lines: list[list[int]], sizes: dict[int, int], same: list[bool], pages: Counter[int]) -> list[bool]:
+    """Which of the page's own lines the nearest neighbour shares that is no copy (see `_is_copy`); none without such a neighbour. `same` marks neighbours with the same lines."""
+    held = set(own)
+    for other in sorted((j for j in range(len(lines)) if j != k and not same[j]), key=lambda j: (-_near(paths[k], paths[j]), abs(j - k), j)):
+        shared = [False] * len(own) if held.isdisjoint(lines[other]) else common(own, lines[other])
+        if not _is_copy(own, shared, sizes, pages, len(lines)):
+            return shared
+    return [False] * len(own)
+
+
+def own_article(page: Page, shared: list[bool]) -> int:
+    """The marked article that is the page's own: with first-level headings, then with most text that is not shared, then the longest and first."""
+    own: Counter[int] = Counter()
+    whole: Counter[int] = Counter()
+    for article, size, s in zip(page.articles, page.sizes, shared, strict=True):
+        if article:
+            whole[article] += size
+            own[article] += 0 if s else size
+    return max(whole, key=lambda a: (page.headings.count(a), own[a], whole[a], -a))
+
+
+def block_kept(block: list[Page]) -> list[list[int]]:
+    """Places of the lines that make the main text of each page among neighbours of one host, in URL order."""
+    paths, n = [page.path for page in block], len(block)
+    sizes = {line: size for page in block for line, size in zip(page.lines, page.sizes, strict=True)}
+    lines = [page.lines for page in block]
+    sets = [set(held) for held in lines]
+    pages = Counter(line for held in sets for line in held)
+    chosen = [0] * n
+    for k, page in enumerate(block):
+        if any(page.articles):
+            shared = _difference(k, page.lines, paths, lines, sizes, [sets[j] == sets[k] for j in range(n)], pages)
+            chosen[k] = own_article(page, shared)
+    kept = [[at for at, article in enumerate(page.articles) if article == best] if best else [] for page, best in zip(block, chosen, strict=True)]
+    if all(chosen):
+        return kept
+    # Pages without mark: articles of others delete none of their lines.
+    lines = [[line for line, article in zip(page.lines, page.articles, strict=True) if not best or article != best] for page, best in zip(block, chosen, strict=True)]
+    sets = [set(held) for held in lines]
+    pages = Counter(line for held in sets for line in held)
+    for k, page in enumerate(block):
+        if not chosen[k]:
+            at = [place for place in range(len(page.lines)) if not page.inside or page.inside[place]]
+            same = [not chosen[j] and sets[j] == sets[k] for j in range(n)]
+            shared = _difference(k, [page.lines[place] for place in at], paths, lines, sizes, same, pages)
+            kept[k] = [place for place, s in zip(at, shared, strict=True) if not s]
+    return kept
+
+
+def _runs(places: list[int]) -> list[tuple[int, int]]:
+    """(first, number) of each run of neighbouring places."""
+    runs: list[tuple[int, int]] = []
+    for place in places:
+        if runs and place == sum(runs[-1]):
+            runs[-1] = (runs[-1][0], runs[-1][1] + 1)
+        else:
+            runs.append((place, 1))
+    return runs
 
 
 def _blocks(keys: DataFrame) -> DataFrame:
@@ -301,26 +337,34 @@ def _blocks(keys: DataFrame) -> DataFrame:
     return joined.withColumn("block", F.least(F.floor(F.col("place") / BLOCK_PAGES), last)).drop("part", "row", "first", "start", "pages")
 
 
-def _parsed(rows: DataFrame) -> DataFrame:
-    """Rows of (..., page) with `text` instead of the page where markup shows the article, else null, and the lines to align:
-    all of a page without marked article (`inside` tells those of its content element, null without one), those around the article of the others."""
+FINGERPRINTS = {
+    "lines": ("array<long>", pa.list_(pa.int64())), "sizes": ("array<int>", pa.list_(pa.int32())), "articles": ("array<int>", pa.list_(pa.int32())),
+    "inside": ("array<boolean>", pa.list_(pa.bool_())), "headings": ("array<int>", pa.list_(pa.int32())),
+}
+
+
+def _fingerprints(lines: list[Line]) -> dict[str, list | None]:
+    return {
+        "lines": [int.from_bytes(hashlib.blake2b(line.text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for line in lines],
+        "sizes": [len(line.text) for line in lines],
+        "articles": [line.article for line in lines],
+        "inside": [line.container for line in lines] if any(line.container for line in lines) else None,
+        "headings": [line.article for line in lines if line.article and line.heading],
+    }
+
+
+def _parsed(rows: DataFrame, columns: dict[str, tuple[str, pa.DataType]], read) -> DataFrame:
+    """Rows of (..., page) with these columns of read(lines) instead of the page."""
     names = [c for c in rows.columns if c != "page"]
-    schema = StructType([*[rows.schema[c] for c in names], StructField("text", StringType()), StructField("lines", ArrayType(StringType())), StructField("inside", ArrayType(BooleanType()))])
+    schema = StructType([*[rows.schema[c] for c in names], *StructType.fromDDL(", ".join(f"{c} {kind}" for c, (kind, _) in columns.items()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
-                texts, others, held = [], [], []
-                for page in part.column(part.schema.get_field_index("page")).to_pylist():
-                    lines = read_lines(page)
-                    own = marked(lines)
-                    texts.append(None if own is None else " ".join(line.text for line in own))
-                    inside = set(map(id, own or ()))
-                    others.append([line.text for line in lines if id(line) not in inside])
-                    held.append([line.container for line in lines] if own is None and any(line.container for line in lines) else None)
-                columns = [part.column(part.schema.get_field_index(c)) for c in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(others, pa.list_(pa.string())), pa.array(held, pa.list_(pa.bool_()))], names=schema.names)
+                found = [read(read_lines(page)) for page in part.column(part.schema.get_field_index("page")).to_pylist()]
+                made = [pa.array([f[c] for f in found], t) for c, (_, t) in columns.items()]
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in names], *made], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -333,27 +377,31 @@ def main_texts(pages: DataFrame, row_id: str = "page_id", url: str = "url", page
         F.lower(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(address, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
     ).withColumn("print", F.xxhash64("page"))
-    parsed = _parsed(rows)
     blocks = _blocks(rows.select("host", "path", "row_id", "url", "print").distinct())
-    placed = blocks.select(*[F.col(c).alias(f"_{c}") for c in ("row_id", "url", "print")], "block", "place")
-    same = (parsed["print"] == placed["_print"]) & parsed["row_id"].eqNullSafe(placed["_row_id"]) & parsed["url"].eqNullSafe(placed["_url"])
-    # Only lines travel here, and of pages with a marked article only those around it.
+    placed = blocks.select(*[F.col(c).alias(f"_{c}") for c in ("row_id", "url", "print")], "host", "path", "block", "place")
+
+    def same(df: DataFrame, other: DataFrame):
+        return (df["print"] == other["_print"]) & df["row_id"].eqNullSafe(other["_row_id"]) & df["url"].eqNullSafe(other["_url"])
+
+    keys = ("row_id", "url", "print")
+    lines = _parsed(rows.select(*keys, "page"), FINGERPRINTS, _fingerprints)
     ready = (
-        parsed.join(placed, same).select("host", "block", "place", "path", "row_id", "url", "lines", "inside", F.col("text").isNull().alias("open"))
+        lines.join(placed, same(lines, placed)).select("host", "block", "place", "path", *keys, *FINGERPRINTS)
         .repartition("host", "block").sortWithinPartitions("host", "block", "place")
     )
+    kind = rows.schema["row_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, id_type = None, [], None
+        now, held, id_type = None, {}, None
 
         def done() -> pa.RecordBatch:
-            once = {row["place"]: row for row in held}  # repeated rows share a place
-            places = sorted(once)
-            texts = dict(zip(places, block_texts(*([once[p][c] for p in places] for c in ("path", "lines", "open", "inside"))), strict=True))
-            out = [r for r in held if r["open"]]
+            out = list(held.values())  # repeated rows share a place
+            kept = block_kept([Page(row["path"], *(row[c] for c in FINGERPRINTS)) for row in out])
+            runs = [[{"first": first, "n": n} for first, n in _runs(places)] for places in kept]
             return pa.RecordBatch.from_arrays(
-                [pa.array([r["row_id"] for r in out], id_type), pa.array([r["url"] for r in out], pa.string()), pa.array([texts[r["place"]] for r in out], pa.string())],
-                names=["row_id", "url", "text"],
+                [pa.array([r["row_id"] for r in out], id_type), pa.array([r["url"] for r in out], pa.string()), pa.array([r["print"] for r in out], pa.int64()),
+                 pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())])))],
+                names=["_row_id", "_url", "_print", "runs"],
             )
 
         for batch in batches:
@@ -363,10 +411,14 @@ def main_texts(pages: DataFrame, row_id: str = "page_id", url: str = "url", page
                     if (row["host"], row["block"]) != now:
                         if held:
                             yield done()
-                        now, held = (row["host"], row["block"]), []
-                    held.append(row)
+                        now, held = (row["host"], row["block"]), {}
+                    held.setdefault(row["place"], row)
         if held:
             yield done()
 
-    kind = rows.schema["row_id"].dataType.simpleString()
-    return parsed.filter("text IS NOT NULL").select("row_id", "url", "text").unionByName(ready.mapInArrow(run, f"row_id {kind}, url string, text string"))
+    kept = ready.mapInArrow(run, f"_row_id {kind}, _url string, _print long, runs array<struct<first:int,n:int>>")
+    # Lines hold no line feeds.
+    whole = _parsed(rows.select(*keys, "page"), {"text": ("string", pa.string())}, lambda lines: {"text": "\n".join(line.text for line in lines)})
+    split = F.array(F.split("text", "\n"))  # bound by a transform, so that a text is split once
+    text = F.transform(split, lambda lines: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(lines, r["first"] + 1, r["n"]))), " "))
+    return whole.join(kept, same(whole, kept)).select("row_id", "url", text[0].alias("text"))

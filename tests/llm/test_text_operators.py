@@ -328,6 +328,22 @@ def test_pages_whose_menus_outweigh_the_article(spark):
         assert text[f"http://c/{k}"] == (f"Short news {0 if k < 2 else k}. More of it, {0 if k < 2 else k}. #{k}")
 
 
+def test_alignment_chooses_among_marked_articles(spark):
+    teaser = "<article><p>The long teaser of the host that stands on every page, below or above the news.</p><p>Its second line.</p></article>"
+    news = lambda k: f"<article><p>News {k}.</p><p>Said by all.</p><p>End {k}.</p></article>"
+    bodies = {f"http://a/{k}": teaser + news(k) if k % 2 else news(k) + teaser for k in range(5)}
+    # A first-level heading still decides, and an only article is whole although its neighbour has the same lines.
+    bodies |= {f"http://b/{k}": teaser.replace("<p>The", f"<h1>Head</h1><p>{k} the") + news(k) for k in range(3)}
+    bodies |= {f"http://c/{k}": f"<article><p>Said by all.</p><p>Only {k}.</p></article>" for k in range(3)}
+    rows = [(url, f"<html><body>{body}</body></html>") for url, body in bodies.items()] + [("http://a/1", f"<html><body>{bodies['http://a/1']}</body></html>")]
+    out = page_diff.main_texts(spark.createDataFrame(rows, "url string, html string"), row_id="url").collect()
+    text = {r["url"]: r["text"] for r in out}
+    assert len(out) == len(rows)
+    assert [text[f"http://a/{k}"] for k in range(5)] == [f"News {k}. Said by all. End {k}." for k in range(5)]
+    assert all(text[f"http://b/{k}"].startswith(f"Head {k} the long teaser") for k in range(3))
+    assert [text[f"http://c/{k}"] for k in range(3)] == [f"Said by all. Only {k}." for k in range(3)]
+
+
 def test_page_query_against_the_marked_article(spark):
     pages = {r["page_id"]: r["html"] for r in queries.table(spark, SF, "pages").collect()}
     rows = queries.QUERIES["op5_page_diff"](spark, SF).collect()
