@@ -32,7 +32,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder: no lineage, and later reads take only the columns they need."""
+    """The same rows as a Parquet table in the shared folder: no lineage, and later reads take only the columns they need.
+
+    A table that this function has returned is not written again.
+    """
+    if vars(df).get("_written"):
+        return df
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = True
+    return out

@@ -65,8 +65,10 @@ class IdentityRules:
 
 def plain_token(c: Column) -> Column:
     """Comparison form of an unknown token: lower case without spaces, signs and affixes."""
-    c = F.regexp_replace(F.lower(c), UNKNOWN_SIGNS, "")
-    return F.regexp_replace(F.replace(c, F.lit(LONG_VOWEL), F.lit("")), UNKNOWN_AFFIXES, "")
+    bare = F.regexp_replace(F.lower(c), UNKNOWN_SIGNS, "")
+    # ASCII letters and digits hold none of these: most tokens need no pattern of Unicode classes.
+    return F.when(~c.rlike("[^A-Za-z0-9]"), F.lower(c)).otherwise(
+        F.regexp_replace(F.replace(bare, F.lit(LONG_VOWEL), F.lit("")), UNKNOWN_AFFIXES, ""))
 
 
 def _with_group(pattern: str) -> str:
@@ -156,7 +158,8 @@ def parse_identities(names: DataFrame, rules: IdentityRules) -> DataFrame:
         lambda b: F.split(F.substring(b, F.lit(2), F.length(b) - 2), TOKEN_SEPARATORS)))
     tail = F.transform(F.regexp_extract_all("_tail", F.lit(f"({phrases})")), lambda t: F.regexp_replace(t, "^※", ""))
     tokens = F.concat(inside, F.split(F.regexp_replace("_m", BRACKETS, " "), "※"), tail, F.array("_lead"))
-    cleaned = F.transform(tokens, lambda t: F.regexp_replace(F.regexp_replace(t, code, " "), trimmed, ""))
+    # An empty token, such as what a bare code leaves behind, yields no tag.
+    cleaned = F.filter(F.transform(tokens, lambda t: F.regexp_replace(F.regexp_replace(t, code, " "), trimmed, "")), lambda t: ~t.eqNullSafe(""))
     tags = F.array_distinct(F.flatten(_token_tags(cleaned, rules)))
     tags = F.filter(apply_tag_interactions(tags, rules.interactions), lambda t: ~t.isin(*rules.marks))
     for prefix, pattern in rules.redundant_tags:
@@ -181,5 +184,20 @@ def parse_spellings(names: DataFrame, rules: IdentityRules) -> DataFrame:
 
 def resolve_identity(listings: DataFrame, rules: IdentityRules) -> DataFrame:
     """Listings with their identity; each spelling is parsed once, then joined back to its listings."""
-    named = listings.withColumns({"name": F.coalesce("name", F.lit("")), "model_no": F.coalesce("model_no", F.lit(""))})
+    named = _spelled(listings)
     return spread_join(named, parse_spellings(named, rules), ["name", "model_no"])
+
+
+def resolve_each(records: DataFrame, rules: IdentityRules) -> DataFrame:
+    """As `resolve_identity`, for tables of one record per item or offer, whose spellings seldom repeat: each record is parsed where it is.
+
+    Records go through one shuffle, by all that they hold, instead of the four that gather the spellings and join them back: no spelling is
+    hot, and the parsing is spread over a few tasks per core whatever the files are.
+    """
+    named = _spelled(records)
+    dealt = [c for c, kind in named.dtypes if not any(k in kind for k in ("map<", "variant"))]
+    return parse_identities(named.repartition(4 * named.sparkSession.sparkContext.defaultParallelism, *dealt), rules)
+
+
+def _spelled(listings: DataFrame) -> DataFrame:
+    return listings.withColumns({"name": F.coalesce("name", F.lit("")), "model_no": F.coalesce("model_no", F.lit(""))})

@@ -15,7 +15,7 @@ from offerlens.functions.durable import written
 from offerlens.functions.skew import spread_join
 from offerlens.functions.unicode import nfkc
 from offerlens.operators import history as hist
-from offerlens.operators.identity import IdentityRules, resolve_identity
+from offerlens.operators.identity import IdentityRules, resolve_each
 
 BLOCK = ["model_code", "signature"]
 NAME_SIGNS = r"(?U)[「」『』【】()\[\]（）・:：\s_-]+"
@@ -47,7 +47,7 @@ def candidate_records(items: DataFrame, aliases: DataFrame, offers: DataFrame, s
         "entity_key", "shop_id", F.coalesce(nonblank("shop_name"), "shop_id").alias("shop_name"), "shop_ordinal", "source_name",
         F.coalesce("latest_price", F.lit(0)).alias("latest_price"), F.col("image_url").alias("offer_image"))
     named = open_items.join(offered, "entity_key").withColumn("name", F.coalesce(nonblank("source_name"), "item_name"))
-    parsed = resolve_identity(named, rules).filter(F.col("model_code") != "").withColumn("code", F.lower("model_code"))
+    parsed = resolve_each(named, rules).filter(F.col("model_code") != "").withColumn("code", F.lower("model_code"))
     found = parsed.join(recovered_hard_tags(aliases, hard_pattern), ["entity_key", "code"], "left")
     soft = F.filter("tags", lambda t: ~t.rlike(hard_pattern))
     tags = F.when(F.col("recovered").isNotNull(), F.array_sort(F.array_union(soft, F.col("recovered")))).otherwise(F.col("tags"))
@@ -79,10 +79,10 @@ def review_records(records: DataFrame, k: int = 8) -> DataFrame:
     """Records to review: the top k of every qualifying block.
 
     The records are read twice, so they are written once instead of parsing all names again; the blocks take three columns of them.
+    Blocks qualify as a whole, so the k best are kept first: each task keeps k per block, and only these are shuffled, already by block for the join.
     """
     records = written(records)
-    # Written again, so that the join may split a hot block and each task keeps k of it before the window's shuffle.
-    return top_k_per_block(written(records.join(candidate_blocks(records), BLOCK, "left_semi")), k)
+    return top_k_per_block(records, k).join(candidate_blocks(records), BLOCK, "left_semi")
 
 
 def block_facts(records: DataFrame) -> DataFrame:
@@ -107,8 +107,9 @@ def _pairs(records: Column, k: int, value) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     """Jaccard similarity of two distinct arrays, 0 if one is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    # The transform binds the number of common elements, which is all that needs comparing.
+    share = F.transform(F.array(F.size(F.array_intersect(a, b))), lambda n: n / (F.size(a) + F.size(b) - n))[0]
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(share)
 
 
 def hamming_similarity(a: Column, b: Column) -> Column:
@@ -230,7 +231,7 @@ def order_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def tile_pairs(values: DataFrame, keys: list[str], value: str, per_tile: int) -> DataFrame:
-    """(keys..., same, left_values, right_values): every two distinct values of a group meet in exactly one row, or twice where `same`.
+    """(keys..., same, left_values, right_values): every two distinct values of a group meet in exactly one row, or twice where `same`, whose two arrays are equal.
 
     A group's values are dealt by hash into tiles of about `per_tile`; each two tiles meet under a key of their own, so the pairs
     of a large group spread over all tasks and no row holds more than two tiles.
@@ -243,9 +244,12 @@ def tile_pairs(values: DataFrame, keys: list[str], value: str, per_tile: int) ->
     return left.join(right, [*keys, "_low", "_high"]).select(*keys, (F.col("_low") == F.col("_high")).alias("same"), "left_values", "right_values")
 
 
-def _extremes(left: Column, right: Column, measure) -> tuple[Column, Column]:
-    """Lowest and highest measure(x, y) over two arrays, nulls left out."""
-    each = F.transform(left, lambda x: F.transform(right, lambda y: measure(x, y)))
+def _extremes(measure) -> tuple[Column, Column]:
+    """Lowest and highest symmetric measure(x, y) over the two arrays of `tile_pairs`, nulls left out; each pair of a tile with itself once."""
+    def others(i: Column) -> Column:
+        return F.when(F.col("same"), F.slice("right_values", i + 1, F.size("right_values"))).otherwise(F.col("right_values"))
+
+    each = F.transform("left_values", lambda x, i: F.transform(others(i), lambda y: measure(x, y)))
     return F.array_min(F.transform(each, F.array_min)), F.array_max(F.transform(each, F.array_max))
 
 
@@ -260,7 +264,7 @@ def block_name_score(records: DataFrame, per_tile: int = 128) -> DataFrame:
     decided = sizes.filter("sets = 1 OR least = 0").select(*BLOCK, F.when((F.col("least") == 0) & (F.col("records") > 1), 0.0).otherwise(1.0).alias("block_name_score"))
     open_sets = spread_join(sets, sizes.filter("sets > 1 AND least > 0").select(*BLOCK), BLOCK).select(*BLOCK, "chunks")
     pairs = tile_pairs(open_sets, BLOCK, "chunks", per_tile)
-    low, _ = _extremes(F.col("left_values"), F.col("right_values"), overlap)
+    low, _ = _extremes(overlap)
     return decided.unionByName(pairs.withColumn("low", low).groupBy(*BLOCK).agg(F.min("low").alias("block_name_score")))
 
 
@@ -290,7 +294,7 @@ def block_images(records: DataFrame, signatures: DataFrame, at_least: int | None
     open_hashes = spread_join(hashes, judged.filter(~sure).select(*kind), kind).select(*kind, F.struct("dhash", "lo", "hi").alias("image"))
     # Unless all records of both are of one shop; a signature meets itself if several shops have it.
     pairs = tile_pairs(open_hashes, kind, "image", per_tile)
-    low, high = _extremes(F.col("left_values"), F.col("right_values"), lambda x, y: F.when(
+    low, high = _extremes(lambda x, y: F.when(
         ~((x["lo"] == y["hi"]) & (x["hi"] == y["lo"])), round_half_up(hamming_similarity(x["dhash"], y["dhash"]) * 100)))
     compared = pairs.withColumns({"low": low, "high": high}).groupBy(*kind).agg(F.max("high").alias("high"), F.min("low").alias("low"))
     extremes = bounded.select(*kind, F.col("high").cast("long"), F.col("low").cast("long")).unionByName(compared)
@@ -303,7 +307,7 @@ def whole_block_candidates(candidates: DataFrame, records: DataFrame, signatures
     conditions, images, name score, score, warnings and risk level. `block_shops` holds the number of shops with an id, `block_name_score` the exact
     name score. The median of the image similarities, a fact of the list alone, is left out. `at_least`: see `block_images`.
     """
-    held = written(records.join(candidates.select(*BLOCK).distinct(), BLOCK, "left_semi"))
+    held = written(records.select(*BLOCK, "shop_id", "name", "latest_price", "tags", "image_url").join(candidates.select(*BLOCK).distinct(), BLOCK, "left_semi"))
     price = F.when(F.col("latest_price") > 0, F.col("latest_price"))
     conditions = {f"_tag{k}": F.max(F.coalesce(F.array_contains("tags", tag), F.lit(False))) for k, tag in enumerate(condition_tags)}
     shops = held.groupBy(*BLOCK, "shop_id").agg(
