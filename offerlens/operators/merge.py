@@ -12,7 +12,7 @@ from offerlens.functions.durable import written
 from offerlens.functions.ordered import with_max_before
 from offerlens.operators import history as hist
 from offerlens.operators import offers as off
-from offerlens.operators.identity import IdentityRules, resolve_identity
+from offerlens.operators.identity import IdentityRules, resolve_each, resolve_identity
 
 
 def upsert_observations(items: DataFrame, offers: DataFrame, history: DataFrame, batch: DataFrame):
@@ -139,7 +139,8 @@ def merge_store(store: Store, key_map: DataFrame) -> Store:
     of_shops = store.history.filter(F.col("shop_id") != "*")
     ages = of_shops.groupBy(*hist.SERIES).agg(F.max("date").alias("last_date"))
     dated = moved(store.offers.drop("last_date").join(ages, hist.SERIES, "left"), "ordinal")
-    ranks = precedence(dated, ["new_key", "shop_id"])
+    # Read by the histories and by the offers: the order is found once.
+    ranks = written(precedence(dated, ["new_key", "shop_id"]))
     per_shop = of_shops.join(ranks.select("entity_key", "shop_id", "new_key", "rank"), hist.SERIES).select(
         F.col("new_key").alias("entity_key"), "shop_id", "date", "price", "rank")
     return Store(
@@ -152,7 +153,7 @@ def merge_store(store: Store, key_map: DataFrame) -> Store:
 
 def identity_key_map(items: DataFrame, rules: IdentityRules) -> DataFrame:
     """entity_key -> new_key recomputed from the item's name and model."""
-    return resolve_identity(items.select("entity_key", "name", "model_no", "ordinal"), rules).select(
+    return resolve_each(items.select("entity_key", "name", "model_no", "ordinal"), rules).select(
         "entity_key", F.col("identity_key").alias("new_key"), "ordinal")
 
 

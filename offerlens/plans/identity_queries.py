@@ -56,7 +56,7 @@ def stored(i):
     listings = i.listings.withColumn("entity_key", key)
     items = listings.select(
         "entity_key", F.when((F.col("p_partkey") % 50 == 0) & (F.col("shop_id") == "N"), F.concat(F.lit("canon"), F.col("p_partkey").cast("string"))).alias("canonical_id"),
-        "name", "model_no", F.when(F.col("shop_id") == "R", "").otherwise(F.concat(F.lit("img/"), "entity_key")).alias("image_url"), "ordinal")
+        "name", "model_no", F.when(F.col("shop_id") == "R", "").otherwise(F.concat(F.lit("img/"), "entity_key")).alias("image_url"), "ordinal", "latest_price")
     aliases = items.select("entity_key", F.concat(F.lit("was-"), "entity_key").alias("alias_key"))
     offers = listings.select("entity_key", "shop_id", "latest_price", F.concat(F.lit("img/"), "entity_key").alias("image_url"), F.col("name").alias("source_name"))
     shop_log = i.lots.select(F.concat(F.lit("k"), F.col("entity_key").cast("string"), "shop_id").alias("entity_key"), "shop_id", "date", "price")
@@ -161,8 +161,7 @@ FROM new_offers o""")
 def default_offers(i):
     """Items of shop R are stored without offer and shop history: they get one of shop D with the item's price and history."""
     s = stored(i)
-    price = i.listings.select(F.concat(F.lit("k"), F.col("p_partkey").cast("string"), "shop_id").alias("entity_key"), "latest_price")
-    bare = merge.Store(s.items.join(price, "entity_key"), s.aliases, s.offers.filter("shop_id <> 'R'"), s.history.filter("shop_id <> 'R'"))
+    bare = merge.Store(s.items.filter("entity_key IS NOT NULL"), s.aliases, s.offers.filter("shop_id <> 'R'"), s.history.filter("shop_id <> 'R'"))
     out = merge.rekey(bare, RULES, default_shop="D")
     entries = out.history.groupBy("entity_key", "shop_id").agg(F.count(F.lit(1)).alias("entries"))
     return out.offers.drop("last_date").join(entries, ["entity_key", "shop_id"])

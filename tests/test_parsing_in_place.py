@@ -27,6 +27,12 @@ def test_each_record_has_the_identity_of_its_spelling(spark):
     assert got[0] == ("OP00-002", "opened+red") and got[4] == ("", "ab+長いラベル".replace("ー", "")) and got[8] == ("P-001", "okgo+z9")
 
 
+def test_names_of_items_are_shuffled_once(spark):
+    items = written(spark.range(200).select(F.concat(F.lit("k"), "id").alias("entity_key"), F.concat(F.lit("rod "), "id").alias("name"), F.lit("OP00-001").alias("model_no"), F.col("id").alias("ordinal")))
+    plan = merge.identity_key_map(items, RULES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_plain_tokens_keep_their_form(spark):
     tokens = ["ABC9", "a-b", "ab\n", "", None, "ラベル版", "Long Name", "x\u0085", "é"]
     rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", identity.plain_token(F.col("t")).alias("plain")).collect()
