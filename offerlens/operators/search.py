@@ -10,16 +10,20 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from offerlens.functions.durable import written
 from offerlens.functions.skew import spread_join
 from offerlens.functions.unicode import letters_and_digits, search_fold
+from offerlens.operators.query_blocks import met_in_full
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 UNIT = "\x01"
 GRAM_SIZES = (1, 2, 4, 6)
 LOOKUPS = 3
 BITMAP_BITS = 1 << 20
+MATCHES_A_TASK = 1 << 20
 # Token grammar of a query text, and the edit distances allowed up to a token length.
 QUERY_TOKEN = r'(?U)[-－−]?(?:"[^"]+"|“[^”]+”|\S+)'
 FUZZY_LIMITS = ((2, 0), (4, 1), (8, 2))
@@ -269,21 +273,27 @@ def _near_documents(docs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def match_queries(docs: DataFrame, tokens: DataFrame, queries: DataFrame, mode: str = "AND", fuzzy: bool = False) -> DataFrame:
-    """(query_id, entity_key) of every match; `docs` is read several times, so its columns in use are written first.
+    """(query_id, entity_key) of every match.
 
     A token hits a document if the text contains its normalized or the compact text its compact form,
     or, if fuzzy, some term is near it. Any excluded token found (never fuzzily) rules the document out; a
-    query without included tokens matches all others. Documents are looked up in a gram index: under AND a query by the rarest gram
-    of its longest tokens, then tested in full; under OR every distinct token by its rarer gram, whichever queries have it.
+    query without included tokens matches all others. Under AND without fuzzy, written documents are looked up in a gram index, a query by the rarest gram
+    of its longest tokens, then tested in full; under OR every distinct token by its rarer gram, whichever queries have it. Under AND with fuzzy the queries are
+    judged where a document is read (`query_blocks`), and no document is written unless some query has no included token.
     """
     if mode not in ("AND", "OR"):
         raise ValueError(f"unknown mode: {mode}")
     plans = written(_query_plans(tokens, queries))
-    docs = written(docs.select("entity_key", "text", "compact_text", *(["terms"] if fuzzy else [])))
-    return (_match_all if mode == "AND" else _match_any)(docs, plans, fuzzy)
+    docs = docs.select("entity_key", "text", "compact_text", *(["terms"] if fuzzy else []))
+    bare = plans.filter(F.size("include") == 0)
+    if mode == "OR" or not fuzzy or not bare.isEmpty():
+        docs = written(docs)
+    if mode == "OR":
+        return _match_any(docs, plans, fuzzy)
+    return _match_near(docs, plans) if fuzzy else _match_all(docs, plans)
 
 
-def _match_all(docs: DataFrame, plans: DataFrame, fuzzy: bool) -> DataFrame:
+def _match_all(docs: DataFrame, plans: DataFrame) -> DataFrame:
     # The longest tokens; next to one with a long gram a token with a shorter gram is of no use.
     longest = F.slice(F.array_sort("include", lambda a, b: F.length(b["run"]) - F.length(a["run"])), 1, LOOKUPS)
     useful = F.filter(longest, lambda t: F.length(t["run"]) >= F.least(F.length(longest[0]["run"]), F.lit(max(GRAM_SIZES))))
@@ -291,16 +301,36 @@ def _match_all(docs: DataFrame, plans: DataFrame, fuzzy: bool) -> DataFrame:
     index = gram_index(docs, lookups.select(F.explode("grams").alias("gram")))
     chosen = written(_rarest(lookups, index, ["query_id"]).select("query_id", "best.*"))
     pairs = spread_join(index, chosen.select("query_id", "gram"), ["gram"]).select("query_id", "entity_key")
-    if fuzzy:
-        near = _near_documents(docs, chosen.select("compact")).join(chosen.select("query_id", "compact"), "compact").select("query_id", "entity_key")
-        pairs = pairs.unionByName(near).distinct()
-    pairs = pairs.unionByName(_all_documents(docs, plans.filter(F.size("include") == 0)))
+    return _in_full(docs, pairs.unionByName(_all_documents(docs, plans.filter(F.size("include") == 0))), plans)
 
-    def hit(token):
-        return (_contains(token) | _near(token)) if fuzzy else _contains(token)
 
+def _in_full(docs: DataFrame, pairs: DataFrame, plans: DataFrame) -> DataFrame:
+    """The pairs (query_id, entity_key) whose documents contain all included tokens and no excluded one."""
     found = docs.join(pairs, "entity_key").join(plans, "query_id")
-    return found.filter(~F.exists("exclude", _contains) & F.forall("include", hit)).select("query_id", "entity_key")
+    return found.filter(~F.exists("exclude", _contains) & F.forall("include", _contains)).select("query_id", "entity_key")
+
+
+def _kinds(docs: DataFrame, plans: DataFrame) -> list:
+    return [to_arrow_type(docs.schema["entity_key"].dataType), to_arrow_type(plans.schema["query_id"].dataType)]
+
+
+def _match_near(docs: DataFrame, plans: DataFrame) -> DataFrame:
+    """Matches of AND with fuzzy tokens; each token that is only near was found with a term, which is measured here."""
+    path, kinds = plans._written, _kinds(docs, plans)
+
+    def run(batches):
+        return met_in_full(batches, path, kinds, FUZZY_LIMITS, FUZZY_MAX)
+
+    near = ArrayType(StructType([StructField("compact", StringType()), StructField("term", StringType())]))
+    schema = StructType([docs.schema["entity_key"], plans.schema["query_id"], StructField("near", near)])
+    found = docs.filter("entity_key IS NOT NULL").mapInArrow(run, schema)
+
+    def measured(pair: Column) -> Column:
+        return F.call_function("levenshtein", pair["term"], pair["compact"], allowed_distance(F.length(pair["compact"]))) >= 0
+
+    bare = plans.filter(F.size("include") == 0)
+    matched = found.filter(F.forall("near", measured)).select("query_id", "entity_key")
+    return matched if bare.isEmpty() else matched.unionByName(_in_full(docs, _all_documents(docs, bare), plans))
 
 
 def _match_any(docs: DataFrame, plans: DataFrame, fuzzy: bool) -> DataFrame:
