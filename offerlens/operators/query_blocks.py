@@ -133,6 +133,23 @@ def _groups(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[Bloc
             yield block, part, block.hits(texts, compact_texts)
 
 
+def met(batches: Iterator[pa.RecordBatch], path: str, kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Per document with hits the queries that have an included token in it, how many these are, and after them those that have an excluded one."""
+    for block, part, hits in _groups(batches, path):
+        both = np.concatenate((block.any_of(hits, block.include), block.any_of(hits, block.exclude)))
+        rows = max(1, MATCHES // len(both))
+        for start in range(0, part.num_rows, rows):
+            yield _lists(block, part["entity_key"].slice(start, rows).cast(kinds[0]), both[:, start : start + rows], kinds[1])
+
+
+def _lists(block: Block, keys: pa.Array, both: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+    place = np.nonzero(np.ascontiguousarray(both.T))[1]
+    offsets = np.concatenate(([0], np.cumsum(both.sum(axis=0)))).astype(np.int32)
+    queries = pa.ListArray.from_arrays(offsets, block.ids.take(pa.array(place % len(block.ids))).cast(kind))
+    included = pa.array(both[: len(block.ids)].sum(axis=0).astype(np.int32))
+    return pa.RecordBatch.from_arrays([keys, queries, included], ["entity_key", "met", "included"]).filter(pa.array(np.diff(offsets) > 0))
+
+
 class Terms:
     """Distinct terms of a group of documents by length, and each document's terms in that order."""
 

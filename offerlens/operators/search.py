@@ -11,19 +11,19 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from offerlens.functions.durable import written
 from offerlens.functions.skew import spread_join
 from offerlens.functions.unicode import letters_and_digits, search_fold
-from offerlens.operators.query_blocks import met_in_full
+from offerlens.operators.query_blocks import met, met_in_full
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 UNIT = "\x01"
 GRAM_SIZES = (1, 2, 4, 6)
 LOOKUPS = 3
 BITMAP_BITS = 1 << 20
-MATCHES_A_TASK = 1 << 20
+MATCHES_A_TASK = 1 << 19
 # Token grammar of a query text, and the edit distances allowed up to a token length.
 QUERY_TOKEN = r'(?U)[-－−]?(?:"[^"]+"|“[^”]+”|\S+)'
 FUZZY_LIMITS = ((2, 0), (4, 1), (8, 2))
@@ -278,15 +278,15 @@ def match_queries(docs: DataFrame, tokens: DataFrame, queries: DataFrame, mode:
     A token hits a document if the text contains its normalized or the compact text its compact form,
     or, if fuzzy, some term is near it. Any excluded token found (never fuzzily) rules the document out; a
     query without included tokens matches all others. Under AND without fuzzy, written documents are looked up in a gram index, a query by the rarest gram
-    of its longest tokens, then tested in full; under OR every distinct token by its rarer gram, whichever queries have it. Under AND with fuzzy the queries are
-    judged where a document is read (`query_blocks`), and no document is written unless some query has no included token.
+    of its longest tokens, then tested in full. Else the queries are judged where a document is read (`query_blocks`), and no document is written
+    unless some query has no included token.
     """
     if mode not in ("AND", "OR"):
         raise ValueError(f"unknown mode: {mode}")
     plans = written(_query_plans(tokens, queries))
     docs = docs.select("entity_key", "text", "compact_text", *(["terms"] if fuzzy else []))
     bare = plans.filter(F.size("include") == 0)
-    if mode == "OR" or not fuzzy or not bare.isEmpty():
+    if mode == "AND" and not fuzzy or mode == "OR" and fuzzy or not bare.isEmpty():
         docs = written(docs)
     if mode == "OR":
         return _match_any(docs, plans, fuzzy)
@@ -333,25 +333,33 @@ def _match_near(docs: DataFrame, plans: DataFrame) -> DataFrame:
     return matched if bare.isEmpty() else matched.unionByName(_in_full(docs, _all_documents(docs, bare), plans))
 
 
+def _met_queries(docs: DataFrame, plans: DataFrame) -> DataFrame:
+    """(entity_key, met, included): the queries that have a token in a document, the first `included` of them an included one, the others an excluded one."""
+    path, kinds = plans._written, _kinds(docs, plans)
+
+    def run(batches):
+        return met(batches, path, kinds)
+
+    schema = StructType([docs.schema["entity_key"], StructField("met", ArrayType(plans.schema["query_id"].dataType)), StructField("included", IntegerType())])
+    return docs.filter("entity_key IS NOT NULL").mapInArrow(run, schema)
+
+
 def _match_any(docs: DataFrame, plans: DataFrame, fuzzy: bool) -> DataFrame:
-    sides = [plans.select("query_id", F.lit(out).alias("exclude"), F.explode(side).alias("t")) for out, side in ((False, "include"), (True, "exclude"))]
-    asked = written(sides[0].unionByName(sides[1]).select("query_id", "exclude", "t.normalized", "t.compact").distinct())
-    distinct = asked.select("normalized", "compact").distinct()
-    lookups = distinct.withColumn("grams", _own_grams(F.col("normalized")))
-    index = gram_index(docs, lookups.select(F.explode("grams").alias("gram")))
-    chosen = _rarest(lookups, index, ["normalized", "compact"]).select("normalized", "compact", "best.gram")
-    tested = spread_join(index, chosen, ["gram"]).join(docs.select("entity_key", "text", "compact_text"), "entity_key")
-    token = {"normalized": F.col("normalized"), "compact": F.col("compact")}
-    hits = written(tested.filter(_contains(token)).select("normalized", "compact", "entity_key"))
-    # A document's hits come together while they are few; its queries are then aggregated where they arise.
-    of_doc = hits.repartition("entity_key")
-    met = spread_join(of_doc, asked, ["normalized", "compact"]).select("query_id", "entity_key", "exclude")
+    of_doc = written(_met_queries(docs, plans))
+    # Lists of queries are short to move; a document's matches are only counted out in a task that has them all, of a bounded number of matches.
+    matches = of_doc.agg(F.coalesce(F.sum(F.size("met")), F.lit(0)).alias("n")).first()["n"]
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-matches // MATCHES_A_TASK))
+    listed = of_doc.repartition(tasks, "entity_key").select("entity_key", "included", F.posexplode("met").alias("place", "query_id"))
+    judging = listed.select("query_id", "entity_key", (F.col("place") >= F.col("included")).alias("exclude"))
     if fuzzy:
-        near = _near_documents(docs, asked.filter("NOT exclude").select("compact"))
-        met = met.unionByName(near.join(asked.filter("NOT exclude"), "compact").select("query_id", "entity_key", "exclude"))
-    judged = met.groupBy("entity_key", "query_id").agg(F.max("exclude").alias("out"))
+        asked = plans.select("query_id", F.explode("include").alias("t")).select("query_id", "t.compact").distinct()
+        near = _near_documents(docs, asked.select("compact")).join(asked, "compact")
+        judging = judging.unionByName(near.select("query_id", "entity_key", F.lit(False).alias("exclude")))
+    judged = judging.groupBy("entity_key", "query_id").agg(F.max("exclude").alias("out"))
     bare = plans.filter(F.size("include") == 0).select("query_id")
-    out = spread_join(hits, asked.join(bare, "query_id", "left_semi"), ["normalized", "compact"]).select("query_id", "entity_key").distinct()
-    others = _all_documents(docs, bare).join(out, ["query_id", "entity_key"], "left_anti")
+    found = judged.filter("NOT out").select("query_id", "entity_key")
+    if bare.isEmpty():
+        return found
     # Queries without included tokens are only met by what they exclude.
-    return judged.filter("NOT out").select("query_id", "entity_key").unionByName(others)
+    out = judging.filter("exclude").join(bare, "query_id", "left_semi").select("query_id", "entity_key").distinct()
+    return found.unionByName(_all_documents(docs, bare).join(out, ["query_id", "entity_key"], "left_anti"))

@@ -90,3 +90,53 @@ def test_distances_within_limits_equal_brute_force(monkeypatch):
     assert (got == (true <= limits[pairs[0]])).all()
     apart = np.bitwise_count(text_scan.signatures(text_scan.padded(left, sizes))[pairs[0]] ^ text_scan.signatures(text_scan.padded(right, ends))[pairs[1]])
     assert (apart + np.abs(sizes[pairs[0]] - ends[pairs[1]]) <= 2 * true).all()
+
+
+@pytest.mark.parametrize("fuzzy", [False, True])
+@pytest.mark.parametrize("block_tokens, cells", [(1 << 14, 1 << 24), (7, 100)])
+def test_matches_of_any_token_equal_brute_force(spark, monkeypatch, fuzzy, block_tokens, cells):
+    for name, value in (("BLOCK_TOKENS", block_tokens), ("CELLS", cells), ("MATCHES", cells)):
+        monkeypatch.setattr(query_blocks, name, value)
+    docs, tokens, queries = frames(spark, 5)
+    keyed = docs.filter("entity_key IS NOT NULL")
+    by_query, rows = sides(tokens, queries), keyed.collect()
+
+    def met(d, t):
+        return hit(d, t) or fuzzy and any(close(t["compact"], x) for x in d["terms"])
+
+    # Rows of one key are judged together: a token excluded in one of them rules the key out.
+    out = {(q, d["entity_key"]) for q, (_, exclude) in by_query.items() for d in rows if any(hit(d, t) for t in exclude)}
+    want = {(q, d["entity_key"]) for q, (include, _) in by_query.items() for d in rows if any(met(d, t) for t in include)} - out
+    got = [tuple(r) for r in search.match_queries(keyed if fuzzy else docs, tokens, queries, mode="OR", fuzzy=fuzzy).collect()]
+    assert len(want) > 300 and sorted(got) == sorted(want)
+
+
+def test_queries_without_included_tokens_match_all_other_documents(spark):
+    docs, tokens, queries = frames(spark, 8, empty_queries=True)
+    rows = docs.collect()
+    bare = {q: exclude for q, (include, exclude) in sides(tokens, queries).items() if not include}
+    out = {(q, d["entity_key"]) for q, exclude in bare.items() for d in rows if any(hit(d, t) for t in exclude)}
+    want = sorted((q, str(d["entity_key"])) for q in bare for d in rows if d["entity_key"] is None or (q, d["entity_key"]) not in out)
+    got = search.match_queries(docs, tokens, queries, mode="OR").collect()
+    assert len(bare) == 3 and sorted((r["query_id"], str(r["entity_key"])) for r in got if r["query_id"] in bare) == want
+
+
+def test_any_moves_lists_of_queries_only(spark, monkeypatch):
+    docs, tokens, queries = frames(spark, 4)
+    monkeypatch.setattr(search, "gram_index", lambda *a: pytest.fail("documents are taken apart and moved"))
+    found = search.match_queries(docs, tokens, queries, mode="OR")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert found.count() > 0
+
+
+@pytest.mark.parametrize("options", [{"fuzzy": True}, {"mode": "OR"}, {"mode": "OR", "fuzzy": True}])
+def test_empty_tables_and_queries_of_exclusions_only(spark, options):
+    docs = search.build_search_docs(spark.createDataFrame([(1, ["ab cd"]), (2, ["ef"]), (3, [])], "entity_key long, values array<string>")).localCheckpoint()
+    queries = spark.createDataFrame([(1, "-ef"), (2, "--"), (3, "abcd")], "query_id long, query string")
+
+    def got(d, q):
+        return sorted(tuple(r) for r in search.match_queries(d, search.parse_queries(q), q, **options).collect())
+
+    assert got(docs, queries) == [(1, 1), (1, 3), (2, 1), (2, 2), (2, 3), (3, 1)]
+    assert got(docs.filter("entity_key > 3"), queries) == got(docs, queries.filter("query_id > 3")) == []
