@@ -21,6 +21,7 @@ from offerlens.functions.text_scan import Strings, padded, signatures, within
 BLOCK_TOKENS = 1 << 14
 GROUP_ROWS = 2048
 CELLS = 1 << 24
+LIST_CELLS = 1 << 22
 TERM_PAIRS = 1 << 21
 MATCHES = 1 << 21
 MANY = 32
@@ -44,10 +45,9 @@ class Block:
                 spaced.setdefault(c, []).append(k)
         self.spaced, self.over, self.reach = Strings(list(spaced)), list(spaced.values()), max(map(len, spaced), default=0)
 
-    @property
-    def rows(self) -> int:
-        """Documents of a group, so that the tables of documents and tokens stay below CELLS."""
-        return max(1, min(GROUP_ROWS, CELLS // max(1, sum(map(len, self.include)) + sum(map(len, self.exclude)) + len(self.ids))))
+    def rows(self, cells: int) -> int:
+        """Documents of a group, so that the tables of documents and tokens stay below so many cells."""
+        return max(1, min(GROUP_ROWS, cells // max(1, sum(map(len, self.include)) + sum(map(len, self.exclude)) + len(self.ids))))
 
     def hits(self, texts: list[str], compact_texts: list[str]) -> np.ndarray:
         """Which token (row) a document (column) contains."""
@@ -124,18 +124,20 @@ class Queries:
         return _blocks(self.path) if self.more else iter([self.first] if self.first else [])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[Block, pa.RecordBatch, np.ndarray]]:
+def _groups(batches: Iterator[pa.RecordBatch], path: str, cells: int) -> Iterator[tuple[Block, pa.RecordBatch, np.ndarray]]:
     queries = Queries(path)
     for batch, block in ((batch, block) for batch in batches for block in queries):
-        for start in range(0, batch.num_rows, block.rows):
-            part = batch.slice(start, block.rows)
+        rows = block.rows(cells)
+        for start in range(0, batch.num_rows, rows):
+            part = batch.slice(start, rows)
             texts, compact_texts = (pc.fill_null(part[c], "").to_pylist() for c in ("text", "compact_text"))
             yield block, part, block.hits(texts, compact_texts)
+        pa.default_memory_pool().release_unused()
 
 
 def met(batches: Iterator[pa.RecordBatch], path: str, kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
     """Per document with hits the queries that have an included token in it, how many these are, and after them those that have an excluded one."""
-    for block, part, hits in _groups(batches, path):
+    for block, part, hits in _groups(batches, path, LIST_CELLS):
         both = np.concatenate((block.any_of(hits, block.include), block.any_of(hits, block.exclude)))
         rows = max(1, MATCHES // len(both))
         for start in range(0, part.num_rows, rows):
@@ -263,7 +265,7 @@ def met_in_full(batches: Iterator[pa.RecordBatch], path: str, kinds: list[pa.Dat
     With a pair come the tokens that are only near, each with such a term.
     """
     made: tuple[Block, Tokens] | None = None
-    for block, part, hits in _groups(batches, path):
+    for block, part, hits in _groups(batches, path, CELLS):
         if made is None or made[0] is not block:
             made = block, Tokens(block, limits, most)
         judge = _Judge(block, made[1], hits, part["terms"])

@@ -1,7 +1,8 @@
 """Keyword search: documents, a table of saved queries, exact and fuzzy matching.
 
-Matching never pairs every document with every query. Queries are looked up by their rarest gram in an inverted index of the
-grams that queries want, the same way for any number of them. Only the (document, query) pairs found are tested in full.
+Exact matching of all tokens never pairs every document with every query: queries are looked up by their rarest gram in an inverted index of the
+grams that queries want, the same way for any number of them, and only the (document, query) pairs found are tested in full. Matching of any token, which most
+pairs may pass, and fuzzy matching judge blocks of queries where a document is read.
 """
 
 from __future__ import annotations

@@ -95,7 +95,7 @@ def test_distances_within_limits_equal_brute_force(monkeypatch):
 @pytest.mark.parametrize("fuzzy", [False, True])
 @pytest.mark.parametrize("block_tokens, cells", [(1 << 14, 1 << 24), (7, 100)])
 def test_matches_of_any_token_equal_brute_force(spark, monkeypatch, fuzzy, block_tokens, cells):
-    for name, value in (("BLOCK_TOKENS", block_tokens), ("CELLS", cells), ("MATCHES", cells)):
+    for name, value in (("BLOCK_TOKENS", block_tokens), ("LIST_CELLS", cells), ("MATCHES", cells)):
         monkeypatch.setattr(query_blocks, name, value)
     docs, tokens, queries = frames(spark, 5)
     keyed = docs.filter("entity_key IS NOT NULL")
